@@ -3,7 +3,6 @@
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for operators that persist)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +31,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def values(column, step: int = 1024):
+    """The values of an Arrow array as Python objects, a slice at a time: few of them are alive at once."""
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).to_pylist()
+
+
 def fold(id_col, modulus: int):
     """crc32 of the id as text, modulo `modulus`: the split into training and held-out rows."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -4,12 +4,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import bpe
-from opsloom.llm.common import table
+from opsloom.llm import bpe, html_extract, language_id, quality_rules, secret_scan, toxicity
+from opsloom.llm.common import fold, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, spans = F.col("secrets.base"), F.col("secrets.spans")
+    counts = [F.size(F.filter(base, lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(secret_scan.PATTERNS)]
+    digest = F.sha2(F.encode(secret_scan.listed(base), "UTF-8"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secret_scan.listed(spans).alias("spans"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.fit(docs.where(fold("doc_id", 5) != 0))
+    named = language_id.classify(docs.select("doc_id", "text"), net)
+    return named.select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score")
+    )
+
+
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.load(TOKENIZER)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -22,8 +44,31 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grammar = toxicity.fit(docs.where(fold("doc_id", 3) != 1), labels.where(fold("doc_id", 3) != 1))
+    scored = toxicity.score(docs.select("doc_id", "text"), grammar, out_col="score")
+    return scored.select(
+        "doc_id",
+        (fold("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"),
+    )
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words", "n_lines_removed"]
+    return judged.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
+
+
 def queries() -> dict:
     return {
+        "op1_secret_scan": op1_secret_scan,
+        "op2_language_id": op2_language_id,
+        "op3_html_extract": op3_html_extract,
+        "op7_toxicity": op7_toxicity,
+        "op8_quality_rules": op8_quality_rules,
         "op4_bpe": op4_bpe,
     }
 
