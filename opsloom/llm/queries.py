@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import bpe, html_extract, language_id, quality_rules, secret_scan, toxicity
+from opsloom.llm import bpe, html_extract, jaccard_join, language_id, quality_rules, secret_scan, toxicity
 from opsloom.llm.common import fold, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -13,7 +13,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base, spans = F.col("secrets.base"), F.col("secrets.spans")
-    counts = [F.size(F.filter(base, lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(secret_scan.PATTERNS)]
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(i).__eq__)).cast("long").alias(f"n_{k}") for i, k in enumerate(secret_scan.PATTERNS)]
     digest = F.sha2(F.encode(secret_scan.listed(base), "UTF-8"), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, secret_scan.listed(spans).alias("spans"))
 
@@ -62,6 +63,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -69,6 +74,7 @@ def queries() -> dict:
         "op3_html_extract": op3_html_extract,
         "op7_toxicity": op7_toxicity,
         "op8_quality_rules": op8_quality_rules,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
         "op4_bpe": op4_bpe,
     }
 

@@ -137,49 +137,42 @@ def sampled(rows: DataFrame, label_col: str, key_col: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit("toxicity"), key_col), F.lit(1_000_000)) < share * 1_000_000)
 
 
-def learn_prefixes(rows: DataFrame, text_col: str, label_col: str) -> dict[str, float]:
-    """Prefixes and words that mark label 1: a smoothed log ratio of document counts, kept where many documents and
-    few counterexamples support it."""
+def count_features(rows: DataFrame, wanted=None) -> dict[str, list[int]]:
+    """Documents of each half that have a feature. Without `wanted`, only features that reach the least support in all
+    come to the driver: with support of 1 % of the rows, their number is bounded however many rows there are."""
+    keep = rows.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = (Counter(), Counter())
+        seen = (Counter(), Counter())
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                both[label == 1].update({f for w in set((text or "").split()) for f in features(bare(w))})
-        names = [f for f, n in both[1].items()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([both[1][f] for f in names], pa.int64()), pa.array([both[0][f] for f in names], pa.int64())],
-            names=["feature", "pos", "neg"],
-        )
-
-    def negatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, seen = shared.value, Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update({f for w in set((text or "").split()) for f in features(bare(w))} & wanted)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["feature", "neg"])
+            for text, half in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = {f for w in set((text or "").split()) for f in features(bare(w))}
+                seen[half].update(own if keep is None else own & keep.value)
+        names = list(seen[0] | seen[1])
+        counts = [pa.array([c[f] for f in names], pa.int64()) for c in seen]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *counts], names=["feature", "n0", "n1"])
 
-    n = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
-    pos, neg = n.get(1, 0), n.get(0, 0)
-    if not pos or not neg:
-        return {}
-    # Support of 1 % of the positive rows bounds the learned features, however many rows there are.
-    least = max(3, round(0.01 * pos))
-    picked = rows.select(text_col, label_col)
-    found = (
-        picked.where(F.col(label_col) == 1)
-        .mapInArrow(count, "feature string, pos long, neg long")
-        .groupBy("feature").agg(F.sum("pos").alias("pos")).where(F.col("pos") >= least)
-    )
-    supported = {r.feature: r.pos for r in found.collect()}
-    shared = rows.sparkSession.sparkContext.broadcast(frozenset(supported))
-    against = picked.where(F.col(label_col) != 1).select(text_col).mapInArrow(negatives, "feature string, neg long")
-    against = {r.feature: r.neg for r in against.groupBy("feature").agg(F.sum("neg").alias("neg")).collect()}
+    found = rows.select("_text", "_half").mapInArrow(count, "feature string, n0 long, n1 long")
+    found = found.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    if wanted is None:
+        found = found.where(F.col("n0") + F.col("n1") >= support(rows.count()))
+    return {r.feature: [r.n0, r.n1] for r in found.collect()}
+
+
+def support(rows: int) -> int:
+    return max(3, round(0.01 * rows))
+
+
+def weigh(pos: dict, neg: dict, n_pos: int, n_neg: int, part) -> dict[str, float]:
+    """Features that mark label 1 in a part of the rows: a smoothed log ratio of document counts, kept where many
+    documents support it and few speak against it."""
     weights = {}
-    for f, a in supported.items():
-        ratio = np.log((a + 0.5) / (pos + 1)) - np.log((against.get(f, 0) + 0.5) / (neg + 1))
-        if ratio > 3.0:
-            weights[f] = float(min(4.0, ratio / 2))
+    for f, counts in pos.items():
+        a, b = part(counts), part(neg.get(f, [0, 0]))
+        if a >= max(2, round(0.01 * n_pos)):
+            ratio = np.log((a + 0.5) / (n_pos + 1)) - np.log((b + 0.5) / (n_neg + 1))
+            if ratio > 3.0:
+                weights[f] = float(min(4.0, ratio / 2))
     return weights
 
 
@@ -205,16 +198,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
     rows = rows.join(marks.withColumnRenamed(id_col, "_id"), "_id")
-    rows = sampled(rows, "_label", "_id").persist()
+    rows = sampled(rows, "_label", "_id").withColumn("_half", F.xxhash64(F.lit("half"), "_id").bitwiseAND(1).cast("int")).persist()
     try:
-        grammar = Grammar(prefixes=learn_prefixes(rows, "_text", "_label"))
-        seen = with_matches(rows, grammar, "_text", "_m").select("_label", "_m.*").toPandas()
+        n = {(r[0], r[1]): r[2] for r in rows.groupBy("_label", "_half").count().collect()}
+        n_pos, n_neg = [n.get((1, h), 0) for h in (0, 1)], [n.get((0, h), 0) for h in (0, 1)]
+        if not sum(n_pos) or not sum(n_neg):
+            return Grammar()
+        pos = count_features(rows.where("_label = 1"))
+        neg = count_features(rows.where("_label = 0"), frozenset(pos))
+        # The coefficients come from matches of lexicons that were learned on the other half of the rows.
+        seen = []
+        for h in (0, 1):
+            other = Grammar(weigh(pos, neg, n_pos[1 - h], n_neg[1 - h], lambda c, h=h: c[1 - h]))
+            seen.append(with_matches(rows.where(F.col("_half") == h), other, "_text", "_m").select("_label", "_m.*").toPandas())
     finally:
         rows.unpersist()
-    if seen["_label"].nunique() < 2:
-        return grammar
-    w = logistic(scaled(seen["total"], seen["peak"], seen["clauses"]), seen["_label"].to_numpy(float))
-    return Grammar(grammar.prefixes, float(w[0]), tuple(map(float, w[1:])))
+    lexicon = weigh(pos, neg, sum(n_pos), sum(n_neg), sum)
+    total, peak, clauses, label = (np.concatenate([s[c].to_numpy(float) for s in seen]) for c in ("total", "peak", "clauses", "_label"))
+    w = logistic(scaled(total, peak, clauses), label)
+    return Grammar(lexicon, float(w[0]), tuple(map(float, w[1:])))
 
 
 def score(df: DataFrame, grammar: Grammar, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
