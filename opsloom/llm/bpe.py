@@ -20,8 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opsloom.llm.common import values
+
 SHORT = 96
-CACHE = 1 << 19
+CACHE = 1 << 17
 NO_RANK = 1 << 60
 # Fixed value: the pattern by which byte-level tokenizers of this family cut words.
 WORDS = (
@@ -112,6 +114,22 @@ def merge_long(parts: list[int], pairs: dict[int, int], merged: tuple[int, ...])
     return [p for p in parts if p >= 0]
 
 
+class Spaced(dict):
+    """Maps a stretch without white space to the packed ids of a space and it."""
+
+    def __init__(self, encoder: "Encoder"):
+        super().__init__()
+        self.piece = encoder.piece
+
+    def __missing__(self, word: str) -> bytes:
+        packed = self.piece(" " + word)
+        if len(word) <= SHORT:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = packed
+        return packed
+
+
 class Encoder(dict):
     """Maps a word to its packed ids; words that are missing are merged and, within a bound, remembered."""
 
@@ -119,6 +137,7 @@ class Encoder(dict):
         super().__init__()
         self.v = vocabulary
         self.words = regex.compile(WORDS).findall
+        self.spaced = Spaced(self)
         added = sorted(vocabulary.added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
 
@@ -133,9 +152,20 @@ class Encoder(dict):
             self[word] = packed
         return packed
 
-    def plain(self, text: str) -> bytes:
+    def piece(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.words(text)))
 
+    def plain(self, text: str) -> bytes:
+        """Where single spaces and line ends are the only white space, the pattern cuts before each space and around
+        each line end, so that the stretches between them can be encoded and remembered on their own."""
+        if not text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+            return self.piece(text)
+        spaced, out = self.spaced.__getitem__, []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(b"".join([self.piece(first), *map(spaced, rest)]))
+        return self["\n"].join(out)
+
     def encode(self, text: str) -> bytes:
         if self.added is None or not any(t in text for t in self.v.added):
             return self.plain(text)
@@ -166,7 +196,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_co
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = encoder_of(shared.value)
         for texts in batches:
-            yield pa.array([encoder.encode(t) if t else b"" for t in texts.to_pylist()], pa.binary())
+            yield pa.array([encoder.encode(t) if t else b"" for t in values(texts)], pa.binary())
 
     return df.withColumn(out_col, run(F.col(text_col)))
 
@@ -179,6 +209,6 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "token_ids", ou
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = shared.value.tokens
         for ids in batches:
-            yield pa.array([decode_ids(x, tokens) if x else "" for x in ids.to_pylist()], pa.string())
+            yield pa.array([decode_ids(x, tokens) if x else "" for x in values(ids)], pa.string())
 
     return df.withColumn(out_col, run(F.col(ids_col)))
