@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import bpe, html_extract, jaccard_join, language_id, quality_rules, secret_scan, toxicity
+from opsloom.llm import bpe, decontaminate, html_extract, jaccard_join, language_id, paragraph_dedup, quality_rules, secret_scan, toxicity
 from opsloom.llm.common import fold, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +45,17 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraph_dedup.clusters(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removals", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    words = F.aggregate("removals", F.lit(0), lambda acc, s: acc + s["end"] - s["start"])
+    return found.select("doc_id", "cluster_id", F.size("removals").cast("long").alias("n_removals"), words.cast("long").alias("removed_words"), spans.alias("spans"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     grammar = toxicity.fit(docs.where(fold("doc_id", 3) != 1), labels.where(fold("doc_id", 3) != 1))
@@ -72,10 +83,12 @@ def queries() -> dict:
         "op1_secret_scan": op1_secret_scan,
         "op2_language_id": op2_language_id,
         "op3_html_extract": op3_html_extract,
+        "op4_bpe": op4_bpe,
+        "op5_paragraph_dedup": op5_paragraph_dedup,
+        "op6_decontaminate": op6_decontaminate,
         "op7_toxicity": op7_toxicity,
         "op8_quality_rules": op8_quality_rules,
         "op10_ngram_jaccard": op10_ngram_jaccard,
-        "op4_bpe": op4_bpe,
     }
 
 
