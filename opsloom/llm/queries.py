@@ -1,10 +1,11 @@
 """The registered queries of this subpackage: thin reads of whole tables through the operators, and their SQL."""
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import bpe, decontaminate, html_extract, jaccard_join, language_id, paragraph_dedup, quality_rules, secret_scan, toxicity
+from opsloom.llm import bpe, decontaminate, html_extract, jaccard_join, language_id, paragraph_dedup, quality_classifier, quality_rules, secret_scan, toxicity
 from opsloom.llm.common import fold, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,6 +75,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_classifier.fit(docs.where(fold("doc_id", 3) != 1), labels.where(fold("doc_id", 3) != 1))
+    scored = quality_classifier.score(docs.select("doc_id", "text", "source", "lang", "n_chars"), model, out_col="score")
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).alias("kept"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
@@ -88,7 +100,9 @@ def queries() -> dict:
         "op6_decontaminate": op6_decontaminate,
         "op7_toxicity": op7_toxicity,
         "op8_quality_rules": op8_quality_rules,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "pipeline": pipeline,
     }
 
 
