@@ -72,8 +72,9 @@ def test_randomness(documents):
     keys = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (24, 32, 44, 64, 88) for _ in range(8)]
     plain = ["internationalisationandmore" + str(i) for i in range(12)] + ["aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "1111111111222222222233333333334444444444"]
     rows = [(i, f"see {k} here") for i, k in enumerate(keys)] + [(100 + i, f"see {k} here") for i, k in enumerate(plain)]
-    found = {r["doc_id"] for r in S.scan(documents(rows)).where(F.size("secrets.spans") > 0).collect()}
-    values = {i: v for i, t in rows if (v := brute_log_p(t.split()[1])) is not None}
+    found = {r["doc_id"] for r in S.scan(documents(rows)).where(F.exists("secrets.spans", lambda s: s["kind"] == S.KINDS.index("random"))).collect()}
+    # Runs that the base patterns cover aren't candidates.
+    values = {i: v for i, t in rows if not brute(t) and (v := brute_log_p(t.split()[1])) is not None}
     level = brute_accepted(list(values.values()))
     assert found == {i for i, v in values.items() if v >= level}
     assert set(range(24, 40)) <= found and not found & set(range(100, 200))
