@@ -278,10 +278,10 @@ def list_dead(c):
 @query(
     "t11_read_log",
     """select m.id, m.created_at from topic_messages m join topic_subscriptions s on s.topic=m.topic
-       where s.topic='t2' and s.subscription_name='CHINA' and s.mode='log' and (s.cursor is null or m.id > s.cursor) order by m.id limit 30""",
+       where s.topic='t2' and s.subscription_name='NATION_2' and s.mode='log' and (s.cursor is null or m.id > s.cursor) order by m.id limit 30""",
 )
 def read_log(c):
-    return L.read_log(c.topic_messages, c.topic_subscriptions, "t2", "CHINA", 30).select("id", "created_at")
+    return L.read_log(c.topic_messages, c.topic_subscriptions, "t2", "NATION_2", 30).select("id", "created_at")
 
 
 @query("u1_union_all", f"select {ROW} from {ALL}")
@@ -294,9 +294,9 @@ def distinct_pairs(c):
     return c.topic_deliveries.select("topic", "subscription_name").distinct()
 
 
-@query("u4_cursor_only_subscriptions", "select topic, subscription_name from topic_subscriptions where mode='log' except select topic, subscription_name from topic_deliveries")
+@query("u4_cursor_only_subscriptions", "select topic, subscription_name from topic_subscriptions where mode='log' except select topic, subscription_name from topic_deliveries where not acked and attempts=3 and message_id < '000000000020'")
 def cursor_only(c):
-    return c.topic_subscriptions.where("mode = 'log'").select("topic", "subscription_name").join(c.topic_deliveries, ["topic", "subscription_name"], "left_anti")
+    return c.topic_subscriptions.where("mode = 'log'").select("topic", "subscription_name").join(c.topic_deliveries.where("not acked and attempts = 3 and message_id < '000000000020'"), ["topic", "subscription_name"], "left_anti")
 
 
 @query("u5_list_topics", "select distinct topic from topic_subscriptions")

@@ -23,11 +23,11 @@ def runs_keyset(c):
 
 @query(
     "j3_lease_available",
-    f"""select m.id, m.created_at from topic_messages m left join topic_deliveries d on d.message_id=m.id and d.topic=m.topic and d.subscription_name='BRAZIL'
+    f"""select m.id, m.created_at from topic_messages m left join topic_deliveries d on d.message_id=m.id and d.topic=m.topic and d.subscription_name='NATION_16'
         where m.topic='t1' and (d.message_id is null or (not d.acked and d.lease_expires_at <= {NOW_EVENTS})) order by m.id limit 500""",
 )
 def lease_available(c):
-    return J.available_messages(c.topic_messages, c.topic_deliveries, "t1", "BRAZIL", NOW_EVENTS, 500).select("id", "created_at")
+    return J.available_messages(c.topic_messages, c.topic_deliveries, "t1", "NATION_16", NOW_EVENTS, 500).select("id", "created_at")
 
 
 FREE = "status=0 and id not in (select e.job_id from job_dependencies e join jobs_all p on p.id=e.depends_on_job_id and p.status<>2)"
@@ -116,10 +116,10 @@ def claims_by_worker(c):
 @query(
     "j15_reap_subscriptions",
     f"""select topic, subscription_name from topic_subscriptions where owner_worker_id is not null and created_at < {NOW_JOBS - 60000}
-        and owner_worker_id not in (select worker_id from workers where last_heartbeat >= {CUTOFF})""",
+        and owner_worker_id not in (select worker_id from workers where last_heartbeat >= {NOW_JOBS - 10000})""",
 )
 def reap_subscriptions(c):
-    return J.reapable_subscriptions(c.topic_subscriptions, L.live_workers(c.workers, CUTOFF), NOW_JOBS).select("topic", "subscription_name")
+    return J.reapable_subscriptions(c.topic_subscriptions, L.live_workers(c.workers, NOW_JOBS - 10_000), NOW_JOBS).select("topic", "subscription_name")
 
 
 @query("j16_ring_owner")
