@@ -1,8 +1,8 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification, over words.
 
 Benchmark items fall into classes by length; the windows of a class have the class's length in words. A window at every
-word of every text is a candidate if enough of its words occur in items of its class: an item within its edit limit
-leaves no more than that many words of the window unexplained, so this count loses nothing. Each candidate is embedded by
+word of every text is a candidate if enough pairs of its neighbouring words occur in items of its class: an edit leaves at
+most two pairs of a window unexplained, so this count loses nothing that is within the edit limit. Each candidate is embedded by
 CGK random walks: at step t the walk emits the word under its pointer and moves on if a random bit of (t, word) says so.
 Words in edit distance d become strings whose Hamming distance is small with good probability. `REPETITIONS` walks with
 `BITS` sampled positions each are hashed; a window and an item that agree on all sampled positions of a walk are a pair.
@@ -33,7 +33,7 @@ BLOCK_CHARS = 4_000_000
 CACHE = 1 << 17
 EDGES = "\"'`.,;:!?()[]{}<>#*$%&|-_/\\…“”‘’«»"
 #: Texts that are searched together.
-SLICE = 256
+SLICE = 1024
 
 
 def bare_words(text: str) -> list[str]:
@@ -61,6 +61,7 @@ class Group:
 class Index:
     words: dict[str, int]
     member: np.ndarray  # word id -> bit mask of groups
+    pairs: np.ndarray  # hash of two neighbouring word ids -> bit mask of groups
     groups: list[Group]
     seed: int
 
@@ -88,6 +89,16 @@ def walk_keys(text: np.ndarray, starts: np.ndarray, length: int, seed: int, samp
     return key
 
 
+PAIR_TABLE = 1 << 20
+
+
+def pair_slots(ids: np.ndarray) -> np.ndarray:
+    """A slot of the table of pairs for each word and its successor; slot 0 where one of them is of no item."""
+    slots = ((ids[:-1] * 1_000_003) ^ (ids[1:] * 7919)) & (PAIR_TABLE - 1)
+    slots[(ids[:-1] == 0) | (ids[1:] == 0)] = 0
+    return slots
+
+
 def build(items: list[tuple], seed: int = 1) -> Index:
     vocabulary: dict[str, int] = {}
     groups: dict[int, Group] = {}
@@ -99,10 +110,11 @@ def build(items: list[tuple], seed: int = 1) -> Index:
             g.items.append((item, ids))
             g.allowed = max(g.allowed, int(LIMIT * len(ids)))
     ordered = sorted(groups.values(), key=lambda g: g.length)
-    member = np.zeros(len(vocabulary) + 1, dtype=np.int64)
+    member, pairs = np.zeros(len(vocabulary) + 1, dtype=np.int64), np.zeros(PAIR_TABLE, dtype=np.int64)
     for c, g in enumerate(ordered):
         for _, ids in g.items:
             member[ids] |= 1 << c
+            pairs[pair_slots(ids)] |= 1 << c
         rng = np.random.default_rng(seed + g.length)
         flat = np.concatenate([ids[: g.length] for _, ids in g.items])
         starts = np.arange(len(g.items)) * g.length
@@ -113,7 +125,8 @@ def build(items: list[tuple], seed: int = 1) -> Index:
             g.samples.append(sampled)
             g.keys.append(keys[order])
             g.owners.append(order)
-    return Index(vocabulary, member, ordered, seed)
+    pairs[0] = 0
+    return Index(vocabulary, member, pairs, ordered, seed)
 
 
 class Masks(dict):
@@ -159,10 +172,14 @@ def search(index: Index, texts: list[list[int]], masks: dict) -> Iterator[tuple[
         offsets.append(at)
         at += len(t) + gap
     offsets = np.array(offsets)
-    member = index.member[flat]
+    pairs_of = index.pairs[pair_slots(flat)]
     for c, g in enumerate(index.groups):
-        known = np.concatenate([[0], np.cumsum((member >> c) & 1)])
-        starts = np.nonzero(known[g.length :] - known[: -g.length] >= max(1, g.length - g.allowed))[0]
+        least = g.length - 1 - 2 * g.allowed
+        if least > 0:
+            known, span = np.concatenate([[0], np.cumsum((pairs_of >> c) & 1)]), g.length - 1
+        else:
+            known, span, least = np.concatenate([[0], np.cumsum((index.member[flat] >> c) & 1)]), g.length, max(1, g.length - g.allowed)
+        starts = np.nonzero(known[span:] - known[:-span] >= least)[0]
         if not len(starts):
             continue
         pairs = set()
