@@ -195,10 +195,11 @@ def scaled(total, peak, clauses):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Grammar:
     """Learns the insult weights and the coefficients from rows of `docs` that `labels` covers."""
-    marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("_label"))
+    marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
+    # The sample is drawn from the labels, so that texts stay where they are: its bound makes it safe to broadcast.
+    marks = F.broadcast(sampled(marks, "_label", "_id"))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
-    rows = rows.join(marks.withColumnRenamed(id_col, "_id"), "_id")
-    rows = sampled(rows, "_label", "_id").withColumn("_half", F.xxhash64(F.lit("half"), "_id").bitwiseAND(1).cast("int")).persist()
+    rows = rows.join(marks, "_id").withColumn("_half", F.xxhash64(F.lit("half"), "_id").bitwiseAND(1).cast("int")).persist()
     try:
         n = {(r[0], r[1]): r[2] for r in rows.groupBy("_label", "_half").count().collect()}
         n_pos, n_neg = [n.get((1, h), 0) for h in (0, 1)], [n.get((0, h), 0) for h in (0, 1)]
