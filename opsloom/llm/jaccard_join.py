@@ -15,7 +15,7 @@ similarity of their sets reaches NUMERATOR / 100. The join follows the prefix fi
    shingles, pairs within the group's largest component are never formed.
 
 The suffix filter bounds the Hamming distance of two sets from below by the differences of their counts in `PARTS`
-hash ranges. Verification intersects the hashed sets. Nothing grows with the square of a group of copies.
+hash ranges (counts over 127 are cut, which only lowers the bound). Verification intersects the hashed sets. Nothing grows with the square of a group of copies.
 
 Null or empty texts, and texts without words, have the empty set and link with nothing. Rows that repeat an id are
 treated alike: the id stands for all of them. Columns other than id and text are ignored.
@@ -36,38 +36,64 @@ WORDS = 5
 NUMERATOR = 75
 HEAVY = 500_000
 LEAST_HEAVY = 8
-PARTS = 64
-ROUNDS = 4
+PARTS = 256
+MOST_BLOCKS, BLOCK_PAIRS = 8, 15_000
+ROUNDS = 2
 PIVOTS = 3
-CACHE = 1 << 17
+COMPARED = 2
+#: Up to so many rows of ids, 16 bytes each, a side of a join is broadcast.
+BROADCAST_ROWS = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = WordHashes()
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: A random number for each byte, none for blanks, and odd multipliers for the places of bytes in a word.
+BYTES = np.random.default_rng(17).integers(1, 1 << 64, size=256, dtype=np.uint64)
+BYTES[BLANK] = 0
+PLACES = np.random.default_rng(23).integers(1, 1 << 64, size=1 << 12, dtype=np.uint64) | np.uint64(1)
+#: Texts are hashed in pieces of so many bytes, cut at blanks.
+PIECE = 1 << 20
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """The hashes of the words between blanks, computed from the bytes of all words at once."""
+    if len(raw) > PIECE:
+        cut = PIECE
+        while cut < len(raw) and not BLANK[raw[cut]]:
+            cut += 1
+        if cut < len(raw):
+            return np.concatenate([word_hashes(raw[:cut]), word_hashes(raw[cut:])])
+    b = np.frombuffer(raw, dtype=np.uint8)
+    blank = BLANK[b]
+    first = ~blank
+    first[1:] &= blank[:-1]
+    starts = np.nonzero(first)[0]
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    b = b[starts[0] :]
+    starts = starts - starts[0]
+    place = np.arange(len(b)) - np.repeat(starts, np.diff(starts, append=len(b)))
+    h = np.add.reduceat(BYTES[b] * PLACES[place & 4095], starts)
+    h ^= h >> np.uint64(32)
+    return h * MIX
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the text's word n-grams. Words lie between ASCII blanks, A-Z lower-cased; a text with
     fewer than n words has its whole sequence as the one shingle, a text without words none."""
-    tokens = text.encode("utf-8", "replace").lower().split()
-    n = len(tokens)
+    w = word_hashes(text.encode("utf-8", "replace").lower())
+    n = len(w)
     if not n:
-        return np.zeros(0, dtype=np.uint64)
-    w = np.fromiter(map(_HASHES.__getitem__, tokens), dtype=np.uint64, count=n)
+        return w
     k = min(words, n)
     h = np.full(n - k + 1, k, dtype=np.uint64)
     for i in range(k):
         h = h * MIX + w[i : n - k + 1 + i]
         h ^= h >> np.uint64(29)
-    return np.unique(h * MIX)
+    h *= MIX
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def prefix_length(n: int, percent: int = NUMERATOR) -> int:
@@ -105,7 +131,7 @@ def frequent_shingles(docs: DataFrame) -> DataFrame:
                 if text:
                     held.append(shingles(text))
                     size += len(held[-1])
-                    if size > 4_000_000:
+                    if size > 1_000_000:
                         yield flush()
                         held, size = [], 0
         if size:
@@ -131,7 +157,7 @@ def described(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFram
     of the set's PARTS hash ranges."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
-    @F.arrow_udf("n int, node long, prefix array<long>, light int, parts array<short>")
+    @F.arrow_udf("n int, node long, prefix array<long>, light int, parts array<byte>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             n, node, prefix, light, parts = [], [], [], [], []
@@ -143,36 +169,37 @@ def described(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFram
                 node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
                 prefix.append(ordered[:p].view(np.int64))
                 light.append(min(rare, p))
-                parts.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS).clip(max=32767).astype(np.int16))
+                parts.append(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS).clip(max=127).astype(np.int8))
             yield pa.StructArray.from_arrays(
-                [pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(light, pa.int32()), pa.array(parts, pa.list_(pa.int16()))],
+                [pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(light, pa.int32()), pa.array(parts, pa.list_(pa.int8()))],
                 names=["n", "node", "prefix", "light", "parts"],
             )
 
     return docs.select("_id", run("_text").alias("d")).select("_id", "d.*")
 
 
-def shared_rows(nodes: DataFrame) -> DataFrame:
+def shared_rows(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """h, heavy, node, n, pos of the prefix shingles that two or more nodes share."""
-    rows = nodes.select("node", "n", "light", F.posexplode("prefix").alias("pos", "h"))
-    rows = rows.select("h", (F.col("pos") >= F.col("light")).alias("heavy"), "node", "n", "pos")
+    firsts = nodes.select("node", F.col("first").alias("_id"))
+    firsts = F.broadcast(firsts) if nodes.count() <= BROADCAST_ROWS else firsts
+    rows = members.join(firsts, ["node", "_id"], "left_semi").select("node", "light", F.posexplode("prefix").alias("pos", "h"))
     # A group of a rare shingle is bounded, since it would be frequent otherwise; frequent ones are counted first.
-    light = rows.where("not heavy").withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("_c > 1").drop("_c")
-    frequent = rows.where("heavy")
+    light = rows.where("pos < light").select("h", "node", "pos")
+    light = light.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("_c > 1").select("h", F.lit(False).alias("heavy"), "node", "pos")
+    frequent = rows.where("pos >= light").select("h", "node", "pos")
     twice = frequent.groupBy("h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("h")
-    return light.unionByName(frequent.join(twice, "h"))
+    frequent = frequent.join(twice, "h").select("h", F.lit(True).alias("heavy"), "node", "pos")
+    return light.unionByName(frequent).join(nodes.select("node", "n"), "node").distinct()
 
 
 def pivots(shared: DataFrame, round_: int) -> DataFrame:
-    """h and an array of PIVOTS pivot nodes with their sizes. The first round takes nodes in whose order the shingle
-    comes early: they hold few rarer shingles, as the origin of a group of near copies does."""
+    """h and its pivot nodes with their sizes. The first round takes the node in whose order the shingle comes earliest: it
+    holds few rarer shingles, as the origin of a group of near copies does. Later rounds take PIVOTS nodes by hash."""
     early = (F.col("pos") * 1000 / F.col("n")).cast("int")
-    picks = []
-    for k in range(PIVOTS):
-        key = early if round_ == 0 and k == 0 else F.xxhash64(F.lit(round_ * PIVOTS + k), "node")
-        picks.append(F.min(F.struct(key.alias("key"), F.col("node").alias("node"), F.col("n").alias("n"))).alias(f"p{k}"))
+    keys = [early] if round_ == 0 else [F.xxhash64(F.lit(round_ * PIVOTS + k), "node") for k in range(PIVOTS)]
+    picks = [F.min(F.struct(key.alias("key"), F.col("node").alias("node"), F.col("n").alias("n"))).alias(f"p{k}") for k, key in enumerate(keys)]
     found = shared.groupBy("h").agg(*picks)
-    return found.select("h", F.explode(F.array_distinct(F.array(*[F.struct(f"p{k}.node", f"p{k}.n") for k in range(PIVOTS)]))).alias("p"))
+    return found.select("h", F.explode(F.array_distinct(F.array(*[F.struct(f"p{k}.node", f"p{k}.n") for k in range(len(keys))]))).alias("p"))
 
 
 def similar_sizes(a, b):
@@ -185,23 +212,26 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     parts = nodes.select("node", "n", "parts")
     left = parts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
     right = parts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y).cast("int")), F.lit(0), lambda acc, x: acc + x)
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda acc, x: acc + x)
     # Jaccard >= t is Hamming distance <= (na + nb) * (1 - t) / (1 + t).
-    near = F.col("na") + F.col("nb") >= 0
-    pairs = pairs.join(left, "a").join(right, "b").where(near & ((100 + NUMERATOR) * apart <= (100 - NUMERATOR) * (F.col("na") + F.col("nb"))))
+    pairs = pairs.join(left, "a").join(right, "b").where((100 + NUMERATOR) * apart <= (100 - NUMERATOR) * (F.col("na") + F.col("nb")))
     pairs = materialize(pairs.select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = nodes.join(wanted, "node", "left_semi").select("node", F.col("first").alias("_id"))
+    chosen = materialize(nodes.join(wanted, "node", "left_semi").select("node", F.col("first").alias("_id")), "chosen")
+    # Few documents are picked out where the texts lie; many are brought together with them by a shuffle.
+    few = chosen.count() <= BROADCAST_ROWS
 
-    @F.arrow_udf("binary")
-    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([shingles(t or "").tobytes() for t in values(texts)], pa.binary())
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                made = [shingles(t or "").tobytes() for t in part.column(1).to_pylist()]
+                # An id that repeats with another text is another node.
+                same = [xxhash.xxh3_64_intdigest(s) - (1 << 63) == n for s, n in zip(made, part.column(0).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["node", "set"]).filter(pa.array(same, pa.bool_()))
 
-    # An id that repeats with other texts gives sets of other nodes, which are left out.
-    made = docs.join(chosen, "_id").select("node", sets("_text").alias("set"))
-    node_of = F.arrow_udf(nodes_of_sets, "long")
-    made = materialize(made.where(node_of("set") == F.col("node")).dropDuplicates(["node"]), "sets")
+    made = docs.join(F.broadcast(chosen) if few else chosen, "_id").select("node", "_text").mapInArrow(sets, "node long, set binary")
+    made = materialize(made, "sets")
 
     @F.arrow_udf("boolean")
     def linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -213,13 +243,17 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 out.append(100 * both >= NUMERATOR * (len(x) + len(y) - both))
             yield pa.array(out, pa.bool_())
 
-    joined = pairs.join(made.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-    joined = joined.join(made.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    return materialize(joined.where(linked("sa", "sb")).select("a", "b"), "links")
-
-
-def nodes_of_sets(sets: pa.Array) -> pa.Array:
-    return pa.array([xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in values(sets)], pa.int64())
+    # A pair travels with a set, so that many pairs take much disk: they are verified in up to MOST_BLOCKS blocks, one
+    # after the other, each of which leaves only its links.
+    blocks = min(MOST_BLOCKS, 1 + pairs.count() // BLOCK_PAIRS)
+    found = None
+    for k in range(blocks):
+        own = pairs.where(F.pmod(F.xxhash64("a"), F.lit(blocks)) == k)
+        joined = own.join(made.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
+        joined = joined.join(made.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+        links = materialize(joined.where(linked("sa", "sb")).select("a", "b"), "links")
+        found = links if found is None else found.union(links)
+    return found
 
 
 def with_components(rows: DataFrame, labels: DataFrame | None, node: str, comp: str) -> DataFrame:
@@ -256,15 +290,18 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     without a link are in no row of the second table."""
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     members = materialize(described(docs, heavy_list(docs)), "sets")
-    nodes = members.where("n > 0").groupBy("node").agg(F.min("_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("light").alias("light"), F.first("parts").alias("parts"))
+    nodes = members.where("n > 0").groupBy("node").agg(F.min("_id").alias("first"), F.first("n").alias("n"), F.first("parts").alias("parts"))
     nodes = materialize(nodes, "nodes")
-    shared = materialize(shared_rows(nodes), "prefixes")
+    shared = materialize(shared_rows(members, nodes), "prefixes")
     labels, links = None, None
     for round_ in range(ROUNDS):
         rows = with_components(shared, labels, "node", "comp")
-        pairs = rows.join(pivots(shared, round_), "h").where(F.col("node") != F.col("p.node"))
-        pairs = pairs.where(similar_sizes(F.col("n"), F.col("p.n"))).select("node", F.col("p.node").alias("pivot"), "comp").distinct()
-        pairs = with_components(pairs, labels, "pivot", "pcomp").where("comp <> pcomp")
+        met = rows.join(pivots(shared, round_), "h").where(F.col("node") != F.col("p.node")).where(similar_sizes(F.col("n"), F.col("p.n")))
+        met = met.groupBy("node", "comp", F.col("p.node").alias("pivot")).agg(F.count(F.lit(1)).alias("shared"))
+        # Of the pivots that a node meets, the ones it shares most with are compared with it.
+        met = with_components(met, labels, "pivot", "pcomp").where("comp <> pcomp")
+        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "pivot"))
+        pairs = met.withColumn("_r", rank).where(F.col("_r") <= COMPARED)
         pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         found = verified(pairs, nodes, docs)
         if found.isEmpty():
