@@ -11,6 +11,12 @@ common words to both sides, up to `CONTEXT` a paragraph. What is found at one of
 of `PASSAGE` or more words are repeated passages. Documents and the sources of their passages form components; in each,
 the source keeps the passage and the others' stretches are removals.
 
+Passages that are equal word for word need no paragraph: every `PASSAGE` words that two documents share are found, wherever
+lines and sentences end. The least hash of the `ANCHOR`-word stretches in any `PASSAGE` words is an anchor (winnowing), so
+equal passages have an equal anchor. Around anchors that more than one document has, all stretches of `PASSAGE` words are
+grouped by their hash; the smallest id of each group is the source. Equality is transitive, so that one source for each
+group misses no pair, whatever shorter quotes other documents hold.
+
 Null and empty texts have no paragraph. Rows that repeat an id are read as that document's text each; a document is never
 a repeat of itself. Columns other than id and text are ignored.
 """
@@ -28,6 +34,7 @@ from opsloom.llm.common import materialize, values
 from opsloom.llm.components import components
 
 LEAST, PASSAGE, CONTEXT = 8, 50, 24
+ANCHOR = PASSAGE // 2
 BANDS, ROWS = 5, 2
 SHINGLE = 5
 SIMILAR = 0.75
@@ -197,6 +204,115 @@ def passages(text: str, candidates: list[dict]) -> list[dict]:
     return found
 
 
+def hashes_of(text: str) -> np.ndarray:
+    """The hashes of the text's words, numbered as by cut()."""
+    return np.array(list(map(_HASHES.__getitem__, text.encode("utf-8", "replace").split())), dtype=np.uint64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS = [powers(int(MIX), 1 << 12), powers(pow(int(MIX), -1, 1 << 64), 1 << 12)]
+
+
+def stretches(h: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the k words from each word on."""
+    n = len(h)
+    if n > len(_POWERS[0]):
+        _POWERS[:] = [powers(int(MIX), 2 * n), powers(pow(int(MIX), -1, 1 << 64), 2 * n)]
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * _POWERS[0][:n], dtype=np.uint64)])
+    x = (sums[k:] - sums[:-k]) * _POWERS[1][: n - k + 1]
+    x ^= x >> np.uint64(32)
+    x *= SEEDS[0]
+    return x ^ (x >> np.uint64(29))
+
+
+def lows(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of the `width` values from each value on."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = np.minimum(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def anchors(h: np.ndarray) -> np.ndarray:
+    """The anchor of the PASSAGE words from each word on."""
+    return lows(stretches(h, ANCHOR), PASSAGE - ANCHOR + 1)
+
+
+def anchor_rows(docs: DataFrame) -> DataFrame:
+    """key, _id of each text's anchors, each once a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, key = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+            for i, text in enumerate(values(batch.column(1))):
+                h = hashes_of(text)
+                if len(h) >= PASSAGE:
+                    key.append(np.unique(anchors(h)))
+                    owner.append(np.full(len(key[-1]), i))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(owner)))], names=["key", "_id"])
+
+    return docs.mapInArrow(run, f"key long, _id {docs.schema['_id'].dataType.simpleString()}")
+
+
+def stretch_rows(docs: DataFrame) -> DataFrame:
+    """key, _id, start of the stretches of PASSAGE words whose anchor is among the text's `_keys`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                owner, start, key = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+                for i, (text, keys) in enumerate(zip(part.column(1).to_pylist(), part.column(2), strict=True)):
+                    h = hashes_of(text)
+                    if len(h) >= PASSAGE:
+                        start.append(np.nonzero(np.isin(anchors(h), keys.values.to_numpy().view(np.uint64)))[0])
+                        key.append(stretches(h, PASSAGE)[start[-1]])
+                        owner.append(np.full(len(start[-1]), i))
+                join = np.concatenate
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(join(key).view(np.int64)), part.column(0).take(pa.array(join(owner))), pa.array(join(start).astype(np.int32))],
+                    names=["key", "_id", "start"],
+                )
+
+    return docs.select("_id", "_text", "_keys").mapInArrow(run, f"key long, _id {docs.schema['_id'].dataType.simpleString()}, start int")
+
+
+def spans_of(starts: list[int]) -> list[dict]:
+    """The stretches of PASSAGE words from these words on, joined where they overlap or touch."""
+    out = []
+    for s in sorted(starts):
+        if out and s <= out[-1]["end"]:
+            out[-1]["end"] = s + PASSAGE
+        else:
+            out.append({"start": s, "end": s + PASSAGE})
+    return out
+
+
+def equal_passages(docs: DataFrame) -> DataFrame:
+    """_id, source, start, end: the passages of PASSAGE or more words that equal those of a document with a smaller id."""
+    several = [F.min("_id").alias("source"), F.max("_id").alias("_last")]
+    rows = anchor_rows(docs)
+    shared = rows.groupBy("key").agg(*several).where("source <> _last").select("key")
+    keys = materialize(rows.join(shared, "key").groupBy("_id").agg(F.collect_set("key").alias("_keys")), "passage-anchors")
+    rows = materialize(stretch_rows(docs.join(keys, "_id")), "passage-stretches")
+    sources = rows.groupBy("key").agg(*several).where("source <> _last").drop("_last")
+    found = rows.join(sources, "key").where("_id <> source").groupBy("_id", "source").agg(F.collect_set("start").alias("_starts"))
+
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for starts in batches:
+            yield pa.array([spans_of(s) for s in values(starts)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+    return materialize(found.select("_id", "source", F.explode(run("_starts")).alias("p")).select("_id", "source", "p.start", "p.end"), "equal-passages")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, source, start, end: the repeated passages, as words of the document, and the document they repeat."""
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
@@ -213,7 +329,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.array([passages(t, f) for t, f in zip(values(texts, 128), values(found, 128), strict=True)], out_kind)
 
     rows = docs.join(told, "_id").select("_id", F.explode(verify("_text", "_found")).alias("p"))
-    return materialize(rows.select("_id", "p.source", "p.start", "p.end"), "passages")
+    alike = materialize(rows.select("_id", "p.source", "p.start", "p.end"), "passages")
+    return alike.union(equal_passages(docs)).distinct()
 
 
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

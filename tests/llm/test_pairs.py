@@ -129,3 +129,23 @@ def test_paragraphs(documents, rng):
         kept = " ".join(passages[k].split()[5:-5]) in " ".join(left[i].split())
         assert kept == (i % 10 == 0)
     assert P.clusters(documents([])).count() == 0
+
+
+def test_equal_passages_wherever_they_lie(documents, rng):
+    """Passages of 51 to 100 words: in the middle of a line, without stops, and in short lines."""
+    rows, held = [], {}
+    for k in range(60):
+        words = prose(rng, rng.randrange(51, 101)).split()
+        if k % 3:
+            words = [w.strip(".") for w in words]
+        lines = "\n" if k % 3 == 2 else " "
+        for c in range(2):
+            passage = " ".join(words) if lines == " " else "\n".join(" ".join(words[i : i + 5]) for i in range(0, len(words), 5))
+            before = 20 + rng.randrange(20)
+            rows.append((2 * k + c, f"{prose(rng, before)} {passage} {prose(rng, 30)}"))
+            held[2 * k + c] = (before, before + len(words))
+    found = {r["doc_id"]: r for r in P.clusters(documents(rows)).collect()}
+    for i, (a, b) in held.items():
+        assert found[i]["cluster_id"] == i - i % 2
+        gone = {w for s in found[i]["removals"] for w in range(s["start"], s["end"])}
+        assert (gone >= set(range(a, b))) if i % 2 else not gone
