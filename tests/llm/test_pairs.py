@@ -149,3 +149,15 @@ def test_equal_passages_wherever_they_lie(documents, rng):
         assert found[i]["cluster_id"] == i - i % 2
         gone = {w for s in found[i]["removals"] for w in range(s["start"], s["end"])}
         assert (gone >= set(range(a, b))) if i % 2 else not gone
+
+
+def test_equal_passages_whose_parts_are_quoted(documents, rng):
+    """Documents with smaller ids quote a sentence each of a passage that others share whole."""
+    parts = [prose(rng, 19) + " end%d." % k for k in range(3)]
+    rows = [(k + 1, f"{prose(rng, 30)}\n{p}\n{prose(rng, 30)}") for k, p in enumerate(parts)]
+    rows += [(i, f"{prose(rng, 25)}\n{chr(10).join(parts)}\n{prose(rng, 25)}") for i in range(10, 40)]
+    found = {r["doc_id"]: r for r in P.clusters(documents(rows)).collect()}
+    assert {i: r["cluster_id"] for i, r in found.items()} == dict.fromkeys(range(10, 40), 10)
+    for i in range(10, 40):
+        gone = {w for s in found[i]["removals"] for w in range(s["start"], s["end"])}
+        assert gone >= set(range(25, 85)) if i > 10 else not gone
