@@ -35,7 +35,8 @@ PATTERNS = {
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
 KINDS = [*PATTERNS, "random"]
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: An equals sign is padding at the end: the value after NAME= is a candidate of its own.
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Encodings, the first that fits counts: name, pattern, alphabet, and how much more often structured text repeats symbols.
 ENCODINGS = [
     ("hex", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", "0123456789abcdef", 2.5),

@@ -82,3 +82,14 @@ def test_randomness(documents):
 
 def test_empty_table(documents):
     assert S.scan(documents([])).count() == 0
+
+
+def test_random_values_after_names(documents):
+    rng = random.Random(5)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "DB_PASS={}", "https://h.example/x?sig={}&v=1", "PRIVATE_KEY={}==", "key:{}"]
+    rows = [(i, "see " + forms[i % 5].format("".join(rng.choice(alphabet) for _ in range(48))) + " here") for i in range(40)]
+    found = S.scan(documents(rows)).withColumn("masked", S.redact(F.col("text"), F.col("secrets.spans"))).collect()
+    for r in found:
+        value = re.search(r"[A-Za-z0-9]{48}", r["text"])[0]
+        assert value not in r["masked"] and S.MASK in r["masked"]
