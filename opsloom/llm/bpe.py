@@ -25,6 +25,8 @@ from opsloom.llm.common import values
 SHORT = 96
 CACHE = 1 << 17
 NO_RANK = 1 << 60
+#: White space other than spaces and line ends, a run of two, or one at the text's start or end.
+UNEVEN = regex.compile(r"[^\P{White_Space} \n]|[ \n][ \n]|^[ \n]|[ \n]\Z")
 # Fixed value: the pattern by which byte-level tokenizers of this family cut words.
 WORDS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -158,7 +160,7 @@ class Encoder(dict):
     def plain(self, text: str) -> bytes:
         """Where single spaces and line ends are the only white space, the pattern cuts before each space and around
         each line end, so that the stretches between them can be encoded and remembered on their own."""
-        if not text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        if not text or UNEVEN.search(text):
             return self.piece(text)
         spaced, out = self.spaced.__getitem__, []
         for line in text.split("\n"):

@@ -43,3 +43,8 @@ def test_frame(documents):
     got = {r["doc_id"]: (r["decoded"], r["score"]) for r in df.collect()}
     assert got == {i: (t or "", "x") for i, t in rows}
     assert bpe.encode(documents([]), VOCABULARY).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a\tb\tc\n\n\nd", "a\tb\tc\n\n", "a　b c  \n d", "a\rb\rc\n\n\nd e", " a\tb", "a\tb\n", "plain text\nwith lines"])
+def test_white_space_that_cancels_out(text):
+    same(text)
