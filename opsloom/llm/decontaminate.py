@@ -6,6 +6,8 @@ most two pairs of a window unexplained, so this count loses nothing that is with
 CGK random walks: at step t the walk emits the word under its pointer and moves on if a random bit of (t, word) says so.
 Words in edit distance d become strings whose Hamming distance is small with good probability. `REPETITIONS` walks with
 `BITS` sampled positions each are hashed; a window and an item that agree on all sampled positions of a walk are a pair.
+The walks' recall falls as edits grow with the item, so from `EXACT` words on they aren't used: there every window that passes
+the count is a pair with every item that keeps enough of its word pairs around it, which loses nothing within the limit.
 Pairs are verified by the exact semi-global edit distance over words, by a bit-parallel automaton.
 
 Texts are lower-cased, words lose punctuation at their ends. A text within edit distance `LIMIT` times an item's words
@@ -20,6 +22,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 
 LIMIT = 0.25
 REPETITIONS, BITS = 10, 2
+#: Windows of this length or more are verified without walks: the recall is 1.
+EXACT = 32
 GROWTH = 1.25
 BLOCK_CHARS = 4_000_000
 CACHE = 1 << 17
@@ -183,13 +188,13 @@ def search(index: Index, texts: list[list[int]], masks: dict) -> Iterator[tuple[
         if not len(starts):
             continue
         pairs = set()
-        for r in range(REPETITIONS):
+        for r in range(REPETITIONS if g.length < EXACT else 0):
             keys = walk_keys(flat, starts, g.length, index.seed + r, g.samples[r])
             lo, hi = np.searchsorted(g.keys[r], keys, "left"), np.searchsorted(g.keys[r], keys, "right")
             for k in np.nonzero(hi > lo)[0].tolist():
                 pairs.update((int(i), int(starts[k])) for i in g.owners[r][lo[k] : hi[k]])
         done = defaultdict(lambda: -1)
-        for i, start in sorted(pairs):
+        for i, start in sorted(pairs) if g.length < EXACT else product(range(len(g.items)), starts.tolist()):
             if start <= done[i]:
                 continue
             item, ids = g.items[i]
@@ -198,6 +203,9 @@ def search(index: Index, texts: list[list[int]], masks: dict) -> Iterator[tuple[
             owner = max(owner, 0)
             a = max(int(offsets[owner]), start - limit)
             b = min(int(offsets[owner]) + lengths[owner], start + len(ids) + 2 * limit + 1)
+            if g.length >= EXACT and np.isin(pair_slots(ids), pair_slots(flat[a:b])).sum() < len(ids) - 1 - 2 * limit:
+                # What holds for this stretch holds for this window only: the next one reaches further.
+                continue
             if (c, i) not in masks:
                 masks[c, i] = Masks(ids)
             distance, end = best_match(masks[c, i], flat[a:b].tolist())

@@ -161,3 +161,17 @@ def test_equal_passages_whose_parts_are_quoted(documents, rng):
     for i in range(10, 40):
         gone = {w for s in found[i]["removals"] for w in range(s["start"], s["end"])}
         assert gone >= set(range(25, 85)) if i > 10 else not gone
+
+
+def test_decontaminate_long_items_at_the_limit(spark, documents, rng):
+    """Items of 80 to 300 words with as many edits as the limit allows."""
+    items = [(i, prose(rng, n)) for i, n in enumerate((80, 120, 200, 300))]
+    rows = []
+    for k in range(40):
+        words = items[k % 4][1].split()
+        for e, at in enumerate(rng.sample(range(len(words)), len(words) // 4)):
+            words[at] = (f"new{e}", f"{words[at]} more{e}", "")[rng.randrange(3)]
+        rows.append((k, f"{prose(rng, 30)} {' '.join(words)} {prose(rng, 30)}"))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.matches(documents(rows), bench).collect()}
+    assert got >= {(k, k % 4) for k in range(40)}
