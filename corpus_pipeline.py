@@ -22,16 +22,19 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays. Rows that repeat an id share its fate."""
+    """Of each component of near copies the document with the smallest id stays. Rows that repeat an id share its fate;
+    rows without an id are no document's copy and stay."""
     named = jaccard_join.classes(docs)
     stays = named.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").select(docs.columns)
+    return docs.join(stays, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold an item of the benchmark."""
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Rejects documents that hold an item of the benchmark. Rows without an id are told apart by their text."""
+    items = table(spark, sf_dir, "benchmark")
+    named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    kept = named.join(decontaminate.contaminated(named, items), "doc_id", "left_anti").select(docs.columns)
+    return kept.unionByName(nameless.join(decontaminate.contaminated(nameless, items, id_col="text"), "text", "left_anti").select(docs.columns))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

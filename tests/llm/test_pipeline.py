@@ -27,3 +27,14 @@ def test_pipeline(spark):
 
 def test_run_gives_the_last_stage(spark):
     assert pipeline.run(spark, SF).columns[-3:] == ["token_ids", "n_tokens", "round_trip"]
+
+
+def test_rows_without_an_id(spark):
+    docs = table(spark, SF, "documents").limit(20)
+    item = table(spark, SF, "benchmark").where(F.length("text") > 60).first()["text"]
+    texts = ["a text of its own that nobody else has written down so far", f"so it goes. {item} and so on"]
+    nameless = [docs.limit(1).withColumn("doc_id", F.lit(None).cast("bigint")).withColumn("text", F.lit(t)) for t in texts]
+    docs = docs.unionByName(nameless[0]).unionByName(nameless[1])
+    kept = pipeline.one_of_each_group(spark, docs, SF).where("doc_id is null")
+    assert {r["text"] for r in kept.collect()} == set(texts)
+    assert [r["text"] for r in pipeline.without_benchmark(spark, docs, SF).where("doc_id is null").collect()] == texts[:1]
