@@ -7,7 +7,7 @@ CGK random walks: at step t the walk emits the word under its pointer and moves
 Words in edit distance d become strings whose Hamming distance is small with good probability. `REPETITIONS` walks with
 `BITS` sampled positions each are hashed; a window and an item that agree on all sampled positions of a walk are a pair.
 The walks' recall falls as edits grow with the item, so from `EXACT` words on they aren't used: there every window that passes
-the count is a pair with every item that keeps enough of its word pairs around it, which loses nothing within the limit.
+the count for an item's own word pairs is verified against that item, which loses nothing within the limit.
 Pairs are verified by the exact semi-global edit distance over words, by a bit-parallel automaton.
 
 Texts are lower-cased, words lose punctuation at their ends. A text within edit distance `LIMIT` times an item's words
@@ -22,7 +22,6 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -177,7 +176,8 @@ def search(index: Index, texts: list[list[int]], masks: dict) -> Iterator[tuple[
         offsets.append(at)
         at += len(t) + gap
     offsets = np.array(offsets)
-    pairs_of = index.pairs[pair_slots(flat)]
+    slots = pair_slots(flat)
+    pairs_of = index.pairs[slots]
     for c, g in enumerate(index.groups):
         least = g.length - 1 - 2 * g.allowed
         if least > 0:
@@ -193,8 +193,15 @@ def search(index: Index, texts: list[list[int]], masks: dict) -> Iterator[tuple[
             lo, hi = np.searchsorted(g.keys[r], keys, "left"), np.searchsorted(g.keys[r], keys, "right")
             for k in np.nonzero(hi > lo)[0].tolist():
                 pairs.update((int(i), int(starts[k])) for i in g.owners[r][lo[k] : hi[k]])
+        for i, (_, ids) in enumerate(g.items if g.length >= EXACT else ()):
+            # The same count as above, over the item's own pairs.
+            own = np.zeros(PAIR_TABLE, dtype=bool)
+            own[pair_slots(ids)] = True
+            known = np.concatenate([[0], np.cumsum(own[slots], dtype=np.int32)])
+            near = known[starts + g.length - 1] - known[starts] >= g.length - 1 - 2 * int(LIMIT * len(ids))
+            pairs.update((i, int(s)) for s in starts[near])
         done = defaultdict(lambda: -1)
-        for i, start in sorted(pairs) if g.length < EXACT else product(range(len(g.items)), starts.tolist()):
+        for i, start in sorted(pairs):
             if start <= done[i]:
                 continue
             item, ids = g.items[i]
@@ -203,9 +210,6 @@ def search(index: Index, texts: list[list[int]], masks: dict) -> Iterator[tuple[
             owner = max(owner, 0)
             a = max(int(offsets[owner]), start - limit)
             b = min(int(offsets[owner]) + lengths[owner], start + len(ids) + 2 * limit + 1)
-            if g.length >= EXACT and np.isin(pair_slots(ids), pair_slots(flat[a:b])).sum() < len(ids) - 1 - 2 * limit:
-                # What holds for this stretch holds for this window only: the next one reaches further.
-                continue
             if (c, i) not in masks:
                 masks[c, i] = Masks(ids)
             distance, end = best_match(masks[c, i], flat[a:b].tolist())
