@@ -3,22 +3,26 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import materialize
+from opsloom.llm.common import Tables
 
 
 def components(links: DataFrame) -> DataFrame:
     """`links` has the columns a and b, of one type. Returns id and comp, the smallest id of the component, for every id
     in a link. Each round takes the smallest label among neighbours and then the label's own label, so chains shorten by
-    half; every round's labels are a table in the shared folder. Null ends are ignored; no links give no rows."""
+    half; every round's labels are a table in the shared folder, which the next round's replaces. Null ends are ignored;
+    no links give no rows."""
+    tables = Tables(links.sparkSession, "components")
     links = links.select("a", "b").where("a <> b")
-    edges = materialize(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
+    edges = tables.write(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    now = tables.write(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
     while True:
+        labels = now.select("id", "comp")
         near = edges.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
         lower = labels.join(near, "id").select("id", F.least("comp", "near").alias("next"), F.col("comp").alias("was"))
         up = labels.select(F.col("id").alias("next"), F.col("comp").alias("jump"))
         jumped = lower.join(up, "next").select("id", F.least("next", "jump").alias("comp"), (F.least("next", "jump") != F.col("was")).alias("moved"))
-        now = materialize(jumped, "labels")
-        labels = now.select("id", "comp")
+        before, now = now, tables.write(jumped, "labels")
+        tables.drop(before)
         if now.where("moved").isEmpty():
-            return labels
+            tables.drop(edges)
+            return now.select("id", "comp")

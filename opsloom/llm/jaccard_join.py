@@ -1,24 +1,28 @@
 r"""N-gram Jaccard self-join by rare-first prefix filtering, and the components of its links.
 
-A document's set holds the hashes of its distinct word n-grams (see `shingles`). Two documents link when the Jaccard
-similarity of their sets reaches NUMERATOR / 100. The join follows the prefix filter:
-
-1. Shingles that are frequent in the corpus are counted; the threshold grows with the corpus so that there are at most
-   `HEAVY` of them, which bounds the broadcast. A set is ordered rare first: shingles without a count by hash, then the
-   frequent ones by count. Any common order keeps the filter exact; the counts only make it selective.
-2. Documents with equal sets are one node. A node emits the prefix of its set. Two nodes that link share a shingle of
-   the index prefix (1/7 of the smaller set) and the probe prefix (1/4 of the larger one).
-3. Nodes of a shared shingle are first compared with a few pivots of its group only, since a group of near copies needs
-   no more than its links to the pivots to be connected. `ROUNDS` rounds take other pivots for what is still apart.
+A document's set holds the 64-bit hashes of its distinct word n-grams (see `shingles`). Two documents link when the Jaccard
+similarity of their sets reaches NUMERATOR / 100. Documents with equal sets are one node, named by a hash of the set.
+
+1. Every shingle is counted over all nodes. Shingles and their nodes travel packed, sorted into ranges of hashes, a range
+   for each `RANGE` shingles of the corpus; copies within a task's flush travel once. Shingles so frequent that a range
+   couldn't hold them (`hot_shingles`) are counted first and pass the ranges by.
+2. The shingles that two or more nodes share go back to their nodes, packed likewise. A set is ordered rare first, by count
+   and hash, so its unshared shingles come first. A node whose shared shingles are too few for any link leaves here:
+   nodes of ordinary prose do, however many lines they share.
+3. Nodes that link share a shingle of the index prefix (1/7 of the smaller set) and of the probe prefix (1/4 of the larger).
+   Nodes of a shared prefix shingle are first compared with a few pivots of its group only, since a group of near copies
+   needs no more than its links to the pivots to be connected. `ROUNDS` rounds take other pivots for what is still apart.
 4. At last every pair that shares a prefix shingle, lies in different components and passes the length, positional and
-   suffix filters is verified, once. This makes the components exact whatever the pivots were. In groups of frequent
-   shingles, pairs within the group's largest component are never formed.
+   suffix filters is verified, once. This makes the components exact whatever the pivots were. Pairs within a component,
+   and so within a group of copies, are never formed.
 
-The suffix filter bounds the Hamming distance of two sets from below by the differences of their counts in `PARTS`
-hash ranges (counts over 127 are cut, which only lowers the bound). Verification intersects the hashed sets. Nothing grows with the square of a group of copies.
+The suffix filter bounds the common shingles of two nodes from above by their counts in `PARTS` ranges of hashes.
+Verification intersects the shared shingles, which is exact: what isn't shared is in no intersection.
 
-Null or empty texts, and texts without words, have the empty set and link with nothing. Rows that repeat an id are
-treated alike: the id stands for all of them. Columns other than id and text are ignored.
+Null or empty texts, and texts without words, have the empty set and link with nothing. A text of any length is read whole;
+its set has to fit a task. Ties don't matter: components don't depend on an order. Rows that repeat an id, or have none, are
+rows of their own: each is returned, and a component's id is the smallest that isn't null. An empty table gives no rows.
+Columns other than id and text are ignored, whatever their names.
 """
 
 from collections.abc import Iterator
@@ -29,52 +33,61 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import materialize, values
+from opsloom.llm.common import Tables
 from opsloom.llm.components import components
 
 WORDS = 5
 NUMERATOR = 75
-HEAVY = 500_000
-LEAST_HEAVY = 8
+#: Shingles of a flush, and those that one range or one part of the nodes holds on average.
+FLUSH, RANGE = 1_000_000, 3_000_000
+#: A shingle of so many nodes passes the ranges by; in larger corpora the number rises, so that at most HOT_LISTED are listed.
+HOT, HOT_LISTED = 100_000, 200_000
 PARTS = 256
-MOST_BLOCKS, BLOCK_PAIRS = 8, 15_000
-ROUNDS = 2
+ROUNDS = 4
 PIVOTS = 3
 COMPARED = 2
-#: Up to so many rows of ids, 16 bytes each, a side of a join is broadcast.
-BROADCAST_ROWS = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
-#: A random number for each byte, none for blanks, and odd multipliers for the places of bytes in a word.
+#: A random number for each byte, none for blanks, and odd multipliers for the places of bytes in a word. Words longer than
+#: the list of places are hashed one by one.
 BYTES = np.random.default_rng(17).integers(1, 1 << 64, size=256, dtype=np.uint64)
 BYTES[BLANK] = 0
 PLACES = np.random.default_rng(23).integers(1, 1 << 64, size=1 << 12, dtype=np.uint64) | np.uint64(1)
-#: Texts are hashed in pieces of so many bytes, cut at blanks.
-PIECE = 1 << 20
+#: Texts are hashed in pieces of about so many bytes, cut at blanks.
+PIECE = 1 << 19
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """The hashes of the words between blanks, computed from the bytes of all words at once."""
-    if len(raw) > PIECE:
-        cut = PIECE
+    """The hashes of the words between blanks."""
+    found, at = [], 0
+    while at < len(raw):
+        cut = at + PIECE
         while cut < len(raw) and not BLANK[raw[cut]]:
             cut += 1
-        if cut < len(raw):
-            return np.concatenate([word_hashes(raw[:cut]), word_hashes(raw[cut:])])
+        found.append(hashes_of_piece(raw[at:cut]))
+        at = cut
+    return np.concatenate(found) if len(found) != 1 else found[0]
+
+
+def hashes_of_piece(raw: bytes) -> np.ndarray:
+    """The hashes of the words of a piece, computed from the bytes of all words at once."""
+    raw = raw.lstrip()
+    if not raw:
+        return np.zeros(0, dtype=np.uint64)
     b = np.frombuffer(raw, dtype=np.uint8)
     blank = BLANK[b]
     first = ~blank
     first[1:] &= blank[:-1]
     starts = np.nonzero(first)[0]
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    b = b[starts[0] :]
-    starts = starts - starts[0]
     place = np.arange(len(b)) - np.repeat(starts, np.diff(starts, append=len(b)))
-    h = np.add.reduceat(BYTES[b] * PLACES[place & 4095], starts)
+    h = np.add.reduceat(BYTES[b] * PLACES[np.minimum(place, len(PLACES) - 1)], starts)
+    if len(place) > len(PLACES):
+        ends = np.nonzero(~blank & np.append(blank[1:], True))[0] + 1
+        for k in np.nonzero(ends - starts > len(PLACES))[0].tolist():
+            h[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
     h ^= h >> np.uint64(32)
     return h * MIX
 
@@ -82,7 +95,7 @@ def word_hashes(raw: bytes) -> np.ndarray:
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the text's word n-grams. Words lie between ASCII blanks, A-Z lower-cased; a text with
     fewer than n words has its whole sequence as the one shingle, a text without words none."""
-    w = word_hashes(text.encode("utf-8", "replace").lower())
+    w = word_hashes(text.encode("utf-8", "replace").lower()) if text else np.zeros(0, dtype=np.uint64)
     n = len(w)
     if not n:
         return w
@@ -93,112 +106,176 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
         h ^= h >> np.uint64(29)
     h *= MIX
     h.sort()
-    return h[np.concatenate([[True], h[1:] != h[:-1]])]
-
-
-def prefix_length(n: int, percent: int = NUMERATOR) -> int:
-    return n - -(-percent * n // 100) + 1
-
-
-def index_length(n: int, percent: int = NUMERATOR) -> int:
-    """The prefix that suffices for the smaller set of a pair."""
-    return n - -(-2 * percent * n // (100 + percent)) + 1
-
-
-def rare_first(s: np.ndarray, heavy: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The set in the common order, and how many of its shingles aren't frequent."""
-    if not len(heavy) or not len(s):
-        return s, len(s)
-    at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-    known = heavy[at] == s
-    light, frequent = s[~known], s[known]
-    return np.concatenate([light, frequent[np.argsort(counts[at[known]], kind="stable")]]), len(light)
-
-
-def frequent_shingles(docs: DataFrame) -> DataFrame:
-    """h and its number of rows, for shingles that occur twice or more within a task."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            more = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(h[more].view(np.int64)), pa.array(n[more]), pa.array([int(n.sum())] + [0] * (int(more.sum()) - 1) if more.any() else [], pa.int64())], names=["h", "n", "all"])
-
-        for batch in batches:
-            for text in values(batch.column(0)):
-                if text:
-                    held.append(shingles(text))
-                    size += len(held[-1])
-                    if size > 1_000_000:
-                        yield flush()
-                        held, size = [], 0
-        if size:
-            yield flush()
-
-    return docs.select("_text").mapInArrow(count, "h long, n long, all long")
-
-
-def heavy_list(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles, sorted, and their counts; at most about HEAVY."""
-    counted = frequent_shingles(docs).groupBy("h").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
-    counted = counted.where((F.col("n") >= LEAST_HEAVY) | (F.col("all") > 0))
-    counted = materialize(counted, "frequent")
-    total = counted.agg(F.sum("all")).first()[0] or 0
-    rows = counted.where(F.col("n") >= max(LEAST_HEAVY, total // HEAVY)).select("h", "n").toPandas()
-    h, n = rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    return h[firsts(h)]
+
+
+def name_of(s: np.ndarray) -> int:
+    """The name of the node of a set."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def prefix_length(n, percent: int = NUMERATOR):
+    return n + (-percent * n) // 100 + 1
+
+
+def firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where the columns' values, in order, differ from the ones before."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def packed(group: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each group: `group`, and the values of every column as bytes. Entries keep their order in a group."""
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    starts = np.nonzero(firsts(group))[0]
+    ends = starts + np.diff(starts, append=len(group))
+    arrays = [pa.array(group[starts].astype(np.int64))]
+    for column in columns.values():
+        column = column[order]
+        arrays.append(pa.array([column[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()))
+    return pa.RecordBatch.from_arrays(arrays, names=["group", *columns])
+
+
+def unpacked(table: pa.Table, **kinds) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]) for name, kind in kinds.items()]
+
+
+def share_of(h: np.ndarray, n: int) -> np.ndarray:
+    """The range, of n ranges of equal width, that a 64-bit hash lies in."""
+    return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def flushes(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch | None, list, dict]]:
+    """For each slice of a batch: the slice and its sets, and the sets by node name whenever FLUSH shingles have come
+    together, or nothing but these at the end."""
+    held, size = {}, 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [shingles(t or "") for t in part.column(column).to_pylist()]
+            full = {}
+            for s in sets:
+                if len(s) and (name := name_of(s)) not in held:
+                    held[name] = s
+                    size += len(s)
+            if size >= FLUSH:
+                full, held, size = held, {}, 0
+            yield part, sets, full
+    if held:
+        yield None, [], held
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """The members, a row for each document: _id, node, n. And rows with h and its nodes f, for shingles that two or more
+    nodes of a flush share."""
+    kind = docs.schema["_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_id", "node", "n", "h", "f"]
+        id_type = None
+        for part, sets, full in flushes(batches, 1):
+            if part is not None:
+                id_type = part.column(0).type
+                none = pa.nulls(len(sets), pa.int64())
+                nodes = pa.array([name_of(s) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), nodes, pa.array([len(s) for s in sets], pa.int64()), none, none], names=names)
+            if full:
+                h, f = np.unique(np.concatenate(list(full.values())), return_counts=True)
+                h, f = h[f > 1].view(np.int64), f[f > 1]
+                none = pa.nulls(len(h), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(h), id_type), none, none, pa.array(h), pa.array(f)], names=names)
+
+    return docs.select("_id", "_text").mapInArrow(run, f"_id {kind.simpleString()}, node long, n long, h long, f long")
+
+
+def hot_shingles(scan: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles too frequent for a range, sorted, and their counts. A shingle that is alone in each flush isn't counted,
+    but has no more entries in its range than there are flushes."""
+    rows = scan.where("h is not null").groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= max(HOT, total // HOT_LISTED)).toPandas()
+    h, f = rows["h"].to_numpy(np.int64).view(np.uint64), rows["f"].to_numpy(np.int64)
     order = np.argsort(h)
-    return h[order], n[order]
-
-
-def described(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """_id, n, node (a hash of the set), its prefix in the common order, how many of the prefix are rare, and the sizes
-    of the set's PARTS hash ranges."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
-
-    @F.arrow_udf("n int, node long, prefix array<long>, light int, parts array<byte>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            n, node, prefix, light, parts = [], [], [], [], []
-            for text in values(texts):
-                s = shingles(text or "")
-                ordered, rare = rare_first(s, *shared.value)
-                p = prefix_length(len(s)) if len(s) else 0
-                n.append(len(s))
-                node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-                prefix.append(ordered[:p].view(np.int64))
-                light.append(min(rare, p))
-                parts.append(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS).clip(max=127).astype(np.int8))
-            yield pa.StructArray.from_arrays(
-                [pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(light, pa.int32()), pa.array(parts, pa.list_(pa.int8()))],
-                names=["n", "node", "prefix", "light", "parts"],
-            )
-
-    return docs.select("_id", run("_text").alias("d")).select("_id", "d.*")
-
-
-def shared_rows(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """h, heavy, node, n, pos of the prefix shingles that two or more nodes share."""
-    firsts = nodes.select("node", F.col("first").alias("_id"))
-    firsts = F.broadcast(firsts) if nodes.count() <= BROADCAST_ROWS else firsts
-    rows = members.join(firsts, ["node", "_id"], "left_semi").select("node", "light", F.posexplode("prefix").alias("pos", "h"))
-    # A group of a rare shingle is bounded, since it would be frequent otherwise; frequent ones are counted first.
-    light = rows.where("pos < light").select("h", "node", "pos")
-    light = light.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("_c > 1").select("h", F.lit(False).alias("heavy"), "node", "pos")
-    frequent = rows.where("pos >= light").select("h", "node", "pos")
-    twice = frequent.groupBy("h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("h")
-    frequent = frequent.join(twice, "h").select("h", F.lit(True).alias("heavy"), "node", "pos")
-    return light.unionByName(frequent).join(nodes.select("node", "n"), "node").distinct()
-
-
-def pivots(shared: DataFrame, round_: int) -> DataFrame:
+    return h[order], f[order]
+
+
+def sent(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], ranges: int) -> DataFrame:
+    """The packed shingles of all nodes with their nodes and set sizes, by range of hashes; hot shingles, which have their
+    count already, by part of the nodes, in groups numbered from `ranges` on."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, counts = shared.value
+        for _, _, full in flushes(batches, 0):
+            if full:
+                sizes = np.fromiter(map(len, full.values()), np.int64, len(full))
+                h, n = np.concatenate(list(full.values())), np.repeat(sizes.astype(np.uint32), sizes)
+                node = np.repeat(np.fromiter(full, np.int64, len(full)).view(np.uint64), sizes)
+                group, c = share_of(h, ranges), np.zeros(len(h), dtype=np.int64)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+                    known = frequent[at] == h
+                    group[known], c[known] = ranges + share_of(node[known], ranges), counts[at[known]]
+                yield packed(group, h=h, node=node, n=n, c=c)
+
+    return docs.select("_text").mapInArrow(run, "group long, h binary, node binary, n binary, c binary")
+
+
+KINDS = {"h": np.uint64, "node": np.uint64, "n": np.uint32, "c": np.int64}
+
+
+def returned(packs: DataFrame, ranges: int) -> DataFrame:
+    """The shared shingles with their counts, packed by part of the nodes."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        h, node, n, c = unpacked(table, **KINDS)
+        if key[0].as_py() < ranges:
+            # Most shingles have one entry: these go first, which spares the full sort by node.
+            order = np.argsort(h, kind="stable")
+            first = firsts(h[order])
+            order = order[~(first & np.append(first[1:], True))]
+            order = order[np.lexsort((node[order], h[order]))]
+            order = order[firsts(h[order], node[order])]
+            h, node, n = h[order], node[order], n[order]
+            place = np.cumsum(firsts(h)) - 1
+            c = np.bincount(place)[place]
+            h, node, n, c = h[c > 1], node[c > 1], n[c > 1], c[c > 1]
+        return pa.Table.from_batches([packed(share_of(node, ranges), h=h, node=node, n=n, c=c)])
+
+    return packs.groupBy("group").applyInArrow(run, "group long, h binary, node binary, n binary, c binary")
+
+
+def described(packs: DataFrame) -> DataFrame:
+    """The nodes that can link: node, n, their shared shingles rare first, how many of these lie in the prefix, and
+    their counts in PARTS ranges."""
+    kind = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shared", pa.list_(pa.int64())), ("prefix", pa.int64()), ("parts", pa.list_(pa.int16()))])
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        h, node, n, c = unpacked(table, **KINDS)
+        order = np.lexsort((h, c, node))
+        order = order[firsts(h[order], node[order])]
+        h, node, n = h[order], node[order], n[order].astype(np.int64)
+        starts = np.nonzero(firsts(node))[0]
+        sizes, n = np.diff(starts, append=len(h)), n[starts]
+        able = 100 * sizes >= NUMERATOR * n
+        h, node, n, sizes = h[np.repeat(able, sizes)], node[starts][able], n[able], sizes[able]
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        cell = np.repeat(np.arange(len(sizes)), sizes) * PARTS + (h >> np.uint64(56)).astype(np.int64)
+        parts = np.bincount(cell, minlength=len(sizes) * PARTS).clip(max=32767).astype(np.int16)
+        edges = np.arange(len(sizes) + 1, dtype=np.int32) * PARTS
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64))), pa.ListArray.from_arrays(pa.array(edges), pa.array(parts))
+        return pa.Table.from_arrays([pa.array(node.view(np.int64)), pa.array(n), lists[0], pa.array(prefix_length(n) - n + sizes), lists[1]], schema=kind)
+
+    return packs.groupBy("group").applyInArrow(run, "node long, n long, shared array<long>, prefix long, parts array<short>")
+
+
+def pivots(rows: DataFrame, round_: int) -> DataFrame:
     """h and its pivot nodes with their sizes. The first round takes the node in whose order the shingle comes earliest: it
     holds few rarer shingles, as the origin of a group of near copies does. Later rounds take PIVOTS nodes by hash."""
     early = (F.col("pos") * 1000 / F.col("n")).cast("int")
     keys = [early] if round_ == 0 else [F.xxhash64(F.lit(round_ * PIVOTS + k), "node") for k in range(PIVOTS)]
     picks = [F.min(F.struct(key.alias("key"), F.col("node").alias("node"), F.col("n").alias("n"))).alias(f"p{k}") for k, key in enumerate(keys)]
-    found = shared.groupBy("h").agg(*picks)
+    found = rows.groupBy("h").agg(*picks)
     return found.select("h", F.explode(F.array_distinct(F.array(*[F.struct(f"p{k}.node", f"p{k}.n") for k in range(len(keys))]))).alias("p"))
 
 
@@ -206,54 +283,23 @@ def similar_sizes(a, b):
     return (100 * a >= NUMERATOR * b) & (100 * b >= NUMERATOR * a)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that link. Sizes of hash ranges are compared first; sets are made, from the text of one
-    document of each node, only for nodes of the pairs that remain."""
-    parts = nodes.select("node", "n", "parts")
-    left = parts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
-    right = parts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda acc, x: acc + x)
-    # Jaccard >= t is Hamming distance <= (na + nb) * (1 - t) / (1 + t).
-    pairs = pairs.join(left, "a").join(right, "b").where((100 + NUMERATOR) * apart <= (100 - NUMERATOR) * (F.col("na") + F.col("nb")))
-    pairs = materialize(pairs.select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = materialize(nodes.join(wanted, "node", "left_semi").select("node", F.col("first").alias("_id")), "chosen")
-    # Few documents are picked out where the texts lie; many are brought together with them by a shuffle.
-    few = chosen.count() <= BROADCAST_ROWS
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                made = [shingles(t or "").tobytes() for t in part.column(1).to_pylist()]
-                # An id that repeats with another text is another node.
-                same = [xxhash.xxh3_64_intdigest(s) - (1 << 63) == n for s, n in zip(made, part.column(0).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["node", "set"]).filter(pa.array(same, pa.bool_()))
-
-    made = docs.join(F.broadcast(chosen) if few else chosen, "_id").select("node", "_text").mapInArrow(sets, "node long, set binary")
-    made = materialize(made, "sets")
-
-    @F.arrow_udf("boolean")
-    def linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for one, two in batches:
-            out = []
-            for x, y in zip(values(one), values(two), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(100 * both >= NUMERATOR * (len(x) + len(y) - both))
-            yield pa.array(out, pa.bool_())
-
-    # A pair travels with a set, so that many pairs take much disk: they are verified in up to MOST_BLOCKS blocks, one
-    # after the other, each of which leaves only its links.
-    blocks = min(MOST_BLOCKS, 1 + pairs.count() // BLOCK_PAIRS)
-    found = None
-    for k in range(blocks):
-        own = pairs.where(F.pmod(F.xxhash64("a"), F.lit(blocks)) == k)
-        joined = own.join(made.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-        joined = joined.join(made.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-        links = materialize(joined.where(linked("sa", "sb")).select("a", "b"), "links")
-        found = links if found is None else found.union(links)
-    return found
+def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that link."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(left, "a").join(right, "b").where(100 * both >= NUMERATOR * (F.col("na") + F.col("nb") - both)).select("a", "b")
+
+
+def suffix_filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose counts in ranges of hashes leave enough room for common shingles."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
+    # A range whose count was cut bounds nothing.
+    least = F.zip_with("pa", "pb", lambda x, y: F.when((x == 32767) & (y == 32767), F.lit(1 << 40)).otherwise(F.least(x, y).cast("long")))
+    room = F.aggregate(least, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    # Jaccard >= t is an intersection of t / (1 + t) of both sizes.
+    return pairs.join(left, "a").join(right, "b").where((100 + NUMERATOR) * room >= NUMERATOR * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def with_components(rows: DataFrame, labels: DataFrame | None, node: str, comp: str) -> DataFrame:
@@ -263,61 +309,71 @@ def with_components(rows: DataFrame, labels: DataFrame | None, node: str, comp:
     return rows.join(named, node, "left").withColumn(comp, F.coalesce("_comp", node)).drop("_comp")
 
 
-def remaining_pairs(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Every pair of nodes in different components that passes the prefix, length and positional filters."""
-    rows = with_components(shared, labels, "node", "comp")
+def apart(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The prefix shingles whose nodes lie in two or more components, with these."""
+    rows = with_components(rows.select("h", "node", "n", "pos"), labels, "node", "comp")
     split = rows.groupBy("h").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("h")
-    rows = materialize(rows.join(split, "h"), "apart")
-    sizes = rows.where("heavy").groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("h").agg(F.max_by("comp", "c").alias("largest"))
-    light, heavy = rows.where("not heavy"), rows.where("heavy").join(largest, "h").withColumn("main", F.expr("comp = largest")).drop("largest")
-    index = F.expr(f"n - ceil({2 * NUMERATOR} * n / {100 + NUMERATOR}) + 1")
+    return rows.join(split, "h", "left_semi")
 
-    def met(small: DataFrame, large: DataFrame) -> DataFrame:
-        x = small.where(F.col("pos") < index).select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("comp").alias("ca"))
-        y = large.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"), F.col("comp").alias("cb"))
-        ordered = F.expr("ca <> cb and (na < nb or (na = nb and a < b))")
-        overlap = 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
-        enough = (100 + NUMERATOR) * overlap >= NUMERATOR * (F.col("na") + F.col("nb"))
-        return x.join(y, "h").where(ordered & similar_sizes(F.col("na"), F.col("nb")) & enough).select("a", "b")
 
-    others, main = heavy.where("not main"), heavy.where("main")
-    return met(light, light).union(met(others, heavy)).union(met(main, others)).distinct()
+def remaining_pairs(rows: DataFrame) -> DataFrame:
+    """Every pair of nodes in different components that passes the prefix, length and positional filters. A group's
+    largest component meets the others only."""
+    sizes = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    x = rows.join(main, "h").where("comp <> main").select("h", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("ix"), F.col("comp").alias("cx"))
+    y = rows.select("h", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("iy"), F.col("comp").alias("cy"))
+    index = "{0} - ceil(%d * {0} / %d) + 1" % (2 * NUMERATOR, 100 + NUMERATOR)
+    first = F.expr(f"if(nx < ny or (nx = ny and x < y), ix < {index.format('nx')}, iy < {index.format('ny')})")
+    overlap = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
+    enough = (100 + NUMERATOR) * overlap >= NUMERATOR * (F.col("nx") + F.col("ny"))
+    met = x.join(y, (x["h"] == y["h"]) & (F.col("cx") != F.col("cy")) & similar_sizes(F.col("nx"), F.col("ny")) & enough & first)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The members, a row for each document with `_id`, `n` and `node`, and the components of nodes: id, comp. Nodes
-    without a link are in no row of the second table."""
+    without a link are in no row of the second table; documents without words have no node."""
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    members = materialize(described(docs, heavy_list(docs)), "sets")
-    nodes = members.where("n > 0").groupBy("node").agg(F.min("_id").alias("first"), F.first("n").alias("n"), F.first("parts").alias("parts"))
-    nodes = materialize(nodes, "nodes")
-    shared = materialize(shared_rows(members, nodes), "prefixes")
+    tables = Tables(docs.sparkSession, "jaccard")
+    scan = tables.write(scanned(docs), "members")
+    members = scan.where("n is not null").select("_id", "node", "n")
+    total = members.agg(F.sum("n")).first()[0] or 0
+    ranges = 1 + total // RANGE
+    packs = sent(docs, hot_shingles(scan, total), ranges)
+    nodes = tables.write(described(returned(packs, ranges)), "nodes")
+    own = F.col("n") - F.size("shared")
+    prefixes = nodes.select("node", "n", own.alias("_own"), F.posexplode(F.slice("shared", F.lit(1), F.col("prefix").cast("int"))).alias("_at", "h"))
+    prefixes = tables.write(prefixes.select("h", "node", "n", (F.col("_own") + F.col("_at")).alias("pos")), "prefixes")
     labels, links = None, None
     for round_ in range(ROUNDS):
-        rows = with_components(shared, labels, "node", "comp")
-        met = rows.join(pivots(shared, round_), "h").where(F.col("node") != F.col("p.node")).where(similar_sizes(F.col("n"), F.col("p.n")))
-        met = met.groupBy("node", "comp", F.col("p.node").alias("pivot")).agg(F.count(F.lit(1)).alias("shared"))
+        rows = tables.write(apart(prefixes, labels), "apart")
+        met = rows.join(pivots(rows, round_), "h").where(F.col("node") != F.col("p.node")).where(similar_sizes(F.col("n"), F.col("p.n")))
+        met = met.groupBy("node", "comp", F.col("p.node").alias("pivot")).agg(F.count(F.lit(1)).alias("met"))
         # Of the pivots that a node meets, the ones it shares most with are compared with it.
         met = with_components(met, labels, "pivot", "pcomp").where("comp <> pcomp")
-        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "pivot"))
+        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("met"), "pivot"))
         pairs = met.withColumn("_r", rank).where(F.col("_r") <= COMPARED)
         pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        found = verified(pairs, nodes, docs)
+        found = tables.write(verified(pairs, nodes), "links")
+        tables.drop(rows)
         if found.isEmpty():
             break
         links = found if links is None else links.union(found)
         labels = components(links)
-    found = verified(remaining_pairs(shared, labels), nodes, docs)
-    links = found if links is None else links.union(found)
-    return members.select("_id", "n", "node"), components(links)
+    rows = tables.write(apart(prefixes, labels), "apart")
+    pairs = tables.write(suffix_filtered(remaining_pairs(rows), nodes), "pairs")
+    found = tables.write(verified(pairs, nodes), "links")
+    labels = components(found if links is None else links.union(found))
+    tables.drop(rows, pairs, prefixes, nodes)
+    return members, labels
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of `docs`: its id, `n_shingles`, and `component_id`, the smallest id in its component."""
     members, labels = link(docs, id_col, text_col)
     rows = with_components(members, labels, "node", "comp")
-    # Documents without shingles share a node but no link: each is a component of its own.
+    # Documents without shingles have no node: each is a component of its own.
     smallest = rows.where("n > 0").groupBy("comp").agg(F.min("_id").alias("component_id"))
     rows = rows.join(smallest, "comp", "left")
-    return rows.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+    return rows.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))

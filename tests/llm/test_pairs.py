@@ -175,3 +175,29 @@ def test_decontaminate_long_items_at_the_limit(spark, documents, rng):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]) for r in D.matches(documents(rows), bench).collect()}
     assert got >= {(k, k % 4) for k in range(40)}
+
+
+def test_classes_with_a_shingle_in_every_document(spark, documents, rng, monkeypatch):
+    """One line in every document of many partitions, with few shingles to a range and a flush, so that it is hot."""
+    for name, value in (("FLUSH", 3000), ("RANGE", 2000), ("HOT", 40)):
+        monkeypatch.setattr(J, name, value)
+    line = prose(rng, 30)
+    rows = [(i, f"{line}\n{prose(rng, rng.choice((2, 4, 40)))}") for i in range(400)]
+    family = prose(rng, 80)
+    rows += [(1000 + i, f"{line} {mutated(rng, family, rng.randrange(4))}") for i in range(150)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.classes(documents(rows).repartition(24)).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_long_words_differ(documents):
+    words = ["a" + "x" * 4095 + "b", "b" + "x" * 4095 + "a", "a" + "x" * 4999 + "b", "a" + "x" * 4997 + "yxb"]
+    assert len({int(J.word_hashes(w.encode())[0]) for w in words}) == 4
+    assert J.word_hashes(" ".join(words * 60).encode()).tolist() == [int(J.word_hashes(w.encode())[0]) for w in words] * 60
+    rows = [(i, w) for i, w in enumerate(words)] + [(9, words[2])]
+    assert {r["doc_id"]: r["component_id"] for r in J.classes(documents(rows)).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 9: 2}
+
+
+def test_classes_without_ids(documents):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (None, None), (8, "other words")]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.classes(documents(rows)).collect()), key=str)
+    assert got == sorted([(None, 2, 7), (None, 2, 7), (7, 2, 7), (None, 0, None), (8, 1, 8)], key=str)
