@@ -4,7 +4,7 @@ A document's set holds the 64-bit hashes of its distinct word n-grams (see `shin
 similarity of their sets reaches NUMERATOR / 100. Documents with equal sets are one node, named by a hash of the set.
 
 1. Every shingle is counted over all nodes. Shingles and their nodes travel packed, sorted into ranges of hashes, a range
-   for each `RANGE` shingles of the corpus; copies within a task's flush travel once. Shingles so frequent that a range
+   for each `packs.RANGE` shingles of the corpus; copies within a task's flush travel once. Shingles so frequent that a range
    couldn't hold them (`hot_shingles`) are counted first and pass the ranges by.
 2. The shingles that two or more nodes share go back to their nodes, packed likewise. A set is ordered rare first, by count
    and hash, so its unshared shingles come first. A node whose shared shingles are too few for any link leaves here:
@@ -33,80 +33,29 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsloom.llm import packs
 from opsloom.llm.common import Tables
 from opsloom.llm.components import components
+from opsloom.llm.words import grams, raw_of, word_hashes
 
 WORDS = 5
 NUMERATOR = 75
-#: Shingles of a flush, and those that one range or one part of the nodes holds on average.
-FLUSH, RANGE = 1_000_000, 3_000_000
-#: A shingle of so many nodes passes the ranges by; in larger corpora the number rises, so that at most HOT_LISTED are listed.
-HOT, HOT_LISTED = 100_000, 200_000
+#: Shingles of a flush.
+FLUSH = 1_000_000
+#: A shingle of so many nodes passes the ranges by; in larger corpora the number rises, as packs.HOT_LISTED says.
+HOT = packs.HOT
 PARTS = 256
 ROUNDS = 4
 PIVOTS = 3
 COMPARED = 2
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-BLANK = np.zeros(256, dtype=bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
-#: A random number for each byte, none for blanks, and odd multipliers for the places of bytes in a word. Words longer than
-#: the list of places are hashed one by one.
-BYTES = np.random.default_rng(17).integers(1, 1 << 64, size=256, dtype=np.uint64)
-BYTES[BLANK] = 0
-PLACES = np.random.default_rng(23).integers(1, 1 << 64, size=1 << 12, dtype=np.uint64) | np.uint64(1)
-#: Texts are hashed in pieces of about so many bytes, cut at blanks.
-PIECE = 1 << 19
-
-
-def word_hashes(raw: bytes) -> np.ndarray:
-    """The hashes of the words between blanks."""
-    found, at = [], 0
-    while at < len(raw):
-        cut = at + PIECE
-        while cut < len(raw) and not BLANK[raw[cut]]:
-            cut += 1
-        found.append(hashes_of_piece(raw[at:cut]))
-        at = cut
-    return np.concatenate(found) if len(found) != 1 else found[0]
-
-
-def hashes_of_piece(raw: bytes) -> np.ndarray:
-    """The hashes of the words of a piece, computed from the bytes of all words at once."""
-    raw = raw.lstrip()
-    if not raw:
-        return np.zeros(0, dtype=np.uint64)
-    b = np.frombuffer(raw, dtype=np.uint8)
-    blank = BLANK[b]
-    first = ~blank
-    first[1:] &= blank[:-1]
-    starts = np.nonzero(first)[0]
-    place = np.arange(len(b)) - np.repeat(starts, np.diff(starts, append=len(b)))
-    h = np.add.reduceat(BYTES[b] * PLACES[np.minimum(place, len(PLACES) - 1)], starts)
-    if len(place) > len(PLACES):
-        ends = np.nonzero(~blank & np.append(blank[1:], True))[0] + 1
-        for k in np.nonzero(ends - starts > len(PLACES))[0].tolist():
-            h[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
-    h ^= h >> np.uint64(32)
-    return h * MIX
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the text's word n-grams. Words lie between ASCII blanks, A-Z lower-cased; a text with
     fewer than n words has its whole sequence as the one shingle, a text without words none."""
-    w = word_hashes(text.encode("utf-8", "replace").lower()) if text else np.zeros(0, dtype=np.uint64)
-    n = len(w)
-    if not n:
-        return w
-    k = min(words, n)
-    h = np.full(n - k + 1, k, dtype=np.uint64)
-    for i in range(k):
-        h = h * MIX + w[i : n - k + 1 + i]
-        h ^= h >> np.uint64(29)
-    h *= MIX
+    h = grams(word_hashes(raw_of(text)), words)
     h.sort()
-    return h[firsts(h)]
+    return h[packs.firsts(h)]
 
 
 def name_of(s: np.ndarray) -> int:
@@ -118,35 +67,6 @@ def prefix_length(n, percent: int = NUMERATOR):
     return n + (-percent * n) // 100 + 1
 
 
-def firsts(*columns: np.ndarray) -> np.ndarray:
-    """Where the columns' values, in order, differ from the ones before."""
-    out = np.ones(len(columns[0]), dtype=bool)
-    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    return out
-
-
-def packed(group: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
-    """A row for each group: `group`, and the values of every column as bytes. Entries keep their order in a group."""
-    order = np.argsort(group, kind="stable")
-    group = group[order]
-    starts = np.nonzero(firsts(group))[0]
-    ends = starts + np.diff(starts, append=len(group))
-    arrays = [pa.array(group[starts].astype(np.int64))]
-    for column in columns.values():
-        column = column[order]
-        arrays.append(pa.array([column[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()))
-    return pa.RecordBatch.from_arrays(arrays, names=["group", *columns])
-
-
-def unpacked(table: pa.Table, **kinds) -> list[np.ndarray]:
-    return [np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]) for name, kind in kinds.items()]
-
-
-def share_of(h: np.ndarray, n: int) -> np.ndarray:
-    """The range, of n ranges of equal width, that a 64-bit hash lies in."""
-    return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
-
-
 def flushes(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch | None, list, dict]]:
     """For each slice of a batch: the slice and its sets, and the sets by node name whenever FLUSH shingles have come
     together, or nothing but these at the end."""
@@ -193,69 +113,80 @@ def scanned(docs: DataFrame) -> DataFrame:
 def hot_shingles(scan: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles too frequent for a range, sorted, and their counts. A shingle that is alone in each flush isn't counted,
     but has no more entries in its range than there are flushes."""
-    rows = scan.where("h is not null").groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= max(HOT, total // HOT_LISTED)).toPandas()
+    rows = scan.where("h is not null").groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= max(HOT, total // packs.HOT_LISTED)).toPandas()
     h, f = rows["h"].to_numpy(np.int64).view(np.uint64), rows["f"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], f[order]
 
 
-def sent(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], ranges: int) -> DataFrame:
-    """The packed shingles of all nodes with their nodes and set sizes, by range of hashes; hot shingles, which have their
-    count already, by part of the nodes, in groups numbered from `ranges` on."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+#: An entry: a shingle, the node that has it, and the node's number of shingles; once it is counted, the shingle's nodes.
+ENTRY = {"h": np.uint64, "node": np.uint64, "n": np.uint32}
+COUNTED = ENTRY | {"c": np.uint32}
+
+
+def places(h: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each hash whether the sorted list has it, and where."""
+    if not len(listed):
+        return np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=np.int64)
+    at = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
+    return listed[at] == h, at
+
+
+def sent(docs: DataFrame, hot: np.ndarray, ranges: int) -> DataFrame:
+    """The packed shingles of all nodes, by range of hashes; hot ones by part of the nodes, in groups numbered from `ranges`
+    on."""
+    listed = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_LISTED at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts = shared.value
         for _, _, full in flushes(batches, 0):
             if full:
                 sizes = np.fromiter(map(len, full.values()), np.int64, len(full))
                 h, n = np.concatenate(list(full.values())), np.repeat(sizes.astype(np.uint32), sizes)
                 node = np.repeat(np.fromiter(full, np.int64, len(full)).view(np.uint64), sizes)
-                group, c = share_of(h, ranges), np.zeros(len(h), dtype=np.int64)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-                    known = frequent[at] == h
-                    group[known], c[known] = ranges + share_of(node[known], ranges), counts[at[known]]
-                yield packed(group, h=h, node=node, n=n, c=c)
-
-    return docs.select("_text").mapInArrow(run, "group long, h binary, node binary, n binary, c binary")
+                known, _ = places(h, listed.value)
+                group = np.where(known, ranges + packs.share_of(node, ranges), packs.share_of(h, ranges))
+                yield packs.packed(group, h=h, node=node, n=n)
 
+    return docs.select("_text").mapInArrow(run, packs.schema(ENTRY))
 
-KINDS = {"h": np.uint64, "node": np.uint64, "n": np.uint32, "c": np.int64}
 
-
-def returned(packs: DataFrame, ranges: int) -> DataFrame:
+def returned(sent_: DataFrame, hot: tuple[np.ndarray, np.ndarray], ranges: int) -> DataFrame:
     """The shared shingles with their counts, packed by part of the nodes."""
+    listed = sent_.sparkSession.sparkContext.broadcast(hot)  # HOT_LISTED at most
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        h, node, n, c = unpacked(table, **KINDS)
-        if key[0].as_py() < ranges:
+    def run(group: int, table: pa.Table) -> pa.Table:
+        h, node, n = packs.unpacked(table, **ENTRY)
+        if group < ranges:
             # Most shingles have one entry: these go first, which spares the full sort by node.
             order = np.argsort(h, kind="stable")
-            first = firsts(h[order])
+            first = packs.firsts(h[order])
             order = order[~(first & np.append(first[1:], True))]
             order = order[np.lexsort((node[order], h[order]))]
-            order = order[firsts(h[order], node[order])]
+            order = order[packs.firsts(h[order], node[order])]
             h, node, n = h[order], node[order], n[order]
-            place = np.cumsum(firsts(h)) - 1
+            place = np.cumsum(packs.firsts(h)) - 1
             c = np.bincount(place)[place]
             h, node, n, c = h[c > 1], node[c > 1], n[c > 1], c[c > 1]
-        return pa.Table.from_batches([packed(share_of(node, ranges), h=h, node=node, n=n, c=c)])
+        else:
+            keys, counts = listed.value
+            c = counts[places(h, keys)[1]]
+        c = c.clip(max=(1 << 32) - 1).astype(np.uint32)
+        return pa.Table.from_batches([packs.packed(packs.share_of(node, ranges), h=h, node=node, n=n, c=c)])
 
-    return packs.groupBy("group").applyInArrow(run, "group long, h binary, node binary, n binary, c binary")
+    return packs.by_group(sent_, 2 * ranges if len(hot[0]) else ranges, run, packs.schema(COUNTED))
 
 
-def described(packs: DataFrame) -> DataFrame:
+def described(counted: DataFrame, ranges: int) -> DataFrame:
     """The nodes that can link: node, n, their shared shingles rare first, how many of these lie in the prefix, and
     their counts in PARTS ranges."""
     kind = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shared", pa.list_(pa.int64())), ("prefix", pa.int64()), ("parts", pa.list_(pa.int16()))])
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        h, node, n, c = unpacked(table, **KINDS)
+    def run(group: int, table: pa.Table) -> pa.Table:
+        h, node, n, c = packs.unpacked(table, **COUNTED)
         order = np.lexsort((h, c, node))
-        order = order[firsts(h[order], node[order])]
+        order = order[packs.firsts(h[order], node[order])]
         h, node, n = h[order], node[order], n[order].astype(np.int64)
-        starts = np.nonzero(firsts(node))[0]
+        starts = np.nonzero(packs.firsts(node))[0]
         sizes, n = np.diff(starts, append=len(h)), n[starts]
         able = 100 * sizes >= NUMERATOR * n
         h, node, n, sizes = h[np.repeat(able, sizes)], node[starts][able], n[able], sizes[able]
@@ -266,7 +197,7 @@ def described(packs: DataFrame) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64))), pa.ListArray.from_arrays(pa.array(edges), pa.array(parts))
         return pa.Table.from_arrays([pa.array(node.view(np.int64)), pa.array(n), lists[0], pa.array(prefix_length(n) - n + sizes), lists[1]], schema=kind)
 
-    return packs.groupBy("group").applyInArrow(run, "node long, n long, shared array<long>, prefix long, parts array<short>")
+    return packs.by_group(counted, ranges, run, "node long, n long, shared array<long>, prefix long, parts array<short>")
 
 
 def pivots(rows: DataFrame, round_: int) -> DataFrame:
@@ -331,24 +262,15 @@ def remaining_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The members, a row for each document with `_id`, `n` and `node`, and the components of nodes: id, comp. Nodes
-    without a link are in no row of the second table; documents without words have no node."""
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    tables = Tables(docs.sparkSession, "jaccard")
-    scan = tables.write(scanned(docs), "members")
-    members = scan.where("n is not null").select("_id", "node", "n")
-    total = members.agg(F.sum("n")).first()[0] or 0
-    ranges = 1 + total // RANGE
-    packs = sent(docs, hot_shingles(scan, total), ranges)
-    nodes = tables.write(described(returned(packs, ranges)), "nodes")
-    own = F.col("n") - F.size("shared")
-    prefixes = nodes.select("node", "n", own.alias("_own"), F.posexplode(F.slice("shared", F.lit(1), F.col("prefix").cast("int"))).alias("_at", "h"))
-    prefixes = tables.write(prefixes.select("h", "node", "n", (F.col("_own") + F.col("_at")).alias("pos")), "prefixes")
+def connected(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id and comp: the components of the nodes that link. `rows` has the groups in which linked nodes meet: h, node, n and
+    pos, the node's place for h in its order. `nodes` has node, n and `shared`, the set by which links are verified, and may
+    have `parts`, by whose counts pairs are filtered first."""
+    tables = Tables(rows.sparkSession, "connected")
     labels, links = None, None
     for round_ in range(ROUNDS):
-        rows = tables.write(apart(prefixes, labels), "apart")
-        met = rows.join(pivots(rows, round_), "h").where(F.col("node") != F.col("p.node")).where(similar_sizes(F.col("n"), F.col("p.n")))
+        open_ = tables.write(apart(rows, labels), "apart")
+        met = open_.join(pivots(open_, round_), "h").where(F.col("node") != F.col("p.node")).where(similar_sizes(F.col("n"), F.col("p.n")))
         met = met.groupBy("node", "comp", F.col("p.node").alias("pivot")).agg(F.count(F.lit(1)).alias("met"))
         # Of the pivots that a node meets, the ones it shares most with are compared with it.
         met = with_components(met, labels, "pivot", "pcomp").where("comp <> pcomp")
@@ -356,16 +278,35 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
         pairs = met.withColumn("_r", rank).where(F.col("_r") <= COMPARED)
         pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         found = tables.write(verified(pairs, nodes), "links")
-        tables.drop(rows)
+        tables.drop(open_)
         if found.isEmpty():
             break
         links = found if links is None else links.union(found)
         labels = components(links)
-    rows = tables.write(apart(prefixes, labels), "apart")
-    pairs = tables.write(suffix_filtered(remaining_pairs(rows), nodes), "pairs")
+    open_ = tables.write(apart(rows, labels), "apart")
+    pairs = remaining_pairs(open_)
+    pairs = tables.write(suffix_filtered(pairs, nodes) if "parts" in nodes.columns else pairs, "pairs")
     found = tables.write(verified(pairs, nodes), "links")
     labels = components(found if links is None else links.union(found))
-    tables.drop(rows, pairs, prefixes, nodes)
+    tables.drop(*tables.held)
+    return labels
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The members, a row for each document with `_id`, `n` and `node`, and the components of nodes: id, comp. Nodes
+    without a link are in no row of the second table; documents without words have no node."""
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    tables = Tables(docs.sparkSession, "jaccard")
+    scan = tables.write(scanned(docs), "members")
+    members = scan.where("n is not null").select("_id", "node", "n")
+    total = members.agg(F.sum("n")).first()[0] or 0
+    ranges, hot = 1 + total // packs.RANGE, hot_shingles(scan, total)
+    nodes = tables.write(described(returned(sent(docs, hot[0], ranges), hot, ranges), ranges), "nodes")
+    own = F.col("n") - F.size("shared")
+    prefixes = nodes.select("node", "n", own.alias("_own"), F.posexplode(F.slice("shared", F.lit(1), F.col("prefix").cast("int"))).alias("_at", "h"))
+    prefixes = tables.write(prefixes.select("h", "node", "n", (F.col("_own") + F.col("_at")).alias("pos")), "prefixes")
+    labels = connected(prefixes, nodes)
+    tables.drop(prefixes, nodes)
     return members, labels
 
 

@@ -6,7 +6,9 @@ from conftest import prose
 
 from opsloom.llm import decontaminate as D
 from opsloom.llm import jaccard_join as J
+from opsloom.llm import packs
 from opsloom.llm import paragraph_dedup as P
+from opsloom.llm import words as W
 
 
 def sets_of(text):
@@ -179,8 +181,8 @@ def test_decontaminate_long_items_at_the_limit(spark, documents, rng):
 
 def test_classes_with_a_shingle_in_every_document(spark, documents, rng, monkeypatch):
     """One line in every document of many partitions, with few shingles to a range and a flush, so that it is hot."""
-    for name, value in (("FLUSH", 3000), ("RANGE", 2000), ("HOT", 40)):
-        monkeypatch.setattr(J, name, value)
+    monkeypatch.setattr(packs, "RANGE", 2000)
+    monkeypatch.setattr(J, "HOT", 40)
     line = prose(rng, 30)
     rows = [(i, f"{line}\n{prose(rng, rng.choice((2, 4, 40)))}") for i in range(400)]
     family = prose(rng, 80)
@@ -191,8 +193,8 @@ def test_classes_with_a_shingle_in_every_document(spark, documents, rng, monkeyp
 
 def test_long_words_differ(documents):
     words = ["a" + "x" * 4095 + "b", "b" + "x" * 4095 + "a", "a" + "x" * 4999 + "b", "a" + "x" * 4997 + "yxb"]
-    assert len({int(J.word_hashes(w.encode())[0]) for w in words}) == 4
-    assert J.word_hashes(" ".join(words * 60).encode()).tolist() == [int(J.word_hashes(w.encode())[0]) for w in words] * 60
+    assert len({int(W.word_hashes(w.encode())[0]) for w in words}) == 4
+    assert W.word_hashes(" ".join(words * 60).encode()).tolist() == [int(W.word_hashes(w.encode())[0]) for w in words] * 60
     rows = [(i, w) for i, w in enumerate(words)] + [(9, words[2])]
     assert {r["doc_id"]: r["component_id"] for r in J.classes(documents(rows)).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 9: 2}
 
