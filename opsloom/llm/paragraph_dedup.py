@@ -1,24 +1,27 @@
 r"""Substring deduplication: paragraph MinHash banding, exact verification, and removals clustered by components.
 
-Paragraphs are stretches of sentences. A line end closes a paragraph, and so does a sentence end at about every other
-sentence, chosen by a hash of its last word: a passage pasted into the middle of a line is cut at the same places inside
-as in its source. Paragraphs of `LEAST` or more words get `BANDS` bands of `ROWS` MinHash values over word 5-grams; at
-similarity 0.75 a pair collides with probability 1 - (1 - 0.75^ROWS)^BANDS, 0.98 here.
-
-Paragraphs of a band are compared with the band's first paragraph, so that a group of any size costs one comparison a
-member. The comparison is exact: the Jaccard similarity of the 5-grams of both, at 0.75 or more, and from there the
-common words to both sides, up to `CONTEXT` a paragraph. What is found at one offset of one source is joined; stretches
-of `PASSAGE` or more words are repeated passages. Documents and the sources of their passages form components; in each,
-the source keeps the passage and the others' stretches are removals.
-
-Passages that are equal word for word need no paragraph: every `PASSAGE` words that two documents share are found, wherever
-lines and sentences end. The least hash of the `ANCHOR`-word stretches in any `PASSAGE` words is an anchor (winnowing), so
-equal passages have an equal anchor. Around anchors that more than one document has, all stretches of `PASSAGE` words are
-grouped by their hash; the smallest id of each group is the source. Equality is transitive, so that one source for each
-group misses no pair, whatever shorter quotes other documents hold.
-
-Null and empty texts have no paragraph. Rows that repeat an id are read as that document's text each; a document is never
-a repeat of itself. Columns other than id and text are ignored.
+Two kinds of paragraphs are banded by MinHash over word 5-grams and joined on colliding bands:
+
+* Parts: stretches of `PART` words that begin at words chosen by content. A word is chosen if the hash of the PART words from
+  it on is the least of those from any PASSAGE - PART + 1 neighbouring words. So every PASSAGE words that two documents
+  share hold an equal part, wherever lines and sentences end. Equal parts collide in any band; one band is made.
+* Lines of PASSAGE or more words, in `BANDS` bands of `ROWS` values: at a similarity of 0.75 a pair collides with probability
+  1 - (1 - 0.75^ROWS)^BANDS, 0.98 here.
+
+Collisions are verified. For parts, the stretches of PASSAGE words around them are compared by their hashes, whole: what two
+documents share is found word by word, however many words, and nothing that is shorter. The smallest id that has a stretch is
+its source. For lines, the Jaccard similarity of the 5-grams is computed; colliding lines are compared with a few lines of
+their band first, then every pair that is still in different components is compared, so that no link is lost. The
+first document of a component of lines is their source.
+
+Documents and the sources of their passages form components; in each, the sources keep the passages and the others'
+stretches are removals. Edits within a stretch of PASSAGE words that doesn't fill a line hide it: it is neither equal nor a
+line.
+
+Null and empty texts, and texts of fewer than PASSAGE words, have no paragraph. Texts of any length are read whole; a text's
+words have to fit a task. Ties don't matter: the smallest id decides. Rows that repeat an id are read as that document's text
+each; a document is never a repeat of itself. Rows without an id are left out, since no removal could name them. Ids that
+aren't integers are compared by their hash. An empty table has no repeats. Other columns are ignored, whatever their names.
 """
 
 import re
@@ -26,187 +29,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import materialize, values
+from opsloom.llm import packs
+from opsloom.llm.common import Tables, scratch, values
 from opsloom.llm.components import components
+from opsloom.llm.jaccard_join import connected
+from opsloom.llm.words import MIX, grams, raw_of, words_and_lines
 
-LEAST, PASSAGE, CONTEXT = 8, 50, 24
-ANCHOR = PASSAGE // 2
+PASSAGE, PART = 50, 25
 BANDS, ROWS = 5, 2
 SHINGLE = 5
-SIMILAR = 0.75
-CACHE = 1 << 17
-SEEDS = np.random.default_rng(5).integers(1, 1 << 63, size=2 * BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class WordHashes(dict):
-    """Word -> its hash; the lowest bit tells a word that ends a paragraph."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word.lower())
-        value = self[word] = (h & ~1) | (word[-1:] in b".!?" and (h >> 9) & 1)
-        return value
-
-
-_HASHES = WordHashes()
-
-
-def cut(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the text's words, and where its paragraphs end, as numbers of words."""
-    hashes, ends, n = [], [], 0
-    for line in text.encode("utf-8", "replace").split(b"\n"):
-        words = line.split()
-        if words:
-            hashes += map(_HASHES.__getitem__, words)
-            n += len(words)
-            ends.append(n)
-    h = np.array(hashes, dtype=np.uint64)
-    inner = (np.nonzero(h & np.uint64(1))[0] + 1).tolist()
-    # Where sentences are short, as in shouted text, an inner cut closer than LEAST to the last one doesn't count.
-    kept, last, lines = [], 0, set(ends)
-    for end in sorted(lines.union(inner)):
-        if end in lines or end - last >= LEAST:
-            kept.append(end)
-            last = end
-    return h, np.array(kept, dtype=np.int64)
-
-
-def grams(h: np.ndarray) -> np.ndarray:
-    k = min(SHINGLE, len(h))
-    out = np.zeros(len(h) - k + 1, dtype=np.uint64)
-    for i in range(k):
-        out = out * MIX + h[i : len(h) - k + 1 + i]
-        out ^= out >> np.uint64(29)
-    return out
-
-
-def signatures(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A row of band hashes for each paragraph, over the 5-grams that lie within it."""
-    g = grams(h)
-    first, last = starts, ends - SHINGLE + 1
-    edges = np.stack([first, last], axis=1).ravel()
-    bands = []
-    for b in range(BANDS):
-        key = np.full(len(starts), b + 1, dtype=np.uint64)
-        for r in range(ROWS):
-            i = 2 * (b * ROWS + r)
-            x = (g ^ SEEDS[i]) * SEEDS[i + 1]
-            x ^= x >> np.uint64(32)
-            x = np.append(x, np.uint64(0xFFFFFFFFFFFFFFFF))
-            low = np.minimum.reduceat(x, edges)[::2]
-            key = (key * MIX) ^ low
-            key ^= key >> np.uint64(31)
-        bands.append(key)
-    return np.stack(bands, axis=1)
+#: Words of texts that are searched together.
+FLUSH = 1_000_000
+SEEDS = np.random.default_rng(5).integers(1, 1 << 63, size=2 * (2 + BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """band, _id, start, size of every paragraph of LEAST or more words, once for each band."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                owner, start, size, band = [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    h, ends = cut(text)
-                    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                    long = ends - starts >= LEAST
-                    if long.any():
-                        starts, ends = starts[long], ends[long]
-                        sig = signatures(h, starts, ends)
-                        owner.append(np.full(sig.size, i))
-                        start.append(np.repeat(starts, BANDS))
-                        size.append(np.repeat(ends - starts, BANDS))
-                        band.append(sig.ravel().view(np.int64))
-                if owner:
-                    join = np.concatenate
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(join(band)), part.column(0).take(pa.array(join(owner))), pa.array(join(start).astype(np.int32)), pa.array(join(size).astype(np.int32))],
-                        names=["band", "_id", "start", "size"],
-                    )
-
-    return docs.mapInArrow(run, f"band long, _id {docs.schema['_id'].dataType.simpleString()}, start int, size int")
-
-
-def colliding(docs: DataFrame) -> DataFrame:
-    """Each paragraph that shares a band with another, and the band's first paragraph: its source."""
-    rows = paragraphs(docs)
-    first = rows.groupBy("band").agg(F.min(F.struct("_id", "start", "size")).alias("src"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    pairs = rows.join(first, "band").where("_id <> src._id")
-    return pairs.select("_id", "start", "size", "src").distinct()
-
-
-def contexts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For each source paragraph the hashes of its words and of CONTEXT words to both sides."""
-    wanted = pairs.select("src").distinct().groupBy(F.col("src._id").alias("_id")).agg(F.collect_list(F.struct("src.start", "src.size")).alias("_at"))
-
-    @F.arrow_udf("array<struct<start:int,size:int,left:int,words:binary>>")
-    def read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("left", pa.int32()), ("words", pa.binary())]))
-        for texts, places in batches:
-            out = []
-            for text, at in zip(values(texts), values(places), strict=True):
-                h = cut(text)[0]
-                out.append([{"start": p["start"], "size": p["size"], "left": min(CONTEXT, p["start"]), "words": narrow(h[max(0, p["start"] - CONTEXT) : p["start"] + p["size"] + CONTEXT])} for p in at])
-            yield pa.array(out, kind)
-
-    rows = docs.join(wanted, "_id").select(F.col("_id"), F.explode(read("_text", "_at")).alias("c"))
-    return rows.select(F.struct("_id", "c.start", "c.size").alias("src"), "c.left", "c.words")
-
-
-def narrow(h: np.ndarray) -> bytes:
-    return (h >> np.uint64(32)).astype(np.uint32).tobytes()
-
-
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the common start."""
-    n = min(len(a), len(b))
-    differ = np.nonzero(a[:n] != b[:n])[0]
-    return int(differ[0]) if len(differ) else n
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    if len(a) == len(b) and (a == b).all():
-        return True
-    x, y = np.unique(grams(a.astype(np.uint64))), np.unique(grams(b.astype(np.uint64)))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both >= SIMILAR * (len(x) + len(y) - both)
-
-
-def passages(text: str, candidates: list[dict]) -> list[dict]:
-    """The repeated passages of a text: its paragraphs against their sources, joined by source and offset."""
-    h = np.frombuffer(narrow(cut(text)[0]), np.uint32)
-    stretches: dict[tuple, list] = {}
-    for c in candidates:
-        src, words, left = c["src"], np.frombuffer(c["words"], np.uint32), c["left"]
-        a, b = c["start"], c["start"] + c["size"]
-        p, q = left, left + src["size"]
-        if b <= len(h) and similar(h[a:b], words[p:q]):
-            before = common(h[max(0, a - CONTEXT) : a][::-1], words[:p][::-1])
-            after = common(h[b : b + CONTEXT], words[q:])
-            stretches.setdefault((src["_id"], src["start"] - a if src["size"] == c["size"] else None), []).append((a - before, b + after, src["start"]))
-    found = []
-    for (source, _), parts in stretches.items():
-        joined = []
-        for a, b, at in sorted(parts):
-            if joined and a <= joined[-1][1]:
-                joined[-1][1] = max(joined[-1][1], b)
-            else:
-                joined.append([a, b, at])
-        found += [{"source": source, "start": a, "end": b} for a, b, at in joined if b - a >= PASSAGE]
-    return found
-
-
-def hashes_of(text: str) -> np.ndarray:
-    """The hashes of the text's words, numbered as by cut()."""
-    return np.array(list(map(_HASHES.__getitem__, text.encode("utf-8", "replace").split())), dtype=np.uint64)
+def lows(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of the `width` values from each value on."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = np.minimum(x[:-step], x[step:])
+        have += step
+    return x
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -230,112 +77,236 @@ def stretches(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def lows(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of the `width` values from each value on."""
-    have = 1
-    while have < width:
-        step = min(have, width - have)
-        x = np.minimum(x[:-step], x[step:])
-        have += step
-    return x
+def chosen(h: np.ndarray) -> np.ndarray:
+    """The words at which parts begin."""
+    x, width = stretches(h, PART), PASSAGE - PART + 1
+    least = lows(x, width)
+    # A value is the least of some window if the greatest of its windows' least values is as great as it is.
+    edge = np.zeros(width - 1, dtype=np.uint64)
+    greatest = ~lows(~np.concatenate([edge, least, edge]), width)
+    return np.nonzero(greatest == x)[0]
 
 
-def anchors(h: np.ndarray) -> np.ndarray:
-    """The anchor of the PASSAGE words from each word on."""
-    return lows(stretches(h, ANCHOR), PASSAGE - ANCHOR + 1)
+def low_hashes(g: np.ndarray, i: int) -> np.ndarray:
+    x = (g ^ SEEDS[2 * i]) * SEEDS[2 * i + 1]
+    return x ^ (x >> np.uint64(32))
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
-    """key, _id of each text's anchors, each once a text."""
+def bands_of_parts(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The band of each part: two MinHash values of the 5-grams in it."""
+    g = grams(h, SHINGLE)
+    a, b = (lows(low_hashes(g, i), PART - SHINGLE + 1)[starts] for i in (0, 1))
+    key = (a * MIX) ^ b
+    return (key ^ (key >> np.uint64(31))) * MIX
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, key = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
-            for i, text in enumerate(values(batch.column(1))):
-                h = hashes_of(text)
-                if len(h) >= PASSAGE:
-                    key.append(np.unique(anchors(h)))
-                    owner.append(np.full(len(key[-1]), i))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(owner)))], names=["key", "_id"])
 
-    return docs.mapInArrow(run, f"key long, _id {docs.schema['_id'].dataType.simpleString()}")
+def long_lines(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where lines of PASSAGE or more words begin and end."""
+    ends = np.append(ends, len(h))
+    starts = np.concatenate([[0], ends[:-1]])
+    long = ends - starts >= PASSAGE
+    return starts[long], ends[long]
 
 
-def stretch_rows(docs: DataFrame) -> DataFrame:
-    """key, _id, start of the stretches of PASSAGE words whose anchor is among the text's `_keys`."""
+def bands_of_lines(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A row of bands for each line, over the 5-grams that lie within it."""
+    g = grams(h, SHINGLE)
+    edges = np.stack([starts, ends - SHINGLE + 1], axis=1).ravel()
+    bands = []
+    for b in range(BANDS):
+        key = np.full(len(starts), b + 1, dtype=np.uint64)
+        for r in range(ROWS):
+            x = np.append(low_hashes(g, 2 + b * ROWS + r), np.uint64(0xFFFFFFFFFFFFFFFF))
+            key = (key * MIX) ^ np.minimum.reduceat(x, edges)[::2]
+            key ^= key >> np.uint64(31)
+        bands.append(key * MIX)
+    return np.stack(bands, axis=1)
+
+
+class Paragraphs:
+    """The paragraphs of a text."""
+
+    def __init__(self, text: str):
+        self.h, ends = words_and_lines(raw_of(text))
+        self.starts = self.keys = np.zeros(0, dtype=np.uint64)
+        self.lines, self.bands = [], np.zeros((0, BANDS), dtype=np.uint64)
+        if len(self.h) >= PASSAGE:
+            self.starts = chosen(self.h)
+            self.keys = bands_of_parts(self.h, self.starts)
+            a, b = long_lines(self.h, ends)
+            if len(a):
+                self.lines, self.bands = list(zip(a.tolist(), b.tolist(), strict=True)), bands_of_lines(self.h, a, b)
+
+
+def together(found: list[np.ndarray], kind=np.uint64) -> np.ndarray:
+    return np.concatenate(found) if found else np.zeros(0, dtype=kind)
+
+
+def paragraph_entries(docs: DataFrame, ranges: int) -> DataFrame:
+    """Packed entries: the bands of the paragraphs of each text, each once a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, doc, size = [], [], 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                owner, start, key = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
-                for i, (text, keys) in enumerate(zip(part.column(1).to_pylist(), part.column(2), strict=True)):
-                    h = hashes_of(text)
-                    if len(h) >= PASSAGE:
-                        start.append(np.nonzero(np.isin(anchors(h), keys.values.to_numpy().view(np.uint64)))[0])
-                        key.append(stretches(h, PASSAGE)[start[-1]])
-                        owner.append(np.full(len(start[-1]), i))
-                join = np.concatenate
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(join(key).view(np.int64)), part.column(0).take(pa.array(join(owner))), pa.array(join(start).astype(np.int32))],
-                    names=["key", "_id", "start"],
-                )
-
-    return docs.select("_id", "_text", "_keys").mapInArrow(run, f"key long, _id {docs.schema['_id'].dataType.simpleString()}, start int")
-
-
-def spans_of(starts: list[int]) -> list[dict]:
-    """The stretches of PASSAGE words from these words on, joined where they overlap or touch."""
-    out = []
-    for s in sorted(starts):
-        if out and s <= out[-1]["end"]:
-            out[-1]["end"] = s + PASSAGE
-        else:
-            out.append({"start": s, "end": s + PASSAGE})
-    return out
+            for number, text in zip(batch.column(0).to_pylist(), values(batch.column(1), 256), strict=True):
+                p = Paragraphs(text)
+                key.append(np.unique(np.concatenate([p.keys, p.bands.ravel()])))
+                doc.append(np.full(len(key[-1]), number, dtype=np.int64))
+                size += len(p.h)
+                if size >= 4 * FLUSH:
+                    k, d = together(key), together(doc)
+                    yield packs.entries(k, d, np.zeros(len(k)), ranges)
+                    key, doc, size = [], [], 0
+        k, d = together(key), together(doc, np.int64)
+        yield packs.entries(k, d, np.zeros(len(k)), ranges)
 
+    return docs.select("_doc", "_text").mapInArrow(run, packs.schema(packs.ENTRY))
 
-def equal_passages(docs: DataFrame) -> DataFrame:
-    """_id, source, start, end: the passages of PASSAGE or more words that equal those of a document with a smaller id."""
-    several = [F.min("_id").alias("source"), F.max("_id").alias("_last")]
-    rows = anchor_rows(docs)
-    shared = rows.groupBy("key").agg(*several).where("source <> _last").select("key")
-    keys = materialize(rows.join(shared, "key").groupBy("_id").agg(F.collect_set("key").alias("_keys")), "passage-anchors")
-    rows = materialize(stretch_rows(docs.join(keys, "_id")), "passage-stretches")
-    sources = rows.groupBy("key").agg(*several).where("source <> _last").drop("_last")
-    found = rows.join(sources, "key").where("_id <> source").groupBy("_id", "source").agg(F.collect_set("start").alias("_starts"))
 
-    @F.arrow_udf("array<struct<start:int,end:int>>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for starts in batches:
-            yield pa.array([spans_of(s) for s in values(starts)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+def keys_of_documents(found: DataFrame, ranges: int) -> DataFrame:
+    """_doc and its `_keys`, a row for each document, from packed entries."""
+    kind = pa.schema([("_doc", pa.int64()), ("_keys", pa.list_(pa.int64()))])
 
-    return materialize(found.select("_id", "source", F.explode(run("_starts")).alias("p")).select("_id", "source", "p.start", "p.end"), "equal-passages")
+    def run(group: int, table: pa.Table) -> pa.Table:
+        key, doc = packs.unpacked(table, key=np.uint64, doc=np.int64)
+        order = np.argsort(doc, kind="stable")
+        key, doc = key[order], doc[order]
+        starts = np.nonzero(packs.firsts(doc))[0]
+        offsets = pa.array(np.append(starts, len(doc)).astype(np.int32))
+        return pa.Table.from_arrays([pa.array(doc[starts]), pa.ListArray.from_arrays(offsets, pa.array(key.view(np.int64)))], schema=kind)
 
+    return packs.by_group(found.select("group", "key", "doc"), ranges, run, "_doc long, _keys array<long>")
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, source, start, end: the repeated passages, as words of the document, and the document they repeat."""
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
-    pairs = materialize(colliding(docs), "paragraph-pairs")
-    told = pairs.join(contexts(docs, pairs), "src")
-    told = told.groupBy("_id").agg(F.collect_list(F.struct("start", "size", "src", "left", "words")).alias("_found"))
-    kind = docs.schema["_id"].dataType.simpleString()
-    source = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
 
-    @F.arrow_udf(f"array<struct<source:{kind},start:int,end:int>>")
-    def verify(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        out_kind = pa.list_(pa.struct([("source", source), ("start", pa.int32()), ("end", pa.int32())]))
-        for texts, found in batches:
-            yield pa.array([passages(t, f) for t, f in zip(values(texts, 128), values(found, 128), strict=True)], out_kind)
+def windows(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The words at which PASSAGE words begin that hold a part from one of `starts` on."""
+    n = len(h) - PASSAGE + 1
+    edge = np.zeros(len(h) + 2, dtype=np.int32)
+    np.add.at(edge, np.maximum(starts + PART - PASSAGE, 0), 1)
+    np.add.at(edge, starts + 1, -1)
+    return np.nonzero(np.cumsum(edge)[:n] > 0)[0]
 
-    rows = docs.join(told, "_id").select("_id", F.explode(verify("_text", "_found")).alias("p"))
-    alike = materialize(rows.select("_id", "p.source", "p.start", "p.end"), "passages")
-    return alike.union(equal_passages(docs)).distinct()
+
+COLLIDING = f"{packs.schema(packs.ENTRY)}, content long, doc_ long, start int, size int, keys array<long>, grams array<long>"
+
+
+def colliding(docs: DataFrame, ranges: int) -> DataFrame:
+    """For texts with their colliding `_keys`: packed entries of the stretches of PASSAGE words around parts; rows with
+    content, doc_, start and size of lines; and rows with content, keys and grams of lines, each once a flush."""
+    names = ["group", *packs.ENTRY, "content", "doc_", "start", "size", "keys", "grams"]
+    kinds = [pa.int64(), *[pa.binary()] * len(packs.ENTRY), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+    def rows(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, doc, at, size, lines, contents = [], [], [], 0, [], {}
+
+        def flush():
+            k = together(key)
+            found = packs.entries(k, together(doc, np.int64), together(at, np.int64), ranges)
+            yield rows(**{c: found.column(c) for c in found.schema.names})
+            if lines:
+                content, owner, start, length = (list(x) for x in zip(*lines, strict=True))
+                yield rows(content=content, doc_=owner, start=start, size=length)
+                yield rows(content=list(contents), keys=[c[0] for c in contents.values()], grams=[c[1] for c in contents.values()])
+            key.clear(), doc.clear(), at.clear(), lines.clear(), contents.clear()
+
+        for batch in batches:
+            for i, text in enumerate(values(batch.column(1), 256)):
+                number, wanted = batch.column(0)[i].as_py(), batch.column(2)[i].values.to_numpy().view(np.uint64)
+                p = Paragraphs(text)
+                starts = windows(p.h, p.starts[np.isin(p.keys, wanted)]) if len(p.keys) else np.zeros(0, dtype=np.int64)
+                if len(starts):
+                    key.append(stretches(p.h, PASSAGE)[starts])
+                    at.append(starts)
+                    doc.append(np.full(len(starts), number, dtype=np.int64))
+                if len(p.lines):
+                    g = grams(p.h, SHINGLE)
+                    for (a, b), own in zip(p.lines, p.bands, strict=True):
+                        own = own[np.isin(own, wanted)]
+                        if len(own):
+                            line = np.unique(g[a : b - SHINGLE + 1]).view(np.int64)
+                            content = int(np.bitwise_xor.reduce(line * np.int64(len(line) | 1)) ^ line[len(line) // 2])
+                            lines.append((content, number, a, b - a))
+                            contents[content] = (own.view(np.int64), line)
+                size += len(p.h)
+                if size >= FLUSH:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return docs.select("_doc", "_text", "_keys").mapInArrow(run, COLLIDING)
+
+
+def equal_passages(found: DataFrame, ranges: int) -> DataFrame:
+    """doc, source, start, end of the stretches that repeat another document's, joined where they overlap or touch, from the
+    packed entries of stretches of PASSAGE words."""
+    kind = pa.schema([("doc", pa.int64()), ("source", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+
+    def run(group: int, table: pa.Table) -> pa.Table:
+        doc, at, source = packs.unpacked(table, doc=np.int64, at=np.uint32, source=np.int64)
+        order = np.lexsort((at, source, doc))
+        order = order[doc[order] != source[order]]
+        doc, at, source = doc[order], at[order].astype(np.int64), source[order]
+        first = packs.firsts(doc, source)
+        first[1:] |= at[1:] > at[:-1] + PASSAGE
+        starts = np.nonzero(first)[0]
+        last = np.append(starts[1:], len(at))[: len(starts)] - 1
+        return pa.Table.from_arrays([pa.array(doc[starts]), pa.array(source[starts]), pa.array(at[starts].astype(np.int32)), pa.array((at[last] + PASSAGE).astype(np.int32))], schema=kind)
+
+    return packs.by_group(found, ranges, run, "doc long, source long, start int, end int")
+
+
+def similar_lines(found: DataFrame, tables: Tables) -> DataFrame:
+    """doc, source, start, end of lines that are similar to a line of another document with other content."""
+    lines = found.where("start is not null").select("content", F.col("doc_").alias("doc"), "start", "size")
+    contents = found.where("grams is not null").groupBy("content").agg(F.first("keys").alias("keys"), F.first("grams").alias("grams"))
+    contents = tables.write(contents, "lines")
+    n = F.size("grams").cast("long")
+    rows = contents.select(F.explode("keys").alias("h"), F.col("content").alias("node"), n.alias("n"), F.lit(0).cast("long").alias("pos")).distinct()
+    rows = tables.write(rows, "bands")
+    labels = connected(rows, contents.select(F.col("content").alias("node"), n.alias("n"), F.col("grams").alias("shared")))
+    tables.drop(rows, contents)
+    lines = lines.join(labels.select(F.col("id").alias("content"), "comp"), "content")
+    sources = lines.groupBy("comp").agg(F.min("doc").alias("source"))
+    return lines.join(sources, "comp").where("doc <> source").select("doc", "source", "start", (F.col("start") + F.col("size")).alias("end"))
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_id, source, start, end: the repeated passages, as words of the document, and the document they repeat."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    whole = kind in ("bigint", "int", "smallint", "tinyint")
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_id").isNotNull())
+    number = F.col("_id").cast("long") if whole else F.xxhash64("_id")
+    docs = docs.withColumn("_doc", number)
+    tables = Tables(docs.sparkSession, "paragraphs")
+    long = docs.where(F.length("_text") >= 2 * PASSAGE - 1)
+    # A word has two characters with its blank at least; a part begins at about every thirteenth word.
+    chars = docs.agg(F.sum(F.length("_text"))).first()[0] or 0
+    ranges = 1 + chars // (60 * packs.RANGE)
+    first = tables.write(paragraph_entries(long, ranges), "paragraphs")
+    keys = tables.write(keys_of_documents(packs.shared(first, ranges, chars // 60), ranges), "keys")
+    tables.drop(first)
+    total = PART * (keys.agg(F.sum(F.size("_keys"))).first()[0] or 0)
+    ranges = 1 + total // packs.RANGE
+    found = tables.write(colliding(long.join(keys, "_doc"), ranges), "colliding")
+    equal = packs.shared(found.where("group is not null").select("group", *packs.ENTRY), ranges, total)
+    equal = tables.write(equal_passages(equal, ranges), "equal")
+    passages = equal.union(similar_lines(found, tables)).distinct()
+    passages = tables.write(passages, "passages")
+    tables.drop(keys, found, equal)
+    if whole:
+        return passages.select(F.col("doc").cast(kind).alias("_id"), F.col("source").cast(kind).alias("source"), "start", "end")
+    names = docs.select("_id", "_doc").distinct()
+    passages = passages.join(names.select(F.col("_doc").alias("doc"), "_id"), "doc")
+    return passages.join(names.select(F.col("_doc").alias("source"), F.col("_id").alias("_source")), "source").select("_id", F.col("_source").alias("source"), "start", "end")
 
 
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document with a repeated passage, sources included: the id, `cluster_id` (the smallest id of the
-    component), and `removals`, an array of struct<start, end> of the word ranges that repeat an earlier place."""
+    component), and `removals`, an array of struct<start, end> of the word ranges that repeat another document's."""
     found = repeats(docs, id_col, text_col)
     links = found.select(F.col("_id").alias("a"), F.col("source").alias("b"))
     labels = components(links)
@@ -347,15 +318,17 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def remove(df: DataFrame, removals: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`df` without the words in `removals` (a table as clusters() returns it); other words and white space stay."""
+    """`df` without the words in `removals` (a table as clusters() returns it) and the blanks behind them; other words, other
+    white space and all line ends stay."""
 
     @F.arrow_udf("string")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, spans in batches:
             yield pa.array([without(t, s) for t, s in zip(values(texts), values(spans), strict=True)], pa.string())
 
-    spans = removals.select(F.col(id_col), F.col("removals").alias("_removals"))
-    return df.join(spans, id_col, "left").withColumn(text_col, run(text_col, "_removals")).drop("_removals")
+    name = scratch(df, "_removals")
+    spans = removals.select(F.col(id_col), F.col("removals").alias(name))
+    return df.join(spans, id_col, "left").withColumn(text_col, run(text_col, name)).select(df.columns)
 
 
 def without(text: str | None, spans: list[dict] | None) -> str | None:
@@ -364,13 +337,13 @@ def without(text: str | None, spans: list[dict] | None) -> str | None:
     gone = set()
     for s in spans:
         gone.update(range(s["start"], s["end"]))
-    pieces = re.findall(r"[ \t\n\r\x0b\x0c]+|[^ \t\n\r\x0b\x0c]+", text)
-    out, n = [], 0
-    for piece in pieces:
+    out, n, removed = [], 0, False
+    for piece in re.findall(r"[ \t\n\r\x0b\x0c]+|[^ \t\n\r\x0b\x0c]+", text):
         if piece[0] in " \t\n\r\x0b\x0c":
-            out.append(piece)
+            out.append("\n" * piece.count("\n") if removed else piece)
         else:
-            if n not in gone:
-                out.append(piece)
+            removed = n in gone
             n += 1
-    return re.sub(r"[ \t]+(?=[ \t])", "", "".join(out))
+            if not removed:
+                out.append(piece)
+    return "".join(out)
