@@ -1,12 +1,14 @@
 """Byte-level BPE encoding and decoding with a contiguous rank array.
 
 A text is cut at added tokens, then into words by the tokenizer's pattern. Each word's parts and the ranks of its
-adjacent pairs lie in two contiguous lists; the smallest rank is found by a scan, the boundary behind it deleted and
-the neighbouring ranks refreshed, until no pair has a rank. Words over `SHORT` bytes, where repeated scans would cost
-the square of the length, take the same merges from a heap. Encoded words are remembered in a bounded cache.
+adjacent pairs lie in two contiguous rows; the smallest rank is found by a scan, the boundary behind it deleted and
+the neighbouring ranks refreshed, until no pair has a rank. All words of a slice of texts that aren't remembered take
+these steps together, as rows of one matrix. Words over `SHORT` bytes, where repeated scans would cost the square of the
+length, take the same merges from a heap. Encoded words are remembered in bounded caches.
 
 Token ids travel as little-endian unsigned 32-bit integers in a binary column. A null text encodes as the empty text;
-an empty text gives no ids and decodes to the empty text.
+an empty text gives no ids and decodes to the empty text. A text of any length is encoded whole, in one task. Texts are
+encoded one by one, so ties and repeated rows change nothing; an empty table gives an empty table; extra columns stay.
 """
 
 import heapq
@@ -22,8 +24,11 @@ from pyspark.sql import functions as F
 
 from opsloom.llm.common import values
 
-SHORT = 96
+SHORT = 64
+#: Words that a worker remembers, besides those of its present slice of texts.
 CACHE = 1 << 17
+#: Characters of a slice of texts, and cells of a matrix of words.
+SLICE, CELLS = 1 << 19, 1 << 18
 NO_RANK = 1 << 60
 #: White space other than spaces and line ends, a run of two, or one at the text's start or end.
 UNEVEN = regex.compile(r"[^\P{White_Space} \n]|[ \n][ \n]|^[ \n]|[ \n]\Z")
@@ -77,21 +82,61 @@ class Vocabulary:
         return cls(tuple(single), pairs, tuple(merged), tuple(tokens), added)
 
 
-def merge_short(parts: list[int], pairs: dict[int, int], merged: tuple[int, ...]) -> list[int]:
-    rank = pairs.get
-    ranks = [rank(a << 32 | b, NO_RANK) for a, b in zip(parts, parts[1:], strict=False)]
-    while ranks:
-        best = min(ranks)
-        if best == NO_RANK:
-            break
-        i = ranks.index(best)
-        parts[i] = merged[best]
-        del parts[i + 1], ranks[i]
-        if i < len(ranks):
-            ranks[i] = rank(parts[i] << 32 | parts[i + 1], NO_RANK)
-        if i:
-            ranks[i - 1] = rank(parts[i - 1] << 32 | parts[i], NO_RANK)
-    return parts
+class Merger:
+    """Merges many words at once. A row of a matrix holds a word's parts, a second one the ranks of its adjacent pairs."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
+        self.single = np.array(vocabulary.single, dtype=np.int64)
+        self.merged = np.array(vocabulary.merged, dtype=np.int64)
+        keys = np.fromiter(vocabulary.pairs, np.int64, len(vocabulary.pairs))
+        ranks = np.fromiter(vocabulary.pairs.values(), np.int64, len(keys))
+        order = np.argsort(keys)
+        # A pair beyond all others ends the list, so that a search always finds a place.
+        self.keys, self.ranks = np.append(keys[order], 1 << 62), np.append(ranks[order], NO_RANK)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair; a part of -1 is none."""
+        key = np.where((left < 0) | (right < 0), -1, left << 32 | right)
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of the words, in order; the words are alike in length."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(sizes.max())
+        inside = np.arange(width) < sizes[:, None]
+        parts = np.full((len(words), width), -1, dtype=np.int64)
+        parts[inside] = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        ranks = self.rank(parts[:, :-1], parts[:, 1:])
+        done, place = parts.copy(), np.arange(len(words))
+        while ranks.shape[1]:
+            best = ranks.argmin(axis=1)
+            rank = ranks[np.arange(len(ranks)), best]
+            go = rank < NO_RANK
+            if not go.all():
+                done[place[~go], : parts.shape[1]] = parts[~go]
+                done[place[~go], parts.shape[1] :] = -1
+                parts, ranks, place, best, rank = parts[go], ranks[go], place[go], best[go], rank[go]
+                if not len(place):
+                    break
+            row = np.arange(len(place))
+            parts[row, best] = self.merged[rank]
+            # The boundary behind the part goes, and with it the merged pair's rank.
+            column = np.arange(parts.shape[1] - 1)
+            parts = parts[row[:, None], column + (column > best[:, None])]
+            column = column[:-1]
+            ranks = ranks[row[:, None], column + (column >= best[:, None])]
+            if ranks.shape[1]:
+                for at, there in ((best, best < ranks.shape[1]), (best - 1, best > 0)):
+                    r, c = row[there], at[there]
+                    ranks[r, c] = self.rank(parts[r, c], parts[r, c + 1])
+        done[place, : parts.shape[1]] = parts
+        done[place, parts.shape[1] :] = -1
+        left = done >= 0
+        packed = done[left].astype("<u4").tobytes()
+        ends = 4 * np.cumsum(left.sum(axis=1))
+        return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 def merge_long(parts: list[int], pairs: dict[int, int], merged: tuple[int, ...]) -> list[int]:
@@ -116,63 +161,64 @@ def merge_long(parts: list[int], pairs: dict[int, int], merged: tuple[int, ...])
     return [p for p in parts if p >= 0]
 
 
-class Spaced(dict):
-    """Maps a stretch without white space to the packed ids of a space and it."""
-
-    def __init__(self, encoder: "Encoder"):
-        super().__init__()
-        self.piece = encoder.piece
-
-    def __missing__(self, word: str) -> bytes:
-        packed = self.piece(" " + word)
-        if len(word) <= SHORT:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = packed
-        return packed
-
-
-class Encoder(dict):
-    """Maps a word to its packed ids; words that are missing are merged and, within a bound, remembered."""
+class Encoder:
+    """Encodes texts, a slice of them at a time: what words of a slice aren't remembered are merged together."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.v = vocabulary
-        self.words = regex.compile(WORDS).findall
-        self.spaced = Spaced(self)
+        self.v, self.merger = vocabulary, Merger(vocabulary)
+        self.cut = regex.compile(WORDS).findall
+        self.words: dict[str, bytes] = {}  # a word -> its packed ids
+        self.spaced: dict[str, bytes] = {}  # a stretch without white space -> the packed ids of a space and it
         added = sorted(vocabulary.added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
 
-    def __missing__(self, word: str) -> bytes:
-        single = self.v.single
-        parts = [single[b] for b in word.encode()]
-        merge = merge_short if len(parts) <= SHORT else merge_long
-        packed = np.array(merge(parts, self.v.pairs, self.v.merged), dtype="<u4").tobytes()
-        if len(parts) <= SHORT:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = packed
-        return packed
-
-    def piece(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.words(text)))
-
-    def plain(self, text: str) -> bytes:
-        """Where single spaces and line ends are the only white space, the pattern cuts before each space and around
-        each line end, so that the stretches between them can be encoded and remembered on their own."""
-        if not text or UNEVEN.search(text):
-            return self.piece(text)
-        spaced, out = self.spaced.__getitem__, []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out.append(b"".join([self.piece(first), *map(spaced, rest)]))
-        return self["\n"].join(out)
-
-    def encode(self, text: str) -> bytes:
-        if self.added is None or not any(t in text for t in self.v.added):
-            return self.plain(text)
-        packed = {t: np.array([i], dtype="<u4").tobytes() for t, i in self.v.added.items()}
-        return b"".join(packed[p] if i % 2 else self.plain(p) for i, p in enumerate(self.added.split(text)))
+    def learn(self, words: set[str]) -> None:
+        """Remembers the ids of words. Words of similar length share a matrix; long ones are merged one by one."""
+        classes: dict[int, list[str]] = {}
+        for w in words - self.words.keys():
+            classes.setdefault(max(8, 1 << (len(w.encode()) - 1).bit_length()), []).append(w)
+        for size, found in classes.items():
+            if size > SHORT:
+                for w in found:
+                    parts = [self.v.single[b] for b in w.encode()]
+                    self.words[w] = np.array(merge_long(parts, self.v.pairs, self.v.merged), dtype="<u4").tobytes()
+            else:
+                step = CELLS // size
+                for a in range(0, len(found), step):
+                    self.words.update(zip(found[a : a + step], self.merger.merge([w.encode() for w in found[a : a + step]]), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Where single spaces and line ends are the only white space, the pattern cuts before each space and around each
+        line end, so that the stretches between them are remembered as wholes. Other texts are cut by the pattern."""
+        if len(self.words) > CACHE:
+            self.words.clear()
+        if len(self.spaced) > CACHE:
+            self.spaced.clear()
+        lines = [None if not t or UNEVEN.search(t) or self.special(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        cuts = [[] if own is not None else [p if i % 2 else self.cut(p) for i, p in enumerate(self.parts(t))] for t, own in zip(texts, lines, strict=True)]
+        wanted = {w for own in cuts for p in own[::2] for w in p}
+        fresh = {s for own in lines if own for line in own for s in line[1:]} - self.spaced.keys()
+        fresh = {s: self.cut(" " + s) for s in fresh}
+        heads = {s: self.cut(s) for s in {line[0] for own in lines if own for line in own}}
+        self.learn(wanted.union(*fresh.values(), *heads.values(), "\n"))
+        word, spaced = self.words.__getitem__, self.spaced
+        spaced.update((s, b"".join(map(word, p))) for s, p in fresh.items())
+        heads = {s: b"".join(map(word, p)) for s, p in heads.items()}
+        ids = {t: np.array([i], dtype="<u4").tobytes() for t, i in self.v.added.items()}
+        out, end = [], word("\n")
+        for own, cut in zip(lines, cuts, strict=True):
+            if own is not None:
+                out.append(end.join(b"".join([heads[line[0]], *map(spaced.__getitem__, line[1:])]) for line in own))
+            else:
+                out.append(b"".join(ids[p] if i % 2 else b"".join(map(word, p)) for i, p in enumerate(cut)))
+        return out
+
+    def special(self, text: str) -> bool:
+        return self.added is not None and any(t in text for t in self.v.added)
+
+    def parts(self, text: str) -> list[str]:
+        """Plain text and added tokens by turns."""
+        return self.added.split(text) if self.special(text) else [text]
 
 
 _LAST: list[Encoder] = []
@@ -190,6 +236,19 @@ def decode_ids(packed: bytes, tokens: tuple[bytes, ...]) -> str:
     return b"".join(map(tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def slices(column: pa.Array) -> Iterator[list]:
+    """The values of a column, some at a time: SLICE characters, but one value at least."""
+    held, size = [], 0
+    for x in values(column, 64):
+        held.append(x)
+        size += len(x) if x else 0
+        if size >= SLICE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """`df` with `out_col`: the packed token ids of `text_col`."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
@@ -198,19 +257,35 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_co
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = encoder_of(shared.value)
         for texts in batches:
-            yield pa.array([encoder.encode(t) if t else b"" for t in values(texts)], pa.binary())
+            yield pa.array([x for held in slices(texts) for x in encoder.encode([t or "" for t in held])], pa.binary())
 
     return df.withColumn(out_col, run(F.col(text_col)))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """`df` with `out_col`: the text of the packed token ids of `ids_col`; null ids give the empty text."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary.tokens)
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = shared.value.tokens
+        tokens = shared.value
         for ids in batches:
             yield pa.array([decode_ids(x, tokens) if x else "" for x in values(ids)], pa.string())
 
     return df.withColumn(out_col, run(F.col(ids_col)))
+
+
+def encode_and_decode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_col: str = "coded") -> DataFrame:
+    """`df` with `out_col`, a struct of `ids`, the packed token ids of `text_col`, and `decoded`, their text: both in one
+    pass of the text through one worker."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    @F.arrow_udf("ids binary, decoded string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = encoder_of(shared.value)
+        for texts in batches:
+            ids = pa.array([x for held in slices(texts) for x in encoder.encode([t or "" for t in held])], pa.binary())
+            decoded = pa.array([decode_ids(x, encoder.v.tokens) for x in values(ids)], pa.string())
+            yield pa.StructArray.from_arrays([ids, decoded], names=["ids", "decoded"])
+
+    return df.withColumn(out_col, run(F.col(text_col)))
