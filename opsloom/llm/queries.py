@@ -37,12 +37,12 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.load(TOKENIZER)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    coded = bpe.encode_and_decode(docs, vocabulary)
     return coded.select(
         "doc_id",
-        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2(F.col("token_ids"), 256).alias("ids_sha256"),
-        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+        (F.octet_length("coded.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2(F.col("coded.ids"), 256).alias("ids_sha256"),
+        F.sha2(F.encode("coded.decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
 
 
