@@ -1,6 +1,8 @@
 """Language, HTML, toxicity, quality rules and quality classifier."""
 
+import html
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -56,13 +58,46 @@ def test_html(page, want):
     assert H.extract(page or "") == want
 
 
+def article_of(page):
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    return re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", inner))).strip()
+
+
+def neutral(page):
+    """The page without telling names: every container a div, no class and no id."""
+    return re.sub(r' (class|id)="[^"]*"', "", re.sub(r"<(/?)(nav|article|aside|footer|header|main|section)\b", r"<\1div", page))
+
+
 def test_html_on_pages(spark):
     pages = H.extract_text(table(spark, SF, "pages")).select("html", "main_text").collect()
-    for r in pages:
-        inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
-        import html
+    assert all(r["main_text"] == article_of(r["html"]) for r in pages)
+
+
+def test_html_by_scores_alone(spark, monkeypatch):
+    """Without telling names the ratios find the article of nine pages in ten; without the ratios nothing finds it."""
+    pages = [r["html"] for r in table(spark, SF, "pages").select("html").collect()]
+    assert sum(H.extract(neutral(p)) == article_of(p) for p in pages) >= 0.85 * len(pages)
+    monkeypatch.setattr(H, "path_scores", lambda blocks: {b.group: 1.0 for b in blocks})
+    assert not any(H.extract(p) == article_of(p) for p in pages)
+
+
+BODY, LEAD = "Body, x y z. " * 30, "Lead, one two. " * 12
+
+
+def test_html_of_other_shapes():
+    lead = f"<body><div><p>{LEAD}</p><section><p>{BODY}</p><h2>Sub</h2><p>Short.</p><ul><li>one<li>two</ul></section></div><div><a href=x>a b</a> <a>d e f</a></div>"
+    assert H.extract(lead) == H.clean(f"{LEAD} {BODY} Sub Short. one two")
+    named = f"<main><p>{LEAD}</p><article><header><h1>Title here</h1></header><p>{BODY}</p><div class='related-work'><p>{LEAD}</p></div></article></main><footer>Foot. Note, all.</footer>"
+    assert H.extract(named) == H.clean(f"{LEAD} Title here {BODY} {LEAD}")
+    around = f"<header><a>Home</a><p>Tag line, yes.</p></header><div id=c><h1>T</h1><p>{BODY}</p></div><div class=sidebar><p>{BODY}</p></div><section class=comments><p>{BODY}</p></section>"
+    assert H.extract(around) == H.clean(f"T {BODY}")
+
 
-        assert r["main_text"] == re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", inner))).strip()
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "text here." + "</div>" * 100_000, "<a " * 350_000 + '"', "<p><i>" * 100_000 + "</b>" * 100_000, "<x '\"" * 100_000, "<!--" * 250_000, "<table><tr><td>" * 60_000])
+def test_html_takes_time_in_proportion(page):
+    start = time.process_time()
+    H.extract(page)
+    assert time.process_time() - start < 10
 
 
 def brute_rules(text):
