@@ -70,7 +70,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words", "n_lines_removed"]
     return judged.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
 
