@@ -1,15 +1,17 @@
 """Toxicity as a weighted finite-state pattern grammar.
 
-Four transducers are composed over the words of a clause. The lexical transducer rewrites each word to a class: insult
-(with a weight), threat, target, negation, reported speech or other. Its insult weights are partly fixed and partly
-learned as word prefixes from labelled rows. The clause transducer reads the classes from left to right and carries two
-states, `negated` (a negation in the last `REACH` words) and `reported` (a verb of speech earlier in the clause); every
-insult or threat that it accepts adds its weight, scaled down by those states and up by a target in the same clause.
-The scores of matched clauses, not of isolated words, reach a logistic score per document.
-
-Null and empty texts have no clause and get the score of a text without matches. Rows are scored one by one, so ties,
-repeated rows and extra columns change nothing. Without labelled rows of both kinds the fixed lexicon and fixed
-coefficients hold.
+A lexical transducer, an automaton over the letters of a word, rewrites each word of a clause to a class: insult or threat
+(each with a weight), target, negation, reported speech or other. Its insult weights are partly fixed and partly learned as
+word prefixes from labelled rows. Three transducers over classes follow: `negation` scales down insults and threats within
+REACH words of a negation, `reported` those behind a verb of speech, and `target` ends in a state that tells whether the
+clause has a target, which scales its insults up and without which its threats don't count. They are tables of transitions
+with weights and are composed into one table, `GRAMMAR`, by which a clause is scored in one pass. The scores of matched
+clauses, not of isolated words, reach a logistic score per document.
+
+Null and empty texts have no clause and get the score of a text without matches. A text of any length is scored whole, in one
+task. Rows are scored one by one, so ties, repeated rows and extra columns change nothing; an empty table gives an empty
+table; a column named as the result is replaced. Where labels repeat an id, its greatest label holds. Without labelled rows of
+both kinds the fixed lexicon and fixed coefficients hold.
 """
 
 import re
@@ -54,26 +56,110 @@ class Grammar:
     slopes: tuple[float, float, float] = (1.5, 1.0, 0.5)
 
 
+OTHER, TARGET, NEGATION, REPORT, INSULT, THREAT = range(6)
+SCORED = (INSULT, THREAT)
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """State x class -> next state, class written, weight. State 0 is the start; `ends` has a pair of final weights for each
+    state, one for the clause's insults and one for its threats."""
+
+    moves: tuple[tuple[tuple[int, int, float], ...], ...]
+    ends: tuple[tuple[float, float], ...]
+
+    def compose(self, other: "Transducer") -> "Transducer":
+        """Reads what this one reads and writes what `other` writes on what this one writes."""
+        width = len(other.moves)
+        moves = []
+        for one in self.moves:
+            for k in range(width):
+                row = []
+                for state, written, weight in one:
+                    state_, written_, weight_ = other.moves[k][written]
+                    row.append((state * width + state_, written_, weight * weight_))
+                moves.append(tuple(row))
+        ends = [(a[0] * b[0], a[1] * b[1]) for a in self.ends for b in other.ends]
+        return Transducer(tuple(moves), tuple(ends))
+
+    def run(self, kinds: list[tuple[int, float]]) -> float:
+        """The weight of a clause, given as its words' classes and weights."""
+        state, totals = 0, [0.0, 0.0]
+        for kind, weight in kinds:
+            state, written, factor = self.moves[state][kind]
+            if written >= INSULT:
+                totals[written - INSULT] += weight * factor
+        return totals[0] * self.ends[state][0] + totals[1] * self.ends[state][1]
+
+
+def negation() -> Transducer:
+    """A state for each number of words that a negation still reaches."""
+    rows = []
+    for left in range(REACH + 1):
+        rows.append(tuple((REACH if k == NEGATION else max(0, left - 1), k, NEGATED if left and k in SCORED else 1.0) for k in range(6)))
+    return Transducer(tuple(rows), ((1.0, 1.0),) * (REACH + 1))
+
+
+def reported() -> Transducer:
+    """State 1 is behind a verb of speech."""
+    rows = [tuple((int(s or k == REPORT), k, REPORTED if s and k in SCORED else 1.0) for k in range(6)) for s in (0, 1)]
+    return Transducer(tuple(rows), ((1.0, 1.0),) * 2)
+
+
+def target() -> Transducer:
+    """State 1 has seen a target."""
+    rows = [tuple((int(s or k == TARGET), k, 1.0) for k in range(6)) for s in (0, 1)]
+    return Transducer(tuple(rows), ((1.0, 0.0), (TARGETED, TARGETED)))
+
+
+GRAMMAR = negation().compose(reported()).compose(target())
+
+
+class Automaton:
+    """The lexical transducer: a tree of letters whose states may accept a whole word, with a class and a weight, or any word
+    that goes on from there, with an insult's weight."""
+
+    def __init__(self, learned: dict[str, float]):
+        self.root: dict = {}
+        for kind, words in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS), (INSULT, INSULTS)):
+            for w in words:
+                self.state(w)["whole"] = (kind, FIXED_WEIGHT if kind in SCORED else 0.0)
+        for w, weight in learned.items():
+            if w.endswith("$"):
+                self.state(w[:-1])["alone"] = weight
+            else:
+                self.state(w)["on"] = weight
+
+    def state(self, word: str) -> dict:
+        now = self.root
+        for c in word:
+            now = now.setdefault(c, {})
+        return now
+
+    def read(self, core: str) -> tuple[int, float]:
+        now, best = self.root, 0.0
+        for c in core:
+            now = now.get(c)
+            if now is None:
+                return (INSULT, best) if best else (OTHER, 0.0)
+            best = max(best, now.get("on", 0.0))
+        kind = now.get("whole", (OTHER, 0.0))
+        best = max(best, now.get("alone", 0.0))
+        return (INSULT, best) if best > kind[1] else kind
+
+
 class Lexical(dict):
-    """Word as written -> class, weight; None for other words."""
+    """Word as written -> class and weight, by the automaton; bounded."""
 
     def __init__(self, grammar: Grammar):
         super().__init__()
-        self.learned = grammar.prefixes
-        self.kinds = {w: ("report", 0.0) for w in REPORTS} | {w: ("negation", 0.0) for w in NEGATIONS}
-        self.kinds |= {w: ("target", 0.0) for w in TARGETS} | {w: ("threat", FIXED_WEIGHT) for w in THREATS}
-        self.kinds |= {w: ("insult", FIXED_WEIGHT) for w in INSULTS}
-
-    def __missing__(self, word: str):
-        core = bare(word)
-        kind = self.kinds.get(core)
-        weight = max((self.learned.get(f, 0.0) for f in features(core)), default=0.0)
-        if weight > (kind[1] if kind else 0.0):
-            kind = ("insult", weight)
+        self.automaton = Automaton(grammar.prefixes)
+
+    def __missing__(self, word: str) -> tuple[int, float]:
         if len(self) >= CACHE:
             self.clear()
-        self[word] = kind
-        return kind
+        found = self[word] = self.automaton.read(bare(word))
+        return found
 
 
 def features(core: str) -> list[str]:
@@ -81,28 +167,12 @@ def features(core: str) -> list[str]:
     return [core[:k] for k in PREFIXES if len(core) >= k] + ([core + "$"] if core else [])
 
 
-def clause_score(kinds: list) -> float:
-    """The clause transducer: one pass over the classes of a clause's words."""
-    total, negated, reported = 0.0, 0, False
-    targeted = any(k is not None and k[0] == "target" for k in kinds)
-    for kind in kinds:
-        name, weight = kind or ("", 0.0)
-        if name == "negation":
-            negated = REACH + 1
-        elif name == "report":
-            reported = True
-        elif name == "insult" or (name == "threat" and targeted):
-            total += weight * (NEGATED if negated else 1) * (REPORTED if reported else 1) * (TARGETED if targeted else 1)
-        negated = max(0, negated - 1)
-    return total
-
-
 def document_scores(text: str, lexical: Lexical) -> tuple[float, float, float]:
     """Sum and maximum of the clauses' scores, and the number of clauses that matched."""
     words = text.split()
-    if not any(k is not None and k[1] for k in map(lexical.__getitem__, set(words))):
+    if not any(weight for _, weight in map(lexical.__getitem__, set(words))):
         return 0.0, 0.0, 0.0
-    scores = [clause_score([lexical[w] for w in clause.split()]) for clause in CLAUSE_END.split(text)]
+    scores = [GRAMMAR.run([lexical[w] for w in clause.split()]) for clause in CLAUSE_END.split(text)]
     found = [s for s in scores if s]
     return sum(found), max(found, default=0.0), float(len(found))
 
