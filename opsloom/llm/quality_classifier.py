@@ -1,19 +1,22 @@
 """Quality classification by co-training of a text view and a metadata view.
 
-The text view is a hashed vector of a document's words' shapes and marks; the metadata view knows its source, language,
-size and layout only, as the table or the page carries them. A logistic classifier of each view is trained on the labelled
-rows. Over `ROUNDS` rounds each view labels the unlabelled rows that it is most confident of, a balanced number for each
-label, and those enter the other view's training rows. Both views' scores are calibrated on labelled rows held back from
-the training, and combined there by a logistic model of their log-odds, which then scores every document.
+The text view has marks of a document's whole text (signs, capitals, repetition, lines) and its words, hashed; the metadata
+view knows its source, language and size only, as the table carries them. A logistic classifier of each view is trained on the
+labelled rows. Over `ROUNDS` rounds each view labels the unlabelled rows that it is most confident of, a balanced number for
+each label, and those enter the other view's training rows. Each view's log-odds are calibrated by a logistic curve on
+labelled rows held back from the training, and the calibrated views are combined by a logistic model on other rows held
+back, which then scores every document.
 
 The classifiers are fitted in numpy on a bounded sample: at most about `SAMPLE_LABELLED` labelled and `SAMPLE_POOL`
 unlabelled rows, by a hash of the id. Scoring covers every row and its whole text. A null or empty text has an empty text
-view and is scored by its metadata; null metadata is a value of its own. Rows are scored one by one: ties, repeated rows
-and extra columns change nothing. Without labelled rows of both kinds every score is 0.5.
+view and is scored by its metadata; null metadata is a value of its own. A text of any length is read whole, in one task. Rows
+are scored one by one: ties, repeated rows and extra columns change nothing; a column named as the result is replaced. An empty
+table gives an empty table. Where labels repeat an id, its greatest label holds. Without labelled rows of both kinds every
+score is 0.5.
 """
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +26,18 @@ from pyspark.sql import functions as F
 
 from opsloom.llm.common import values
 from opsloom.llm.toxicity import logistic
+from opsloom.llm.words import word_hashes
 
 SAMPLE_LABELLED, SAMPLE_POOL = 6000, 6000
 ROUNDS, GAIN, CONFIDENCE = 4, 200, 0.9
-N_HASHED, N_META = 64, 32
+N_HASHED, N_META = 256, 32
 N_DENSE = 12
 SYMBOLS, UPPER = b"#*$%&|<>", bytes(range(65, 91))
 LOWER, DIGITS = bytes(range(97, 123)), bytes(range(48, 58))
 
 
 def text_view(text: str) -> np.ndarray:
-    """Dense marks of the whole text, then hashed counts of its words' endings, as shares of its words."""
+    """Dense marks of the whole text, then its words, hashed: the root of each one's share of all."""
     out = np.zeros(N_DENSE + N_HASHED, dtype=np.float64)
     raw = text.encode("utf-8", "replace")
     words = raw.split()
@@ -49,18 +53,19 @@ def text_view(text: str) -> np.ndarray:
     pairs = len(set(zip(words, words[1:], strict=False)))
     out[:N_DENSE] = (
         min(2.0, share(SYMBOLS, n)), share(UPPER, size), share(LOWER, size), share(DIGITS, size), min(2.0, share(b"!", n)), min(1.0, share(b"|", n)),
-        share(b".,;:", n), distinct / n, pairs / n, min(2.0, (size / n) / 10), min(1.0, np.log1p(n) / 10), min(1.0, raw.count(b"\\n") / n),
+        share(b".,;:", n), distinct / n, pairs / n, min(2.0, (size / n) / 10), min(1.0, np.log1p(n) / 10), min(1.0, 10 * raw.count(b"\n") / n),
     )
-    ends = np.fromiter((w[-1] for w in words), dtype=np.uint8, count=n)
-    out[N_DENSE:] = np.bincount(ends % N_HASHED, minlength=N_HASHED) / n
+    hashed = (word_hashes(raw.lower()) >> np.uint64(40)).astype(np.int64) % N_HASHED
+    out[N_DENSE:] = np.sqrt(np.bincount(hashed, minlength=N_HASHED) / n)
     return out
 
 
-def meta_view(source, lang, n_chars, url=None) -> np.ndarray:
-    """Hashed source and language, and the size in steps. The text isn't looked at."""
+def meta_view(meta: dict) -> np.ndarray:
+    """The hashed metadata: each column's value, numbers in steps of twice the size. The text isn't looked at."""
     out = np.zeros(N_META, dtype=np.float64)
-    for key in (f"source={source}", f"lang={lang}", f"size={int(np.log2((n_chars or 0) + 1))}", f"url={url}"):
-        out[xxhash.xxh3_64_intdigest(key) % N_META] += 1.0
+    for name, value in meta.items():
+        step = int(np.log2(abs(value) + 1)) if isinstance(value, (int, float)) and np.isfinite(value) else value
+        out[xxhash.xxh3_64_intdigest(f"{name}={step}") % N_META] += 1.0
     return out
 
 
@@ -74,14 +79,23 @@ def logit(w: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class CoTrained:
-    """Fixed-size weights: of the text view, of the metadata view, and of the combination of their log-odds."""
+    """Fixed-size weights: of each view, of each view's calibration, and of the combination of the calibrated log-odds."""
 
     text: np.ndarray
     meta: np.ndarray
+    curves: tuple[np.ndarray, np.ndarray]
     both: np.ndarray
 
+    def calibrated(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        odds = (logit(self.text, text), logit(self.meta, meta))
+        return np.stack([logit(curve, x[:, None]) for curve, x in zip(self.curves, odds, strict=True)], axis=1)
+
     def score(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        return sigmoid(logit(self.both, np.c_[logit(self.text, text), logit(self.meta, meta)]))
+        return sigmoid(logit(self.both, self.calibrated(text, meta)))
+
+
+#: A calibration and a combination that change nothing, for want of rows to fit them on.
+AS_IS, SUM = np.array([0.0, 1.0]), np.array([0.0, 1.0, 1.0])
 
 
 def confident(w: np.ndarray, x: np.ndarray, free: np.ndarray) -> list[tuple[int, int]]:
@@ -108,9 +122,15 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
                 free[pupil][rows] = False
                 own[pupil] = [np.concatenate([own[pupil][0], pools[pupil][rows]]), np.concatenate([own[pupil][1], labels])]
     weights = {v: logistic(x, t) for v, (x, t) in own.items()}
-    odds = np.c_[logit(weights["text"], text[back]), logit(weights["meta"], meta[back])]
-    both = logistic(odds, y[back]) if len(set(y[back])) == 2 else np.array([0.0, 1.0, 0.0])
-    return CoTrained(weights["text"], weights["meta"], both)
+    first, second = (np.arange(len(y)) % 8 == k for k in (0, 4))
+    curves = []
+    for v, x in (("text", text), ("meta", meta)):
+        odds = logit(weights[v], x[first])[:, None]
+        curves.append(logistic(odds, y[first]) if len(set(y[first])) == 2 else AS_IS)
+    model = CoTrained(weights["text"], weights["meta"], tuple(curves), SUM)
+    if len(set(y[second])) == 2:
+        model = replace(model, both=logistic(model.calibrated(text[second], meta[second]), y[second]))
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", meta_cols=("source", "lang", "n_chars")) -> CoTrained:
@@ -134,12 +154,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     marked = seen["_label"].notna().to_numpy(bool)
     y = seen["_label"].to_numpy(float)[marked]
     if len(set(y)) < 2:
-        return CoTrained(np.zeros(1 + text.shape[1]), np.zeros(1 + meta.shape[1]), np.zeros(3))
+        return CoTrained(np.zeros(1 + text.shape[1]), np.zeros(1 + meta.shape[1]), (AS_IS, AS_IS), np.zeros(3))
     return co_train(text[marked], meta[marked], y, text[~marked], meta[~marked])
 
 
 def views(texts: pa.Array, metas: pa.Array) -> np.ndarray:
-    return np.array([np.concatenate([text_view(t or ""), meta_view(*(m or {"_": None}).values(), *[None] * (3 - len(m or {"_": None})))]) for t, m in zip(values(texts), values(metas), strict=True)])
+    return np.array([np.concatenate([text_view(t or ""), meta_view(m)]) for t, m in zip(values(texts), values(metas), strict=True)])
 
 
 def score(df: DataFrame, model: CoTrained, text_col="text", meta_cols=("source", "lang", "n_chars"), out_col: str = "quality_score") -> DataFrame:

@@ -34,6 +34,15 @@ def test_language_held_out(spark, documents):
     assert {r["language"]["lang"] for r in L.classify(documents(EDGE), none).collect()} == {"und"}
 
 
+def test_language_sample_counts_copies_once(spark, documents):
+    """A text that is there a thousand times doesn't crowd out the others of its language."""
+    texts = [(r["doc_id"], r["text"], r["lang"]) for r in table(spark, SF, "documents").where("lang is not null").limit(300).collect()]
+    rows = spark.createDataFrame(texts, "doc_id bigint, text string, lang string")
+    many = rows.limit(1).crossJoin(spark.range(1000)).drop("id")
+    one, other = L.fit(rows), L.fit(rows.unionByName(many))
+    assert one.languages == other.languages and all(np.array_equal(a, b) for a, b in zip(one.filters, other.filters, strict=True))
+
+
 def test_pooling_matches_convolution():
     rng = np.random.default_rng(0)
     rows = rng.integers(0, L.N_CLASSES, (5, L.WINDOW)).astype(np.uint8)
@@ -122,6 +131,35 @@ def test_quality_rules(spark, documents, rng):
     assert rows[len(texts) - 2]["kept"] and not rows[len(texts) - 1]["kept"]
 
 
+def brute_line(line):
+    """Whether a line stays, written again from the rules."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", line)
+    n, low = len(words), line.lower()
+    symbols, capitals, letters = (len(re.findall(p, line)) for p in (r"[#*$%&|<>]", "[A-Z]", "[A-Za-z]"))
+    if symbols > 0.3 * n and (n >= 4 or symbols >= n):
+        return False
+    if n > 3 and (capitals > 0.5 * letters or line.count("!") > 0.3 * n or len(re.findall("[|·•»→]", line)) > 0.2 * n):
+        return False
+    if (n >= 12 and not re.search(r"[.,;:!?…。]", line)) or (n >= 10 and len(set(words)) < 0.2 * n):
+        return False
+    return n > 12 or not any(p in low for phrases in Q.BOILERPLATE.values() for p in phrases)
+
+
+def test_quality_verdicts(spark, documents, rng):
+    texts = [r["text"] for r in table(spark, SF, "documents").select("text").collect()]
+    prose_lines = [prose(rng, 30) + "." for _ in range(6)]
+    for odd in ("Home | About | Contact | Login", "Alle Rechte vorbehalten.", "Tous droits réservés", "Leer más aquí", " ".join(["word"] * 40), "A · B · C · D", "### *** $$$"):
+        texts += ["\n".join(prose_lines + [odd] * k) for k in (1, 3, 60)] + ["\n".join([f"{odd} {i}" for i in range(60)])]
+    rows = {r["doc_id"]: r["quality"] for r in Q.apply_rules(documents(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        kept = [x for k, x in enumerate(lines) if x not in lines[:k] and brute_line(x)] if len(lines) < 500 else None
+        if kept is not None:
+            n = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in kept)
+            assert rows[i]["cleaned"] == "\n".join(kept) and rows[i]["n_kept_words"] == n
+            assert rows[i]["kept"] == (not rows[i]["base_failed"] and n >= 0.6 * rows[i]["n_words"])
+
+
 def test_toxicity(spark, documents):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     grammar = T.fit(docs.where(fold("doc_id", 3) != 1), labels.where(fold("doc_id", 3) != 1))
@@ -142,6 +180,47 @@ def test_clauses():
     assert score("they kill time") > 0 == score("kill time") == score("")
 
 
+def plain_clause(kinds):
+    """A clause's score by its rules, without transducers."""
+    total, targeted = 0.0, any(k == T.TARGET for k, _ in kinds)
+    for i, (kind, weight) in enumerate(kinds):
+        if kind == T.INSULT or (kind == T.THREAT and targeted):
+            negated = any(k == T.NEGATION for k, _ in kinds[max(0, i - T.REACH) : i])
+            reported = any(k == T.REPORT for k, _ in kinds[:i])
+            total += weight * (T.NEGATED if negated else 1) * (T.REPORTED if reported else 1) * (T.TARGETED if targeted else 1)
+    return total
+
+
+def test_composed_grammar(rng):
+    """The composed table, and the transducers one after the other, score as the rules do."""
+    parts = [T.negation(), T.reported(), T.target()]
+    for _ in range(2000):
+        kinds = [(k, float(rng.randrange(1, 4)) if k in T.SCORED else 0.0) for k in (rng.randrange(6) for _ in range(rng.randrange(0, 12)))]
+        states, weights = [0, 0, 0], [0.0, 0.0]
+        for kind, weight in kinds:
+            for i, part in enumerate(parts):
+                states[i], kind, factor = part.moves[states[i]][kind]
+                weight *= factor
+            if kind in T.SCORED:
+                weights[kind - T.INSULT] += weight
+        chained = sum(w * np.prod([p.ends[s][k] for p, s in zip(parts, states, strict=True)]) for k, w in enumerate(weights))
+        assert np.isclose(T.GRAMMAR.run(kinds), plain_clause(kinds)) and np.isclose(chained, plain_clause(kinds))
+
+
+def test_lexical_automaton(rng):
+    learned = {"idio": 3.0, "fool$": 1.0, "hell": 0.5, "hello": 2.5, "you$": 4.0}
+    automaton = T.Automaton(learned)
+    fixed = {w: T.INSULT for w in T.INSULTS} | {w: T.THREAT for w in T.THREATS}
+    for word in ["idiot", "idio", "idi", "fool", "foolish", "hello", "hellos", "hell", "you", "kill", "said", "", "x", *T.INSULTS]:
+        weight = max((learned.get(f, 0.0) for f in T.features(word)), default=0.0)
+        if word in fixed and weight <= T.FIXED_WEIGHT:
+            assert automaton.read(word) == (fixed[word], T.FIXED_WEIGHT)
+        elif weight:
+            assert automaton.read(word) == (T.INSULT, weight)
+        else:
+            assert automaton.read(word)[1] == 0.0
+
+
 def test_quality_classifier(spark, documents):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     model = C.fit(docs.where(fold("doc_id", 3) != 1), labels.where(fold("doc_id", 3) != 1))
@@ -151,3 +230,26 @@ def test_quality_classifier(spark, documents):
     assert len(edge) == len(EDGE) and all(0 <= r["quality_score"] <= 1 for r in edge)
     blank = C.fit(documents([]), labels)
     assert {r["quality_score"] for r in C.score(documents(EDGE), blank).collect()} == {0.5}
+
+
+def test_views_see_words_lines_and_metadata():
+    assert not np.array_equal(C.text_view("cat sat hat"), C.text_view("bot let fit"))
+    assert C.text_view("a b\nc d\n")[C.N_DENSE - 1] > C.text_view("a b c d")[C.N_DENSE - 1] == 0
+    assert np.array_equal(C.meta_view({"source": "a", "n": 100}), C.meta_view({"source": "a", "n": 101}))
+    assert not np.array_equal(C.meta_view({"source": "a"}), C.meta_view({"source": None}))
+
+
+def test_co_training_against_its_parts(rng):
+    """Scores are the logistic combination of calibrated views, computed here term by term; the views' pseudo-labels help
+    where few rows are labelled."""
+    gen = np.random.default_rng(3)
+    y = (gen.random(1200) < 0.5).astype(float)
+    text, meta = (y[:, None] * 2 - 1) * gen.normal(0.5, 0.4, (1200, 4)) + gen.normal(0, 0.6, (1200, 4)), (y[:, None] * 2 - 1) * 0.6 + gen.normal(0, 0.8, (1200, 3))
+    model = C.co_train(text[:60], meta[:60], y[:60], text[60:700], meta[60:700])
+    got = model.score(text[700:], meta[700:])
+    for i in range(20):
+        odds = [w[0] + sum(a * b for a, b in zip(w[1:], x[700 + i], strict=True)) for w, x in ((model.text, text), (model.meta, meta))]
+        odds = [c[0] + c[1] * min(30, max(-30, o)) for c, o in zip(model.curves, odds, strict=True)]
+        z = model.both[0] + sum(b * min(30, max(-30, o)) for b, o in zip(model.both[1:], odds, strict=True))
+        assert np.isclose(got[i], 1 / (1 + np.exp(-min(30, max(-30, z)))))
+    assert np.mean((got >= 0.5) == y[700:]) >= 0.85
