@@ -69,21 +69,35 @@ def bucket(at, start: int, width: int) -> Column:
     return (F.floor((col(at) - start) / width) * width + start).cast("long")
 
 
+# Seconds by the unit of a rate, and milliseconds by the unit of a duration.
+RATE_SECONDS = {"s": 1.0, "sec": 1.0, "second": 1.0, "m": 60.0, "min": 60.0, "minute": 60.0, "h": 3600.0, "hr": 3600.0, "hour": 3600.0}
+DURATION_MS = {"ms": 1.0, "s": 1_000.0, "m": 60_000.0, "h": 3_600_000.0, "d": 86_400_000.0}
+
+
+def of_unit(unit: Column, values: dict[str, float]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(v) for kv in values.items() for v in kv]), unit)
+
+
+def trimmed(text) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(col(text), r"^\s+|\s+$", "")
+
+
 def rate(text) -> Column:
-    """struct<max_tokens, refill_rate> of "100/m"; null where it isn't a rate."""
-    n = F.regexp_extract(col(text), r"^\s*(\d+(?:\.\d+)?)\s*/\s*([smh])\s*$", 1)
-    unit = F.regexp_extract(col(text), r"^\s*(\d+(?:\.\d+)?)\s*/\s*([smh])\s*$", 2)
-    seconds = F.when(unit == "s", 1.0).when(unit == "m", 60.0).when(unit == "h", 3600.0)
-    return F.when(n != "", F.struct(n.cast("double").alias("max_tokens"), (n.cast("double") / seconds).alias("refill_rate")))
+    """struct<max_tokens, refill_rate> of "100/m"; null where it isn't a number, a slash and a unit."""
+    parts = F.split(col(text), "/")
+    number, unit = trimmed(F.get(parts, 0)), trimmed(F.get(parts, 1))
+    n = F.when(number.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), number.try_cast("double"))
+    seconds = of_unit(unit, RATE_SECONDS)
+    return F.when((F.size(parts) == 2) & n.isNotNull() & seconds.isNotNull(), F.struct(n.alias("max_tokens"), (n / seconds).alias("refill_rate")))
 
 
 def duration_ms(text) -> Column:
-    """Milliseconds of "500ms", "2.5s", "5m", "1h" or "1d"; null unless finite and over 0."""
-    pattern = r"^\s*(\d+(?:\.\d+)?)\s*(ms|s|m|h|d)\s*$"
+    """Milliseconds of "500ms", "2.5s", "5m", "1h" or "1d", units in either case; null unless finite and over 0."""
+    pattern = r"(?i)^\s*(\d+(?:\.\d+)?)\s*(ms|s|m|h|d)\s*$"
     n, unit = F.regexp_extract(col(text), pattern, 1), F.regexp_extract(col(text), pattern, 2)
-    scale = F.when(unit == "ms", 1.0).when(unit == "s", 1e3).when(unit == "m", 6e4).when(unit == "h", 3.6e6).when(unit == "d", 8.64e7)
-    ms = F.bround(n.try_cast("double") * scale, 0).cast("long")
-    return F.when((n != "") & (ms > 0), ms)
+    ms = F.bround(n.try_cast("double") * of_unit(F.lower(unit), DURATION_MS), 0)
+    return F.when((n != "") & (ms > 0) & (ms < 2.0**63), ms.try_cast("long"))
 
 
 def backoff_ms(retry_count, base: int, most: int, custom: list[int] | None = None) -> Column:
@@ -117,20 +131,50 @@ def subscriber_key(key, topic, subscription) -> Column:
     return F.concat(col(key), F.lit("::"), size(topic), F.lit(":"), size(subscription), F.lit(":"), col(topic), col(subscription))
 
 
+# What errors without a class or without a text are called.
+UNKNOWN_EXCEPTION, EMPTY_ERROR = "Error", "(no error captured)"
+
+
+def structured_error(error) -> Column:
+    """struct<errtype, message, traceback> of an error that is an object with a text as its message; null for others. Its
+    class is UNKNOWN_EXCEPTION where it has none."""
+    e = col(error)
+    parsed = F.from_json(e, "errtype string, message string, traceback array<string>")
+    typed = e.startswith("{") & e.rlike(r'"message"\s*:\s*"')
+    found = F.struct(
+        F.coalesce(F.nullif(parsed["errtype"], F.lit("")), F.lit(UNKNOWN_EXCEPTION)).alias("errtype"),
+        parsed["message"].alias("message"),
+        F.coalesce(parsed["traceback"], F.array().cast("array<string>")).alias("traceback"),
+    )
+    return F.when(typed & parsed["message"].isNotNull(), found)
+
+
+def encode_error(errtype, message, traceback) -> Column:
+    """The text of a structured error; `traceback` is an array of lines."""
+    return F.to_json(F.struct(col(errtype).alias("errtype"), col(message).alias("message"), col(traceback).alias("traceback")))
+
+
+def last_line(error) -> Column:
+    return trimmed(F.element_at(F.split(trimmed(error), "\n"), -1))
+
+
 def exception_class(error) -> Column:
-    """The class of an error: `errtype` of structured errors, else the name before the colon of the last line."""
-    last = F.element_at(F.split(F.rtrim(col(error)), "\n"), -1)
-    plain = F.regexp_extract(last, r"^\s*([A-Za-z_][\w.]*)\s*(?::|$)", 1)
-    structured = F.when(col(error).startswith("{"), F.get_json_object(col(error), "$.errtype"))
-    return F.coalesce(structured, F.when(plain != "", F.element_at(F.split(plain, r"\."), -1)), F.lit("Unknown"))
+    """The class of an error: `errtype` of structured errors; of others the dotted name before the end or a colon of the last
+    line if it ends in Error, Exception or Warning, else any name before a colon."""
+    line = last_line(error)
+    named = F.regexp_extract(line, r"^([A-Za-z_][A-Za-z0-9_.]*(?:Error|Exception|Warning))(?::|$)", 1)
+    other = F.regexp_extract(line, r"^([A-Za-z_][A-Za-z0-9_.]*)\s*:", 1)
+    blank = F.lit("")
+    return F.coalesce(structured_error(error)["errtype"], F.nullif(named, blank), F.nullif(other, blank), F.lit(UNKNOWN_EXCEPTION))
 
 
 def error_reason(error) -> Column:
-    """What follows the colon in an error's last line."""
-    last = F.element_at(F.split(F.rtrim(col(error)), "\n"), -1)
-    reason = F.regexp_extract(last, r"^[^:]*:\s*(.*)$", 1)
-    structured = F.when(col(error).startswith("{"), F.get_json_object(col(error), "$.message"))
-    return F.coalesce(structured, F.when(reason != "", reason), last, F.lit(""))
+    """What follows the first colon in an error's last line, else the line; the message of structured errors."""
+    line, blank = last_line(error), F.lit("")
+    after = trimmed(F.regexp_extract(line, r"^[^:]*:(.+)$", 1))
+    structured = structured_error(error)
+    plain = F.coalesce(F.nullif(after, blank), F.nullif(line, blank), F.lit(EMPTY_ERROR))
+    return F.when(structured.isNotNull(), F.coalesce(F.nullif(structured["message"], blank), F.lit(EMPTY_ERROR))).otherwise(plain)
 
 
 def closed_set(value, allowed: list[str], name: str) -> Column:
@@ -139,28 +183,52 @@ def closed_set(value, allowed: list[str], name: str) -> Column:
     return F.when(v.isin(*allowed), v).otherwise(F.raise_error(F.concat(F.lit(f"{name}: unknown value "), F.coalesce(v, F.lit("null")))).cast("string"))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """The number with so many decimals, by its exact binary value; halves away from zero."""
+    tie = x * 2 ** (digits + 1) == F.floor(x * 2 ** (digits + 1))
+    up = F.floor(x * 10**digits + 0.5) / 10**digits
+    return F.regexp_replace(F.format_number(F.when(tie, up).otherwise(x), digits), ",", "")
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded by the exact binary value; halves to even."""
+    return F.regexp_replace(F.format_number(x, digits), ",", "").cast("double")
+
+
+def whole(x: Column) -> Column:
+    """To the nearest whole number, halves up."""
+    return F.floor(x + 0.5).cast("long")
+
+
+# Fixed value: what stands for a time that isn't one.
+NO_TIME = "\u2014"
+
+
 def format_duration(ms) -> Column:
-    m = col(ms)
+    m = col(ms).cast("double")
+    s = m / 1000.0
+    minutes = F.floor(s / 60).cast("long")
     return (
-        F.when(m.isNull(), F.lit("-"))
-        .when(m < 1000, F.concat(m.cast("long").cast("string"), F.lit("ms")))
-        .when(m < 60_000, F.concat(F.format_string("%.1f", m / 1000.0), F.lit("s")))
-        .when(m < 3_600_000, F.concat(F.floor(m / 60_000).cast("string"), F.lit("m "), F.floor(m % 60_000 / 1000).cast("string"), F.lit("s")))
-        .otherwise(F.concat(F.floor(m / 3_600_000).cast("string"), F.lit("h "), F.floor(m % 3_600_000 / 60_000).cast("string"), F.lit("m")))
+        F.when(m.isNull() | F.isnan(m) | (F.abs(m) == float("inf")) | (m < 0), F.lit(NO_TIME))
+        .when(m < 1000, F.concat(fixed(m, 0), F.lit("ms")))
+        .when(s < 10, F.concat(fixed(s, 2), F.lit("s")))
+        .when(s < 60, F.concat(fixed(s, 1), F.lit("s")))
+        .when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m "), whole(s - minutes * 60).cast("string"), F.lit("s")))
+        .otherwise(F.concat(F.floor(minutes / 60).cast("string"), F.lit("h "), (minutes % 60).cast("string"), F.lit("m")))
     )
 
 
 def format_window(ms) -> Column:
-    """A retention window in its largest whole unit."""
+    """A retention window in its largest whole unit, in seconds if none is, one second at least."""
     m = col(ms)
 
-    def unit(size: int, name: str) -> Column:
-        n = (m / size).cast("long")
-        return F.when((m >= size) & (m % size == 0), F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, "").otherwise("s")))
+    def unit(n: Column, name: str) -> Column:
+        return F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, "").otherwise("s"))
 
-    return F.when(m.isNull(), "forever").otherwise(
-        F.coalesce(unit(86_400_000, "day"), unit(3_600_000, "hour"), unit(60_000, "minute"), unit(1000, "second"), F.concat(m.cast("string"), F.lit(" ms")))
-    )
+    sized = F.when(m.isNull(), "Kept forever").when(m <= 0, "Purged immediately")
+    for size, name in ((86_400_000, "day"), (3_600_000, "hour"), (60_000, "minute")):
+        sized = sized.when(m % size == 0, unit((m / size).cast("long"), name))
+    return sized.otherwise(unit(F.greatest(F.lit(1).cast("long"), whole(m / 1000.0)), "second"))
 
 
 def cutoff(now: int, ttl) -> Column:

@@ -6,6 +6,8 @@ grouped by parentheses: `business_hours(tz="UTC") & !weekend(tz="UTC") | payload
 """
 
 import ast
+import os
+import re
 from collections.abc import Callable
 from functools import reduce
 from zoneinfo import ZoneInfo
@@ -120,10 +122,22 @@ def payload_matches(path: str, equals, column: str = "payload") -> Column:
     return holds(F.coalesce(F.get_json_object(F.col(column), f"${steps}") == text, F.lit(False)))
 
 
+#: Sources of feature flags by name: from a flag's name to whether it is on.
+PROVIDERS: dict[str, Callable[[str], bool]] = {"env": lambda name: os.environ.get(f"FF_{name.upper()}", "").strip().lower() in ("1", "true", "yes", "on")}
+
+
 @register("feature_flag")
-def feature_flag(enabled: bool) -> Column:
-    """A setting that the driver has read."""
-    return result("run" if enabled else "skip")
+def feature_flag(flag: str, provider: str = "env") -> Column:
+    """Whether a flag is on where its provider is asked, which is on the driver when the predicate is compiled."""
+    if not flag or provider not in PROVIDERS:
+        raise ValueError(f"no flag {flag!r} of a provider {provider!r}")
+    return result("run" if PROVIDERS[provider](flag) else "skip")
+
+
+@register("env_is")
+def env_is(name: str, value: str) -> Column:
+    """Whether the driver's environment has this value."""
+    return result("run" if os.environ.get(name) == value else "skip")
 
 
 @register("flag_column")
@@ -132,8 +146,11 @@ def flag_column(column: str) -> Column:
 
 
 def parse(text: str) -> Column:
-    """Compiles the text form. It borrows the host language's expression grammar, where ! is written as ~."""
-    return lower(ast.parse(text.replace("!=", "\0").replace("!", "~").replace("\0", "!=").strip(), mode="eval").body)
+    """Compiles the text form. It borrows the host language's expression grammar, where ! is written as ~; quoted values are
+    left as they are."""
+    quoted = re.compile(r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')""")
+    parts = [p if i % 2 else p.replace("!", "~") for i, p in enumerate(quoted.split(text))]
+    return lower(ast.parse("".join(parts).strip(), mode="eval").body)
 
 
 def lower(node: ast.AST) -> Column:

@@ -8,27 +8,41 @@ from opsloom.functions import udfs as U
 from opsloom.plans.registry import query
 from opsloom.sources.adapters import NOW_JOBS
 
-RATES = "(select event_id, case user_id%5 when 0 then '100/m' when 1 then '50/s' when 2 then '3600/h' when 3 then 'x/m' else concat(cast(user_id as varchar), '/m') end as r, user_id%5 as u, user_id from events)"
+RATE_FORMS = ["100/m", "50/s", "3600/h", "x/m", "{n}/min", " {n} / hour ", "{n}/sec", "{n}/hr", "{n}/second", "{n}/minute", "{n}/day", "1/2/s", "{n}.5/M", "+{n}e1/m"]
+DURATION_FORMS = ["{n}ms", "{n}s", "{n}m", "{n}h", "{n}d", "{n}MS", " {n} S ", "{n}.5M", "{n}H", "{n}.25D", "{n}", "{n}.0005s", "-{n}s", "x"]
+
+
+def forms(c, texts: list[str]):
+    """event_id and t: the texts in turn, with the user's number in place of {n}."""
+    picked = F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % len(texts) + 1).cast("int"))
+    return c.events.select("event_id", F.replace(picked, F.lit("{n}"), F.col("user_id").cast("string")).alias("t"))
+
+
+def forms_sql(texts: list[str]) -> str:
+    listed = ", ".join("'" + t.replace("'", "''") + "'" for t in texts)
+    return f"(select event_id, replace([{listed}][event_id%{len(texts)}+1], '{{n}}', cast(user_id as varchar)) as t from events)"
 
 
 @query(
     "c4_rate_parse",
-    f"""select event_id, case u when 0 then 100.0 when 1 then 50.0 when 2 then 3600.0 when 3 then null else cast(user_id as double) end as max_tokens,
-        case u when 0 then 100/60.0 when 1 then 50.0 when 2 then 1.0 when 3 then null else cast(user_id as double)/60.0 end as refill_rate from {RATES}""",
+    f"""select event_id, n as max_tokens, n/per as refill_rate from (select event_id, case when len(p)=2 and s is not null then try_cast(trim(p[1]) as double) end as n, s as per from (
+          select event_id, p, case when trim(p[2]) in ('s', 'sec', 'second') then 1.0 when trim(p[2]) in ('m', 'min', 'minute') then 60.0 when trim(p[2]) in ('h', 'hr', 'hour') then 3600.0 end as s
+          from (select event_id, string_split(t, '/') as p from {forms_sql(RATE_FORMS)})))""",
 )
 def rate_parse(c):
-    u = F.col("user_id") % 5
-    text = F.when(u == 0, "100/m").when(u == 1, "50/s").when(u == 2, "3600/h").when(u == 3, "x/m").otherwise(F.concat(F.col("user_id").cast("string"), F.lit("/m")))
-    return c.events.select("event_id", X.rate(text)["max_tokens"].alias("max_tokens"), X.rate(text)["refill_rate"].alias("refill_rate"))
+    return forms(c, RATE_FORMS).select("event_id", X.rate("t")["max_tokens"].alias("max_tokens"), X.rate("t")["refill_rate"].alias("refill_rate"))
+
+
+UNIT = "(?i)^\\s*[0-9]+(?:\\.[0-9]+)?\\s*(ms|s|m|h|d)\\s*$"
 
 
 @query(
     "c5_duration_parse",
-    "select event_id, cast(case user_id%5 when 0 then user_id when 1 then user_id*1000 when 2 then user_id*60000 when 3 then user_id*3600000 else user_id*86400000 end as bigint) as ms from events where user_id>0 union all select event_id, null from events where user_id=0",
+    f"""select event_id, case when ms > 0 then ms end as ms from (select event_id, cast(round_even(cast(nullif(regexp_extract(t, '^\\s*([0-9]+(?:\\.[0-9]+)?)', 1), '') as double)
+          * case lower(regexp_extract(t, '{UNIT}', 1)) when 'ms' then 1 when 's' then 1000 when 'm' then 60000 when 'h' then 3600000 when 'd' then 86400000 end, 0) as bigint) as ms from {forms_sql(DURATION_FORMS)})""",
 )
 def duration_parse(c):
-    unit = F.element_at(F.array(*map(F.lit, ["ms", "s", "m", "h", "d"])), (F.col("user_id") % 5 + 1).cast("int"))
-    return c.events.select("event_id", X.duration_ms(F.concat(F.col("user_id").cast("string"), unit)).alias("ms"))
+    return forms(c, DURATION_FORMS).select("event_id", X.duration_ms("t").alias("ms"))
 
 
 @query("c6_backoff", "select id, cast(least(1000.0*power(2.0, least(retry_count*5, 30)), 60000.0) as bigint) as delay, cast(coalesce(case retry_count when 0 then 10 when 1 then 20 end, least(1000.0*power(2.0, retry_count), 60000.0)) as bigint) as custom from jobs")
@@ -67,37 +81,69 @@ def json_extract(c):
     return c.topic_messages.select("id", F.get_json_object("metadata", "$.k").alias("k"), F.get_json_object("metadata", "$.missing").alias("missing"))
 
 
-@query("c13_exception_class", "select id, regexp_extract(error, '^([A-Za-z_]+)', 1) as exception from job_errors")
+ERRORS = [
+    "ValueError: bad {n}", "app.errors.TimeoutError: part: {n}", "Traceback\n  File x\nKeyError", "custom_thing : odd {n}", "no colon {n}", "", "  \n ", "note:",
+    '{"errtype":"A","message":"m {n}","traceback":["l1","l2"]}', '{"message":""}', '{"errtype":"B","message":5}', '{broken: x}', "x\n\nDeprecationWarning: y\n",
+]
+ERRORS_SQL = forms_sql(ERRORS).replace("\n", "' || chr(10) || '")
+LINES = f"""(select event_id, t, trim(regexp_extract(trim(t, concat(' ', chr(10))), '[^\\n]*$')) as line,
+  case when t like '{{%' and try(json_type(t, '$.message'))='VARCHAR' then 1 else 0 end as structured from {ERRORS_SQL})"""
+CLASS = """case when structured=1 then coalesce(t->>'$.errtype', 'Error') else coalesce(nullif(regexp_extract(line, '^([A-Za-z_][A-Za-z0-9_.]*(?:Error|Exception|Warning))(?::|$)', 1), ''),
+  nullif(regexp_extract(line, '^([A-Za-z_][A-Za-z0-9_.]*)\\s*:', 1), ''), 'Error') end"""
+REASON = """case when structured=1 then coalesce(nullif(t->>'$.message', ''), '(no error captured)') else coalesce(case when instr(line, ':') between 1 and length(line)-1
+  then coalesce(nullif(trim(substr(line, instr(line, ':')+1)), ''), line) end, nullif(line, ''), '(no error captured)') end"""
+
+
+@query("c13_exception_class", f"select event_id, {CLASS} as exception from {LINES}")
 def exception_class(c):
-    return c.job_errors.select("id", X.exception_class("error").alias("exception"))
+    return forms(c, ERRORS).select("event_id", X.exception_class("t").alias("exception"))
 
 
-@query("c14_error_reason", "select id, regexp_extract(error, '^[^:]*: *(.*)$', 1) as reason from job_errors")
+@query("c14_error_reason", f"select event_id, {REASON} as reason from {LINES}")
 def error_reason(c):
-    return c.job_errors.select("id", X.error_reason("error").alias("reason"))
+    return forms(c, ERRORS).select("event_id", X.error_reason("t").alias("reason"))
 
 
-@query("c15_structured_error", """select id, concat('{"errtype":"', regexp_extract(error, '^([A-Za-z_]+)', 1), '","message":"', regexp_extract(error, '^[^:]*: *(.*)$', 1), '"}') as text from job_errors""")
+@query(
+    "c15_structured_error",
+    """select id, concat('{"errtype":"TimeoutError","message":"', m, '","traceback":["Traceback","', error, '"]}') as text, 'TimeoutError' as errtype, m as message, cast(2 as int) as frames
+       from (select id, error, regexp_extract(error, '^[^:]*: *(.*)$', 1) as m from job_errors)""",
+)
 def structured_error(c):
-    return c.job_errors.select("id", F.to_json(F.struct(X.exception_class("error").alias("errtype"), X.error_reason("error").alias("message"))).alias("text"))
+    rows = c.job_errors.select("id", X.encode_error(X.exception_class("error"), X.error_reason("error"), F.array(F.lit("Traceback"), "error")).alias("text"))
+    back = X.structured_error("text")
+    return rows.select("id", "text", back["errtype"].alias("errtype"), back["message"].alias("message"), F.size(back["traceback"]).alias("frames"))
+
+
+SPAN = "(case event_id%5 when 0 then event_id when 1 then event_id*13 when 2 then event_id*757 when 3 then (event_id%72)*125 else -event_id end)"
+SECONDS = "floor(v/60000.0)"
 
 
 @query(
     "c18_format_duration",
-    """select event_id, case when v<1000 then concat(cast(v as varchar), 'ms') when v<60000 then concat(format('{:.1f}', v/1000.0), 's')
-       when v<3600000 then concat(cast(v//60000 as varchar), 'm ', cast(v%60000//1000 as varchar), 's') else concat(cast(v//3600000 as varchar), 'h ', cast(v%3600000//60000 as varchar), 'm') end as text
-       from (select event_id, cast(event_id*757 as bigint) as v from events)""",
+    f"""select event_id, case when v is null or v<0 then '\u2014' when v<1000 then concat(cast(v as varchar), 'ms')
+       when v<10000 then concat(format('{{:.2f}}', case when v%125=0 then floor(v/10.0+0.5)/100 else v/1000.0 end), 's')
+       when v<60000 then concat(format('{{:.1f}}', case when v%250=0 then floor(v/100.0+0.5)/10 else v/1000.0 end), 's')
+       when v<3600000 then concat(cast(v//60000 as varchar), 'm ', cast(cast(floor(v/1000.0-60*(v//60000)+0.5) as bigint) as varchar), 's') else concat(cast(v//3600000 as varchar), 'h ', cast(v%3600000//60000 as varchar), 'm') end as text
+       from (select event_id, case when event_id%11=0 then null else cast({SPAN} as bigint) end as v from events)""",
 )
 def format_duration(c):
-    return c.events.select("event_id", X.format_duration(F.col("event_id") * 757).alias("text"))
+    v = F.when(F.col("event_id") % 11 != 0, F.expr(SPAN))
+    return c.events.select("event_id", X.format_duration(v).alias("text"))
+
+
+KEPT = "(case event_id%7 when 0 then null when 1 then 0 when 2 then event_id*86400000 when 3 then event_id*3600000 when 4 then event_id*60000 when 5 then event_id%3000 else event_id*1000-500 end)"
 
 
 @query(
     "c19_format_window",
-    """select distinct result_ttl_ms, case when result_ttl_ms is null then 'forever' when result_ttl_ms=0 then '0 ms' when result_ttl_ms=86400000 then '1 day' else concat(cast(result_ttl_ms//86400000 as varchar), ' days') end as text from jobs_all""",
+    f"""select event_id, case when v is null then 'Kept forever' when v<=0 then 'Purged immediately' else concat(cast(n as varchar), ' ', unit, case when n=1 then '' else 's' end) end as text from (
+          select event_id, v, case when v%86400000=0 then v//86400000 when v%3600000=0 then v//3600000 when v%60000=0 then v//60000 else greatest(1, (v+500)//1000) end as n,
+            case when v%86400000=0 then 'day' when v%3600000=0 then 'hour' when v%60000=0 then 'minute' else 'second' end as unit
+          from (select event_id, cast({KEPT} as bigint) as v from events))""",
 )
 def format_window(c):
-    return c.jobs_all.select("result_ttl_ms", X.format_window("result_ttl_ms").alias("text")).distinct()
+    return c.events.select("event_id", X.format_window(F.expr(KEPT)).alias("text"))
 
 
 @query("c20_cutoffs", f"select distinct result_ttl_ms, case when result_ttl_ms>=86400000*7 then {NOW_JOBS}-(result_ttl_ms-86400000*7) end as cutoff from jobs_all")
@@ -279,6 +325,8 @@ def predicate_callable(c):
     return outcome(c, P.holds(odd("at_ms")))
 
 
-@query("f39_flags", f"select id, 'skip' as action, {NONE} from ({AT})")
+@query("f39_flags", f"select id, case when succeeded then 'run' else 'skip' end as action, {NONE} from ({AT})")
 def predicate_flags(c):
-    return outcome(c, P.feature_flag(False))
+    """A flag of a provider that is on, one of the environment that isn't, and one that each row carries."""
+    P.PROVIDERS["table"] = {"beta": True}.get
+    return outcome(c, P.parse('feature_flag("beta", provider="table") & !feature_flag("of no environment") & flag_column("succeeded")'))
