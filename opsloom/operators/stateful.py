@@ -56,35 +56,55 @@ def token_bucket(df: DataFrame, max_tokens: float, refill_rate: float) -> DataFr
 
 @dataclass(frozen=True)
 class Breaker:
-    """Closed until `threshold` failures, each within `window_ms` of the one before; then open for `cooldown_ms`; then
-    half open: `probes` rows pass, and their success rate closes or reopens it."""
+    """A row is an attempt; if it is allowed, its outcome is recorded at once.
+
+    Closed: a success clears the failures, a failure within `window_ms` of the last one adds to them, and `threshold` of them
+    open the breaker. Open: nothing passes until `cooldown_ms` have gone by; the attempt after that passes and half opens it.
+    Half open: up to `probes` more pass; it closes when `probes` outcomes have a success rate of `close_rate`, and opens when
+    they haven't or can no longer reach it, or when probes were out for a whole cooldown."""
 
     threshold: int
     window_ms: int
     cooldown_ms: int
-    probes: int = 1
-    close_rate: float = 1.0
+    probes: int = 5
+    close_rate: float = 0.8
 
     def __call__(self, state, row):
-        s = state or {"mode": "closed", "failures": 0, "last": None, "opened": 0, "tried": 0, "good": 0}
+        s = state or {"mode": "closed", "failures": 0, "last": None, "opened": 0, "half_open_at": 0, "tried": 0, "good": 0, "bad": 0}
         at, failed = row["at_ms"], bool(row["failed"])
-        if s["mode"] == "open" and at - s["opened"] >= self.cooldown_ms:
-            s = s | {"mode": "half_open", "tried": 0, "good": 0}
-        allowed = s["mode"] != "open"
-        if s["mode"] == "half_open":
-            s = s | {"tried": s["tried"] + 1, "good": s["good"] + (not failed)}
-            if failed:
-                s = s | {"mode": "open", "opened": at, "failures": 0, "last": at}
-            elif s["tried"] >= self.probes:
-                closed = s["good"] / s["tried"] >= self.close_rate
-                s = s | ({"mode": "closed", "failures": 0, "last": None} if closed else {"mode": "open", "opened": at})
-        elif s["mode"] == "closed" and failed:
-            n = s["failures"] + 1 if s["last"] is not None and at - s["last"] <= self.window_ms else 1
-            s = s | {"failures": n, "last": at}
-            if n >= self.threshold:
-                s = s | {"mode": "open", "opened": at}
+        clean = {"tried": 0, "good": 0, "bad": 0}
+        allowed = True
+        if s["mode"] == "open":
+            allowed = at - s["opened"] >= self.cooldown_ms
+            if allowed:
+                s = s | clean | {"mode": "half_open", "half_open_at": at}
+        elif s["mode"] == "half_open":
+            allowed = s["tried"] < self.probes
+            if allowed:
+                s = s | {"tried": s["tried"] + 1}
+            elif at - s["half_open_at"] >= self.cooldown_ms:
+                s = s | clean | {"mode": "open", "opened": at}
+        if allowed:
+            s = self.recorded(s, at, failed, clean)
         return s, [{"seq": row["seq"], "key": row["key"], "allowed": allowed, "mode": s["mode"]}]
 
+    def recorded(self, s: dict, at: int, failed: bool, clean: dict) -> dict:
+        if s["mode"] == "closed":
+            if not failed:
+                return s | {"failures": 0}
+            n = s["failures"] + 1 if s["last"] is not None and at - s["last"] <= self.window_ms else 1
+            return s | {"failures": n, "last": at} | ({"mode": "open", "opened": at} if n >= self.threshold else {})
+        s = s | {"good": s["good"] + (not failed), "bad": s["bad"] + failed}
+        if failed:
+            s = s | {"failures": s["failures"] + 1, "last": at}
+        seen = s["good"] + s["bad"]
+        best = (s["good"] + self.probes - seen) / self.probes if self.probes > 0 else 0.0
+        if not failed and seen >= self.probes and s["good"] / seen >= self.close_rate:
+            return s | clean | {"mode": "closed", "failures": 0}
+        if seen >= self.probes or (failed and best < self.close_rate):
+            return s | clean | {"mode": "open", "opened": at}
+        return s
+
 
 def breaker(df: DataFrame, **config) -> DataFrame:
     return ordered_fold(df, "key", ["at_ms", "seq"], Breaker(**config), "seq bigint, key string, allowed boolean, mode string")
@@ -92,24 +112,24 @@ def breaker(df: DataFrame, **config) -> DataFrame:
 
 @dataclass(frozen=True)
 class CoDel:
-    """Sheds once sojourn has stayed over the target for an interval, then ever faster: after interval / sqrt(count)."""
+    """Sheds once sojourn has stayed at the target or over it for an interval, then ever faster: the next time is interval /
+    sqrt(count) from now. The count outlives a recovery: an episode that begins within eight intervals of the time that was
+    next goes on at two less."""
 
     target_ms: int
     interval_ms: int
 
     def __call__(self, state, row):
-        s = state or {"above": None, "dropping": False, "count": 0, "next": 0}
+        s = state or {"above": 0, "next": 0, "count": 0, "dropping": False}
         at, drop = row["at_ms"], False
         if row["sojourn_ms"] < self.target_ms:
-            s = {"above": None, "dropping": False, "count": 0, "next": 0}
-        elif s["above"] is None:
+            s = s | {"above": 0, "dropping": False}
+        elif s["above"] == 0:
             s = s | {"above": at + self.interval_ms}
-        elif s["dropping"]:
-            if at >= s["next"]:
-                n = s["count"] + 1
-                drop, s = True, s | {"count": n, "next": s["next"] + int(self.interval_ms / n**0.5)}
-        elif at >= s["above"]:
-            drop, s = True, s | {"dropping": True, "count": 1, "next": at + self.interval_ms}
+        elif at >= s["above"] and (not s["dropping"] or at >= s["next"]):
+            again = s["count"] > 2 and at - s["next"] < 8 * self.interval_ms
+            n = s["count"] + 1 if s["dropping"] else s["count"] - 2 if again else 1
+            drop, s = True, s | {"dropping": True, "count": n, "next": at + max(1, int(self.interval_ms / max(1, n) ** 0.5))}
         return s, [{"seq": row["seq"], "key": row["key"], "shed": drop}]
 
 
