@@ -1,6 +1,9 @@
 """One place that turns a logical table name into a DataFrame."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from opsloom.sources import adapters
 
@@ -31,5 +34,39 @@ class Catalog:
         df.write.mode("append").parquet(f"{self.root}/{name}.parquet")
 
     def overwrite(self, df: DataFrame, name: str) -> None:
-        """Replaces a table by survivors; the new files are complete before the old ones go."""
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}.parquet")
+        """Replaces a table by `df`, which may read the table itself. The new files are complete in a folder beside the table
+        before the old ones go; a write that fails leaves the table as it was. The two folders change names one after the
+        other: a reader that comes between them finds no table, and after a crash there the old one lies in the `.old` folder."""
+        path, mark = f"{self.root}/{name}.parquet", uuid.uuid4().hex
+        fresh, old = f"{path}.new-{mark}", f"{path}.old-{mark}"
+        try:
+            df.write.parquet(fresh)
+        except Exception:
+            self.delete(fresh)
+            raise
+        if self.exists(path):
+            self.rename(path, old)
+        self.rename(fresh, path)
+        self.delete(old)
+
+    def read(self, name: str, schema: str | StructType) -> DataFrame:
+        """A table whose files may be older than `schema`: columns that a file doesn't have are null in its rows, columns that
+        the schema doesn't have are left out, and files may differ in this."""
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}.parquet")
+
+    def _file(self, path: str):
+        file = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return file.getFileSystem(self.spark._jsc.hadoopConfiguration()), file
+
+    def exists(self, path: str) -> bool:
+        system, file = self._file(path)
+        return system.exists(file)
+
+    def rename(self, path: str, to: str) -> None:
+        system, file = self._file(path)
+        if not system.rename(file, self._file(to)[1]):
+            raise OSError(f"{path} couldn't be renamed to {to}")
+
+    def delete(self, path: str) -> None:
+        system, file = self._file(path)
+        system.delete(file, True)
