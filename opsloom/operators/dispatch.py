@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsloom.functions.exprs import in_namespace_dispatch
+from opsloom.functions.exprs import in_namespace_dispatch, whole
 from opsloom.operators.joins import dispatchable
 
 
@@ -62,19 +62,26 @@ def affinity_order(jobs: DataFrame, owned: str, position: str, free: int) -> Dat
     return kept.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col(owned), position)).cast("long"))
 
 
-def smoothed(df: DataFrame, key: str, at: str, value: str, window_ms: int, up: bool) -> DataFrame:
-    """Scale-up waits for the least, scale-down for the greatest of the last window's wishes."""
-    w = Window.partitionBy(key).orderBy(at).rangeBetween(-window_ms, 0)
-    return df.withColumn("smoothed", F.min(value).over(w) if up else F.max(value).over(w))
+def smoothed(df: DataFrame, key: str, at: str, desired: str, current: str, up_ms: int, down_ms: int) -> DataFrame:
+    """The workers that a tick settles on: the least wish for more of the last `up_ms`, where it wishes for more; the greatest
+    wish for fewer of the last `down_ms`, where it wishes for fewer; else what there is."""
+    more, fewer = F.col(desired) > F.col(current), F.col(desired) < F.col(current)
+    own = Window.partitionBy(key).orderBy(at)
+    up = F.min(F.when(more, F.col(desired))).over(own.rangeBetween(-up_ms, 0))
+    down = F.max(F.when(fewer, F.col(desired))).over(own.rangeBetween(-down_ms, 0))
+    return df.withColumn("smoothed", F.when(more, up).when(fewer, down).otherwise(F.col(current)))
 
 
 def trend(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Change against the row before, in percent; `new` where that was zero."""
+    """Change against the row before in whole percent: direction and label; `new`, which is up, where there was nothing. The
+    first row has none."""
     was = F.lag(value).over(Window.partitionBy(key).orderBy(at))
-    pct = F.floor((F.col(value) - was) * 100.0 / was * 10 + 0.5) / 10
-    kind = F.when(was.isNull(), F.lit(None).cast("string")).when((was == 0) & (F.col(value) == 0), "flat").when(was == 0, "new")
-    kind = F.coalesce(kind, F.when(was.isNotNull(), F.when(F.col(value) > was, "up").when(F.col(value) < was, "down").otherwise("flat")))
-    return df.withColumn("change_pct", F.when(was != 0, pct)).withColumn("trend", kind)
+    pct = whole((F.col(value) - was) / was * 100)
+    direction = F.when(was.isNull() | F.col(value).isNull(), F.lit(None).cast("string"))
+    direction = direction.when((was == 0) & (F.col(value) != 0), "up").when((was == 0) | (pct == 0), "flat").when(pct > 0, "up").otherwise("down")
+    label = F.when(direction.isNull(), F.lit(None).cast("string")).when(direction == "flat", "0%").when(was == 0, "new")
+    label = label.otherwise(F.concat(F.when(pct > 0, "+").otherwise(""), pct.cast("string"), F.lit("%")))
+    return df.withColumn("direction", direction).withColumn("label", label)
 
 
 def normalized(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -3,10 +3,15 @@
 Frontiers are rewritten in each round and cut from their lineage by checkpoint(), so a plan doesn't grow with the depth.
 The number of rounds is the depth of the deepest graph, whatever the number of graphs."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsloom.functions.exprs import round2
+from opsloom.functions.exprs import round2, rounded
 from opsloom.sources.shared import cut
 
 
@@ -25,12 +30,82 @@ def closure(edges: DataFrame, start: DataFrame, up: bool = False) -> DataFrame:
         found = frontier if found is None else cut(found.union(frontier))
 
 
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(run_id, node, level): the longest path from a root; nodes on or behind a cycle are dropped, as by Kahn's order.
-
-    In each round the nodes whose predecessors all have a level get theirs."""
-    left = cut(nodes.select("run_id", "node").distinct())
-    open_ = cut(edges.select("run_id", "src", "dst").distinct())
+#: Nodes and edges of a run up to which a task levels it by itself, and rows that a task levels together.
+LARGE, TOGETHER = 1_000_000, 200_000
+
+
+def levels(nodes: DataFrame, edges: DataFrame, large: int = LARGE) -> DataFrame:
+    """(run_id, node, level): the longest path from a root; nodes on or behind a cycle are dropped, as by Kahn's order, and so
+    are nodes behind one that isn't there.
+
+    Runs of up to `large` nodes and edges are brought to a task each, many runs to a task, and leveled there together; their
+    sizes are counted first. Larger runs are leveled by joins, a round a level."""
+    n, e = nodes.select("run_id", "node").distinct(), edges.select("run_id", "src", "dst").distinct()
+    rows = n.select("run_id", F.col("node").alias("a"), F.lit(None).cast(n.schema["node"].dataType).alias("b")).union(e)
+    huge = cut(rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large).select("run_id"))
+    if huge.isEmpty():
+        return levels_together(rows, n)
+    small = levels_together(rows.join(huge, "run_id", "left_anti"), n)
+    return small.union(levels_by_rounds(n.join(huge, "run_id", "left_semi"), e.join(huge, "run_id", "left_semi")))
+
+
+def levels_together(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """Levels of whole runs, given as rows run_id, a, b: an edge, or a node where b is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= TOGETHER:
+                table = pa.Table.from_batches(held).combine_chunks()
+                ids = table.column(0).to_numpy(zero_copy_only=False)
+                last = int(np.nonzero(ids != ids[-1])[0].max(initial=-1)) + 1  # the last run may go on in the next batch
+                if last:
+                    yield leveled(table.slice(0, last))
+                held, size = table.slice(last).to_batches(), size - last
+        if size:
+            yield leveled(pa.Table.from_batches(held).combine_chunks())
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in like.schema) + ", level int"
+    return rows.repartition("run_id").sortWithinPartitions("run_id").mapInArrow(run, kind)
+
+
+def leveled(table: pa.Table) -> pa.RecordBatch:
+    """Kahn's order over all runs of the table at once: in each step the nodes that wait for nothing get their level."""
+    runs = pd.factorize(table.column(0).to_numpy(zero_copy_only=False))[0].astype(np.int64)
+    a, b = (table.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+    is_node = pd.isna(b)
+    names = pd.factorize(np.concatenate([a, b[~is_node]]))[0].astype(np.int64)
+    width = int(names.max(initial=0)) + 1
+    first, second = runs * width + names[: len(a)], runs[~is_node] * width + names[len(a) :]
+    node, place = np.unique(first[is_node], return_index=True)
+
+    def number(key: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(node, key), max(0, len(node) - 1))
+        return np.where(node[at] == key, at, -1) if len(node) else np.full(len(key), -1)
+
+    src, dst = number(first[~is_node]), number(second)
+    src, dst = src[dst >= 0], dst[dst >= 0]
+    waits = np.bincount(dst, minlength=len(node))
+    order = np.argsort(src, kind="stable")
+    src, dst = src[order], dst[order]
+    starts, ends = np.searchsorted(src, np.arange(len(node)), "left"), np.searchsorted(src, np.arange(len(node)), "right")
+    level, ready, k = np.full(len(node), -1, dtype=np.int32), np.nonzero(waits == 0)[0], 0
+    while len(ready):
+        level[ready] = k
+        sizes = ends[ready] - starts[ready]
+        gone = dst[np.repeat(starts[ready] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+        waits -= np.bincount(gone, minlength=len(node))
+        ready, k = np.unique(gone[waits[gone] == 0]), k + 1
+    done = level >= 0
+    rows = pa.array(np.nonzero(is_node)[0][place[done]])
+    return pa.RecordBatch.from_arrays([table.column(0).take(rows).combine_chunks(), table.column(1).take(rows).combine_chunks(), pa.array(level[done])], names=["run_id", "node", "level"])
+
+
+def levels_by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """In each round the nodes whose predecessors all have a level get theirs."""
+    left, open_ = cut(nodes), cut(edges)
     done, level = None, 0
     while True:
         waiting = open_.select("run_id", F.col("dst").alias("node")).distinct()
@@ -74,18 +149,26 @@ def critical_path(nodes: DataFrame, edges: DataFrame, leveled: DataFrame | None
 
 
 def bottleneck(paths: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The most expensive node of each critical path and its share of the path in percent."""
-    on = paths.select("run_id", F.col("cost").alias("_total"), F.explode("path").alias("node")).join(nodes.select("run_id", "node", "cost"), ["run_id", "node"])
-    top = on.groupBy("run_id", "_total").agg(F.min(F.struct((-F.col("cost")).alias("c"), "node")).alias("_m"))
-    share = F.when(F.col("_total") > 0, F.floor(-F.col("_m.c") / F.col("_total") * 1000 + 0.5) / 10).otherwise(0.0)
+    """The most expensive node of each critical path, the first of equals, and its share of the path in percent."""
+    on = paths.select("run_id", F.col("cost").alias("_total"), F.posexplode("path").alias("_at", "node")).join(nodes.select("run_id", "node", "cost"), ["run_id", "node"])
+    top = on.groupBy("run_id", "_total").agg(F.min(F.struct((-F.col("cost")).alias("c"), "_at", "node")).alias("_m"))
+    share = F.when(F.col("_total") > 0, rounded(-F.col("_m.c") / F.col("_total") * 100, 1)).otherwise(0.0)
     return top.select("run_id", F.col("_m.node").alias("node"), (-F.col("_m.c")).alias("cost"), share.alias("pct"))
 
 
-def dirty_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(run_id, node, dirty): a completed node with a result hash is cached unless something upstream is dirty."""
-    base = nodes.where("not (status = 'completed' and result_hash is not null)").select("run_id", "node")
-    spread = closure(edges, base).select("run_id", "node").union(base).distinct().withColumn("_d", F.lit(True))
-    return nodes.join(spread, ["run_id", "node"], "left").select("run_id", "node", F.coalesce("_d", F.lit(False)).alias("dirty"))
+def dirty_nodes(nodes: DataFrame, edges: DataFrame, base: DataFrame, now: int | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """(run_id, node, dirty, result_hash): a node of the new run is cached, with the hash of the run before, if it completed
+    there with a hash, nothing upstream is dirty, and that run (base.completed_at) isn't older than the lifetime. Nodes that
+    are new in the run are dirty."""
+    was = base.select("run_id", "node", F.when((F.col("status") == "completed"), F.col("result_hash")).alias("_hash"), *([F.col("completed_at").alias("_done")] if ttl_ms is not None else []))
+    rows = nodes.select("run_id", "node").join(was, ["run_id", "node"], "left")
+    first = rows.where(F.col("_hash").isNull()).select("run_id", "node")
+    if ttl_ms is not None:
+        old = base.where(F.lit(now) - F.col("completed_at") > ttl_ms).select("run_id").distinct()
+        first = first.union(nodes.select("run_id", "node").join(old, "run_id", "left_semi"))
+    spread = closure(edges, first).select("run_id", "node").union(first).distinct().withColumn("_d", F.lit(True))
+    dirty = F.coalesce("_d", F.lit(False))
+    return rows.join(spread, ["run_id", "node"], "left").select("run_id", "node", dirty.alias("dirty"), F.when(~dirty, F.col("_hash")).alias("result_hash"))
 
 
 def component(edges: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
@@ -131,12 +214,24 @@ def saga_waves(nodes: DataFrame, leveled: DataFrame) -> DataFrame:
     return rows.select("run_id", "node", F.dense_rank().over(Window.partitionBy("run_id").orderBy(F.desc("level"))).cast("long").alias("wave"))
 
 
-# The legal transitions of a workflow's state.
+# The states of a workflow, and the legal transitions between them.
+STATES = ["pending", "running", "completed", "completed_with_failures", "failed", "cancelled", "paused", "compensating", "compensated", "compensation_failed"]
 TRANSITIONS = [
-    ("pending", "running"), ("pending", "cancelled"), ("running", "completed"), ("running", "failed"), ("running", "cancelled"), ("running", "paused"),
-    ("running", "completed_with_failures"), ("running", "compensating"), ("paused", "running"), ("paused", "cancelled"), ("failed", "compensating"),
-    ("compensating", "compensated"), ("compensating", "compensation_failed"), ("failed", "running"),
-]
+    ("pending", "running"),
+    ("running", "completed"),
+    ("running", "completed_with_failures"),
+    ("running", "failed"),
+    ("running", "cancelled"),
+    ("running", "paused"),
+    ("running", "compensating"),
+    ("paused", "running"),
+    ("paused", "cancelled"),
+    ("completed_with_failures", "compensating"),
+    ("completed", "compensating"),
+    ("failed", "compensating"),
+    ("compensating", "compensated"),
+    ("compensating", "compensation_failed"),
+]
 
 
 def legal(df: DataFrame, before: str = "state", after: str = "target") -> DataFrame:

@@ -127,9 +127,10 @@ def ring_owner(keys: DataFrame, points: DataFrame, key: str, worker: str = "work
     return rows.where("_kind = 1").join(F.broadcast(spans), "_range").select(key, F.coalesce("_near", "_next").alias(worker))
 
 
-def steal_target(workers: DataFrame, least_surplus: int) -> DataFrame:
-    """The busiest worker with enough surplus; ties go to the smallest name."""
-    return workers.where(F.col("load") - F.col("threads") >= least_surplus).orderBy(F.col("load").desc(), "worker_id").limit(1)
+def steal_target(workers: DataFrame, own: str, least_surplus: int, alive: Column) -> DataFrame:
+    """Of the living peers the one with the fullest buffer, if that holds more than the surplus; ties go to the smallest name."""
+    peers = workers.where(alive & (F.col("worker_id") != own) & (F.col("buffered") > least_surplus))
+    return peers.orderBy(F.col("buffered").desc(), "worker_id").limit(1)
 
 
 def purgeable_messages(messages: DataFrame, floors: DataFrame, acked: DataFrame, now: int) -> DataFrame:
@@ -137,3 +138,13 @@ def purgeable_messages(messages: DataFrame, floors: DataFrame, acked: DataFrame,
     expired = messages.where(F.col("expires_at") <= now).select("topic", "id")
     behind = messages.join(F.broadcast(floors.where("floor is not null")), "topic").where("id <= floor").select("topic", "id")
     return expired.union(behind).union(acked.select("topic", "id")).distinct()
+
+
+def compacted(messages: DataFrame, floors: DataFrame, acked: DataFrame, now: int, budget: int) -> DataFrame:
+    """The messages that a compaction leaves. It drops `budget` at most: expired ones first, then those that every cursor of
+    their topic has passed, then those that every subscription has acknowledged; in order of topic and id within these."""
+    expired = messages.where(F.col("expires_at") <= now).select("topic", "id", F.lit(0).alias("_stage"))
+    behind = messages.join(floors.where("floor is not null"), "topic").where("id <= floor").select("topic", "id", F.lit(1).alias("_stage"))
+    gone = expired.union(behind).union(acked.select("topic", "id", F.lit(2).alias("_stage"))).groupBy("topic", "id").agg(F.min("_stage").alias("_stage"))
+    gone = gone.orderBy("_stage", "topic", "id").limit(budget)
+    return messages.join(gone.select("topic", "id"), ["topic", "id"], "left_anti")

@@ -56,13 +56,20 @@ def topic_backlog(jobs: DataFrame, dead: DataFrame, subscriptions: DataFrame, no
 
 
 def log_lag(messages: DataFrame, subscriptions: DataFrame, now: int) -> DataFrame:
-    """Messages after each log subscription's cursor, all of them without one, and the age of the oldest."""
+    """Messages after each log subscription's cursor, all of them without one, and the age of the oldest.
+
+    A topic's cursors cut its messages into intervals. Each message is counted in its interval, before any shuffle, and a
+    subscription sums the intervals behind its cursor: no message meets more than its topic's list of cursors."""
     subs = subscriptions.where("mode = 'log'").select("topic", "subscription_name", "cursor")
-    late = F.col("cursor").isNull() | (F.col("id") > F.col("cursor"))
-    joined = subs.join(messages.select("topic", "id", "created_at"), "topic", "left").where(F.col("id").isNull() | late | True)
-    seen = F.col("id").isNotNull() & late
-    return joined.groupBy("topic", "subscription_name").agg(
-        F.count_if(seen).alias("lag"), (F.lit(now) - F.min(F.when(seen, F.col("created_at")))).alias("oldest_age_ms")
+    cuts = subs.groupBy("topic").agg(F.array_sort(F.collect_set("cursor")).alias("_cuts"))
+    place = F.size(F.filter("_cuts", lambda x: x < F.col("id")))
+    counted = messages.select("topic", "id", "created_at").join(cuts, "topic")
+    counted = counted.groupBy("topic", place.alias("_place")).agg(F.count(F.lit(1)).alias("_n"), F.min("created_at").alias("_oldest"))
+    # A cursor has passed the intervals up to its place in the list; without a cursor none is passed.
+    wanted = subs.join(cuts, "topic").withColumn("_from", F.when(F.col("cursor").isNull(), 0).otherwise(F.array_position("_cuts", F.col("cursor"))))
+    met = wanted.join(counted, (wanted["topic"] == counted["topic"]) & (F.col("_place") >= F.col("_from")), "left").drop(counted["topic"])
+    return met.groupBy("topic", "subscription_name").agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("lag"), (F.lit(now) - F.min("_oldest")).alias("oldest_age_ms")
     )
 
 
@@ -116,12 +123,11 @@ def retention_counts(archived, dead, logs, metrics, errors, cutoffs: dict[str, i
 
 
 def dead_groups(dead: DataFrame) -> DataFrame:
-    """Dead letters by task and exception class."""
-    rows = dead.select("task_name", exception_class("error").alias("exception"), error_reason("error").alias("_reason"), "queue", "failed_at")
-    lists = [F.array_join(F.array_sort(F.collect_set(c)), ",").alias(n) for c, n in (("queue", "queues"),)]
-    return rows.groupBy("task_name", "exception").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("_reason").alias("reasons"), F.max("failed_at").alias("last_failed_at"), *lists
-    )
+    """Dead letters by task and exception class: how many, on which queues, the last, and the reasons. A group's queues and
+    its different reasons are lists in its row, as the view that shows them wants; equal reasons count once."""
+    rows = dead.select("task_name", exception_class("error").alias("exception"), error_reason("error").alias("reason"), "queue", "failed_at")
+    listed = [F.array_join(F.array_sort(F.collect_set(c)), sep).alias(n) for c, sep, n in (("queue", ",", "queues"), ("reason", "|", "reasons"))]
+    return rows.groupBy("task_name", "exception").agg(F.count(F.lit(1)).alias("n"), F.max("failed_at").alias("last_failed_at"), *listed)
 
 
 def scaler_payload(jobs: DataFrame, capacity: int) -> DataFrame:
@@ -131,15 +137,19 @@ def scaler_payload(jobs: DataFrame, capacity: int) -> DataFrame:
     return by_queue.agg(F.sum("pending").alias("pending"), (F.floor(used * 1000 + 0.5) / 1000).alias("utilization"), F.array_join(entries, ",").alias("per_queue"))
 
 
-def desired_workers(df: DataFrame, target: int, target_utilization: float, least: int, most: int, tolerance: float = 0.1) -> DataFrame:
-    """Workers wanted for `pending`, `running` and `current_workers`: by queue depth and by utilization, within bounds;
-    changes within the tolerance are left out."""
-    current = F.col("current_workers")
+def desired_workers(df: DataFrame, target: int, target_utilization: float, least: int, most: int, tolerance: float = 0.1, threads: int = 1) -> DataFrame:
+    """Workers wanted for `pending`, `running` and `current_workers`: by queue depth and by utilization of the workers'
+    threads, within bounds. More running than there are threads asks for one more at least; otherwise a change that is less
+    than the tolerance is left out."""
+    current = F.greatest(F.col("current_workers"), F.lit(0))
+    capacity = F.greatest(current * threads, F.lit(1))
+    utilization = F.col("running") / capacity
     by_depth = F.ceil(F.col("pending") / F.lit(float(target)))
-    utilization = F.when(current > 0, F.col("running") / current).otherwise(0.0)
-    by_use = F.ceil(current * utilization / F.lit(target_utilization))
-    wanted = F.least(F.greatest(by_depth, by_use, F.lit(least)), F.lit(most)).cast("long")
-    near = (current > 0) & (F.abs(wanted - current) <= current * tolerance) & current.between(least, most)
+    by_use = F.when((current > 0) & (utilization > 0), F.ceil(current * (utilization / F.lit(target_utilization)))).otherwise(0)
+    over = (current > 0) & (F.col("running") > capacity)
+    wanted = F.greatest(by_depth, by_use, F.lit(least), F.when(over, current + 1).otherwise(0))
+    wanted = F.greatest(F.least(wanted, F.lit(most)), F.lit(least)).cast("long")
+    near = (current > 0) & ~over & (F.abs(wanted - current) / current < tolerance)
     return df.withColumn("desired", F.when(near, current.cast("long")).otherwise(wanted))
 
 
@@ -161,9 +171,46 @@ def cluster_info(workers: DataFrame, capacity="threads", load="load", buffered="
     return workers.agg(F.count(F.lit(1)).alias("peers"), F.sum(capacity).alias("capacity"), F.sum(load).alias("load"), F.sum(buffered).alias("buffered"))
 
 
-def adaptive_prefetch(df: DataFrame, own: str, total: str) -> DataFrame:
-    wanted = F.ceil(F.col(own) * F.col(own) / F.col(total) * 2)
-    return df.withColumn("prefetch", F.least(F.greatest(wanted, F.lit(1)), F.col(own)).cast("long"))
+def adaptive_prefetch(workers: DataFrame, alive: Column, capacity: str = "threads", buffer: str = "buffer") -> DataFrame:
+    """How many jobs each worker fetches ahead: twice its share of the capacity of all peers that live and its own buffer,
+    one at least and its buffer at most; its whole buffer without a living peer."""
+    live = F.when(alive, F.col(capacity)).otherwise(0)
+    total = workers.agg(F.sum(live).alias("_all"), F.count_if(alive).alias("_n"))
+    rows = workers.crossJoin(F.broadcast(total))  # one row
+    peers = F.col("_n") - F.when(alive, 1).otherwise(0)
+    own = F.col(buffer).cast("double")
+    wanted = F.ceil(own * (own / ((F.col("_all") - live).cast("double") + own)) * 2.0)
+    bounded = F.least(F.greatest(wanted, F.lit(1)), F.col(buffer)).cast("long")
+    return rows.withColumn("prefetch", F.when(peers == 0, F.col(buffer).cast("long")).otherwise(bounded)).drop("_all", "_n")
+
+
+# What may be done with an argument.
+STRATEGIES = ["pass", "convert", "proxy", "redirect", "reject"]
+
+
+def interception_stats(passes: DataFrame) -> DataFrame:
+    """One row for all passes (duration_ms, depth, and how many arguments met each strategy): totals, mean and greatest depth."""
+    n, took = F.count(F.lit(1)), F.coalesce(F.sum("duration_ms"), F.lit(0.0))
+    counts = [F.coalesce(F.sum(s), F.lit(0)).cast("long").alias(f"n_{s}") for s in STRATEGIES]
+    mean = F.when(n > 0, took / n).otherwise(0.0)
+    return passes.agg(n.alias("total_intercepts"), round2(took).alias("total_duration_ms"), round2(mean).alias("avg_duration_ms"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"), *counts)
+
+
+def reconstruction_stats(events: DataFrame) -> DataFrame:
+    """For each handler what became of its events (kind, duration_ms): reconstructions with their times, errors, errors of
+    cleaning up, and checksums that failed."""
+    made = F.col("kind") == "reconstruction"
+    took = F.when(made, F.col("duration_ms"))
+    n = F.count(took)
+    kinds = {"errors": "error", "cleanup_errors": "cleanup_error", "checksum_failures": "checksum_failure"}
+    counts = [F.count_if(F.col("kind") == kind).alias(name) for name, kind in kinds.items()]
+    total = F.coalesce(F.sum(took), F.lit(0.0))
+    base = events.groupBy("handler").agg(
+        F.count_if(made).alias("reconstructions"), *counts, round2(total).alias("total_ms"), round2(F.when(n > 0, total / n).otherwise(0.0)).alias("avg_ms"),
+        round2(F.coalesce(F.max(took), F.lit(0.0))).alias("max_ms"),
+    )
+    p95 = index_percentiles(events.where(made), ["handler"], "duration_ms", {"p95_ms": 0.95})
+    return base.join(p95, "handler", "left").withColumn("p95_ms", round2(F.coalesce("p95_ms", F.lit(0.0))))
 
 
 # States of workflow nodes.

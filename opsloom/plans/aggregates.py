@@ -150,10 +150,20 @@ def purgeable_messages(c):
     return purgeable(c.topic_messages, A.cursor_floor(c.topic_subscriptions), acked_by_all(c), NOW_EVENTS)
 
 
-@query("r23_log_compaction", f"select id, topic, created_at from topic_messages where (topic, id) not in (select topic, id from topic_messages where expires_at <= {NOW_EVENTS})")
+FLOOR = "(select topic, case when count(cursor)=count(*) then min(cursor) end as floor from topic_subscriptions where mode='log' group by topic)"
+
+
+@query(
+    "r23_log_compaction",
+    f"""select id, topic, created_at from topic_messages where (topic, id) not in (select (topic, id) from (
+          select topic, id, min(stage) as stage from (select topic, id, 0 as stage from topic_messages where expires_at <= {NOW_EVENTS}
+            union all select m.topic, m.id, 1 from topic_messages m join {FLOOR} f on f.topic=m.topic and m.id <= f.floor
+            union all select topic, id, 2 from ({ACKED})) group by 1, 2 order by stage, topic, id limit 3500))""",
+)
 def log_compaction(c):
-    gone = c.topic_messages.where(F.col("expires_at") <= NOW_EVENTS).select("topic", "id")
-    return c.topic_messages.join(gone, ["topic", "id"], "left_anti").select("id", "topic", "created_at")
+    from opsloom.operators.joins import compacted
+
+    return compacted(c.topic_messages, A.cursor_floor(c.topic_subscriptions), acked_by_all(c), NOW_EVENTS, 3500).select("id", "topic", "created_at")
 
 
 @query("a18_step_totals", "select job_id, count(*) as steps, coalesce(cast(sum(length(error)) as bigint), 0) as bytes from job_errors group by job_id")
@@ -179,10 +189,13 @@ def retention_total(c):
     return retention_preview(c).agg(F.sum("n").alias("n"))
 
 
+DEAD_REASON = "case when instr(error, ':') > 0 then trim(substr(error, instr(error, ':')+1)) else error end"
+
+
 @query(
     "a21_dead_groups",
-    """select task_name, exception, count(*) as n, count(distinct reason) as reasons, max(failed_at) as last_failed_at, array_to_string(list_sort(list(distinct queue)), ',') as queues
-       from (select task_name, queue, failed_at, regexp_extract(error, '^([A-Za-z_]+)', 1) as exception, regexp_extract(error, '^[^:]*: *(.*)$', 1) as reason from dead_letter) group by 1, 2""",
+    f"""select task_name, exception, count(*) as n, max(failed_at) as last_failed_at, array_to_string(list_sort(list(distinct queue)), ',') as queues, array_to_string(list_sort(list(distinct reason)), '|') as reasons
+       from (select task_name, queue, failed_at, regexp_extract(error, '^([A-Za-z_]+)', 1) as exception, {DEAD_REASON} as reason from dead_letter) group by 1, 2""",
 )
 def dead_groups(c):
     return A.dead_groups(c.dead_letter)
@@ -197,17 +210,21 @@ def scaler(c):
     return A.scaler_payload(c.jobs, 500)
 
 
-WISH = "greatest(ceil(pending/100.0), ceil(w*(case when w>0 then running/w else 0 end)/0.8), 2)"
+# Four threads a worker; from no workers to 60, so that every rule decides somewhere.
+LOADS = "(select queue, priority, retry_count, cast(count(*) filter (where status=0) as bigint) as pending, cast(count(*) filter (where status=1)*(1+priority) as bigint) as running, cast((priority*retry_count*5) as bigint) as w from jobs group by 1, 2, 3)"
 
 
 @query(
     "a24_desired_workers",
-    f"""select queue, case when w>0 and abs(least({WISH}, 40)-w) <= w*0.1 and w between 2 and 40 then cast(w as bigint) else cast(least({WISH}, 40) as bigint) end as desired
-       from (select queue, cast(count(*) filter (where status=0) as double) as pending, cast(count(*) filter (where status=1) as double)/100 as running, cast(20.0 as double) as w from jobs group by queue)""",
+    f"""select queue, priority, retry_count, case when w>0 and not over and abs(d-w)/w < 0.1 then w else d end as desired from (
+          select *, cast(greatest(least(greatest(depth, util, 2, case when over then w+1 else 0 end), 40), 2) as bigint) as d from (
+            select *, ceil(pending/8.0) as depth, case when w>0 and running>0 then ceil(w*(cast(running as double)/greatest(1, w*4)/0.8)) else 0 end as util, w>0 and running > greatest(1, w*4) as over from {LOADS}))""",
 )
 def desired_workers(c):
-    load = c.jobs.groupBy("queue").agg(F.count_if(F.col("status") == 0).cast("double").alias("pending"), (F.count_if(F.col("status") == 1) / 100).alias("running"), F.lit(20.0).alias("current_workers"))
-    return A.desired_workers(load, 100, 0.8, 2, 40).select("queue", "desired")
+    load = c.jobs.groupBy("queue", "priority", "retry_count").agg(
+        F.count_if(F.col("status") == 0).alias("pending"), (F.count_if(F.col("status") == 1) * (1 + F.col("priority"))).alias("running"), (F.col("priority") * F.col("retry_count") * 5).cast("long").alias("current_workers")
+    )
+    return A.desired_workers(load, 8, 0.8, 2, 40, threads=4).select("queue", "priority", "retry_count", "desired")
 
 
 @query("a25_executor_utilization", "select coalesce(cast(sum(greatest(threads-2, 0)) as double)/nullif(sum(threads), 0), 0.0) as utilization from workers")
@@ -229,9 +246,18 @@ def cluster_info(c):
     return A.cluster_info(c.workers.withColumn("load", F.col("threads") % 3).withColumn("buffered", F.col("threads") * 2))
 
 
-@query("a28_prefetch", "select worker_id, cast(least(greatest(ceil(cast(threads*threads as double)/100*2), 1), threads) as bigint) as prefetch from workers")
+LIVE = f"(last_heartbeat >= {NOW_JOBS - 30_000})"
+
+
+@query(
+    "a28_prefetch",
+    f"""select worker_id, case when peers=0 then b else cast(least(greatest(ceil(cast(b as double)*(cast(b as double)/(cast(total as double)+b))*2.0), 1), b) as bigint) end as prefetch from (
+          select worker_id, cast(threads*20 as bigint) as b, (select sum(threads) from workers where {LIVE}) - case when {LIVE} then threads else 0 end as total,
+            (select count(*) from workers where {LIVE}) - case when {LIVE} then 1 else 0 end as peers from workers)""",
+)
 def prefetch(c):
-    return A.adaptive_prefetch(c.workers.withColumn("total", F.lit(100)), "threads", "total").select("worker_id", "prefetch")
+    workers = c.workers.withColumn("buffer", F.col("threads") * 20)
+    return A.adaptive_prefetch(workers, F.col("last_heartbeat") >= NOW_JOBS - 30_000).select("worker_id", "prefetch")
 
 
 DONE = "bool_and(status in ('completed','failed','skipped','cancelled','cache_hit'))"
@@ -261,16 +287,33 @@ def throughput(c):
     return A.throughput(metric_series(c))
 
 
-@query("a33_strategy_counts", f"select level, count(*) as passes, max(cast(length(message) as int)) as max_depth, {R2.format('avg(cast(length(extra) as double))')} as avg_size from task_logs group by level")
+@query(
+    "a33_strategy_counts",
+    f"""select count(*) as total_intercepts, {R2.format('sum(value)')} as total_duration_ms, {R2.format('sum(value)/count(*)')} as avg_duration_ms, max(cast(user_id%9 as bigint)) as max_depth,
+        cast(sum(user_id%4) as bigint) as n_pass, count(*) filter (where event_type='click') as n_convert, count(*) filter (where event_type='purchase') as n_proxy, cast(0 as bigint) as n_redirect,
+        count(*) filter (where event_type='error') as n_reject from events""",
+)
 def strategy_counts(c):
-    from opsloom.functions.exprs import round2
+    marks = {"convert": "click", "proxy": "purchase", "reject": "error"}
+    passes = c.events.select(
+        F.col("value").alias("duration_ms"), (F.col("user_id") % 9).alias("depth"), (F.col("user_id") % 4).alias("pass"), F.lit(0).alias("redirect"),
+        *[(F.col("event_type") == kind).cast("int").alias(name) for name, kind in marks.items()],
+    )
+    return A.interception_stats(passes)
+
 
-    return c.task_logs.groupBy("level").agg(F.count(F.lit(1)).alias("passes"), F.max(F.length("message")).alias("max_depth"), round2(F.avg(F.length("extra").cast("double"))).alias("avg_size"))
+KINDS = "case event_type when 'error' then 'error' when 'signup' then 'cleanup_error' when 'purchase' then 'checksum_failure' else 'reconstruction' end"
 
 
 @query(
     "a34_reconstruction_stats",
-    f"""select task_name, n, failure as errors, avg_ms, max_ms, p95_ms from ({BY_TASK})""",
+    f"""select handler, n as reconstructions, errors, cleanup_errors, checksum_failures, {R2.format('coalesce(total, 0.0)')} as total_ms, {R2.format('coalesce(total/n, 0.0)')} as avg_ms, {R2.format('coalesce(a[n], 0.0)')} as max_ms,
+        {R2.format('coalesce(a[1+least(cast(floor(n*0.95) as bigint), n-1)], 0.0)')} as p95_ms from (
+          select handler, count(*) filter (where kind='reconstruction') as n, count(*) filter (where kind='error') as errors, count(*) filter (where kind='cleanup_error') as cleanup_errors,
+            count(*) filter (where kind='checksum_failure') as checksum_failures, sum(value) filter (where kind='reconstruction') as total, list_sort(list(value) filter (where kind='reconstruction')) as a
+          from (select concat('h', cast(user_id%7 as varchar)) as handler, {KINDS} as kind, value from events where user_id%7<>3 or event_type in ('error', 'signup')) group by handler)""",
 )
 def reconstruction_stats(c):
-    return A.metrics_by_task(c.task_metrics).select("task_name", "n", F.col("failure").alias("errors"), "avg_ms", "max_ms", "p95_ms")
+    rows = c.events.where("user_id % 7 <> 3 or event_type in ('error', 'signup')")
+    rows = rows.select(F.concat(F.lit("h"), (F.col("user_id") % 7).cast("string")).alias("handler"), F.expr(KINDS).alias("kind"), F.col("value").alias("duration_ms"))
+    return A.reconstruction_stats(rows)

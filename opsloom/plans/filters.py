@@ -129,12 +129,12 @@ def job_errors(c):
     return c.job_errors.where(F.col("job_id").isin("000000000003", "000000000033")).orderBy("job_id", "attempt").select("id", "attempt", "error")
 
 
-REPLAYS = "(select concat('r', lpad(cast(l_orderkey as varchar),8,'0')) as original_job_id, l_linenumber as n, l_quantity as q from lineitem where l_orderkey < 40)"
+REPLAYS = "(select concat('r', lpad(cast(l_orderkey as varchar),8,'0')) as original_job_id, l_linenumber as n, l_quantity as q from lineitem)"
 
 
 @query("f14_replay_history", f"select original_job_id, n, q from {REPLAYS} where original_job_id = 'r00000007'")
 def replay_history(c):
-    rows = c.lineitem.where("l_orderkey < 40").select(F.concat(F.lit("r"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0")).alias("original_job_id"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"))
+    rows = c.lineitem.select(F.concat(F.lit("r"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0")).alias("original_job_id"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"))
     return rows.where("original_job_id = 'r00000007'").orderBy(F.desc("n"))
 
 

@@ -1,10 +1,11 @@
-"""Registered DAG analyses. Runs of up to 300 orders keep the oracle's recursion small; the operators take all runs."""
+"""Registered DAG analyses, each over all runs."""
 
 from pyspark.sql import functions as F
 
 from opsloom.operators import graph as G
 from opsloom.plans.joined import edges as all_edges
 from opsloom.plans.registry import query
+from opsloom.sources.adapters import NOW_JOBS
 
 E = "(select a.run_id, a.node_name as src, b.node_name as dst from workflow_nodes a join workflow_nodes b on b.run_id=a.run_id and b.line in (a.line+1, a.line+2))"
 LEVELS = f"""lv as (select run_id, node_name as node, cast(0 as bigint) as level from workflow_nodes where line=1 union all
@@ -100,22 +101,36 @@ def critical_cost(c):
     return G.critical_path(nodes(c), all_edges(c)).select("run_id", "cost")
 
 
-@query("g9_bottleneck", f"with recursive {PATHS}, t as (select run_id, max(total) as cost from cp group by run_id) select t.run_id, t.cost >= max(w.cost) as within from t join workflow_nodes w on w.run_id=t.run_id group by t.run_id, t.cost")
+@query(
+    "g9_bottleneck",
+    """with recursive cp as (select run_id, line, cost as total, [cost] as costs, [node_name] as path, cast(null as double) as before, cast([] as double[]) as costs0, cast([] as varchar[]) as path0 from workflow_nodes where line=1
+         union all select c.run_id, w.line, w.cost + case when c.before >= c.total then c.before else c.total end, list_append(case when c.before >= c.total then c.costs0 else c.costs end, w.cost),
+           list_append(case when c.before >= c.total then c.path0 else c.path end, w.node_name), c.total, c.costs, c.path from cp c join workflow_nodes w on w.run_id=c.run_id and w.line=c.line+1),
+       best as (select *, row_number() over (partition by run_id order by total desc, line) as r from cp)
+       select run_id, path[list_position(costs, list_max(costs))] as node, list_max(costs) as cost, case when total > 0 then cast(format('{:.1f}', list_max(costs)/total*100) as double) else 0.0 end as pct from best where r=1""",
+)
 def bottleneck(c):
-    paths = G.critical_path(nodes(c), all_edges(c))
-    return G.bottleneck(paths, nodes(c)).select("run_id", (F.col("pct") <= 100).alias("within"))
+    return G.bottleneck(G.critical_path(nodes(c), all_edges(c)), nodes(c)).select("run_id", "node", "cost", "pct")
 
 
-BASE = "(select run_id, node_name as node from workflow_nodes where not (status='completed' and result_hash is not null))"
+# The new run has a node more, after the third; the run before completed as many hours ago as its id ends in.
+NEW = "(select run_id, node_name as node from workflow_nodes union all select run_id, 'x' from workflow_nodes where line=3)"
+NEW_EDGES = f"({E} union all select run_id, node_name, 'x' from workflow_nodes where line=3)"
+OLD = f"(select run_id, node_name as node, status, result_hash, {NOW_JOBS} - cast(run_id as bigint)%10*3600000 as completed_at from workflow_nodes)"
+DIRTY_FIRST = f"(select n.run_id, n.node from {NEW} n left join {OLD} b on b.run_id=n.run_id and b.node=n.node where b.node is null or not (b.status='completed' and b.result_hash is not null) or cast(n.run_id as bigint)%10 > 6)"
 
 
 @query(
     "g10_dirty_nodes",
-    f"""with recursive d as (select run_id, node from {BASE} union select d.run_id, e.dst from d join {E} e on e.run_id=d.run_id and e.src=d.node)
-        select w.run_id, w.node_name as node, d.node is not null as dirty from workflow_nodes w left join d on d.run_id=w.run_id and d.node=w.node_name""",
+    f"""with recursive d as (select run_id, node from {DIRTY_FIRST} union select d.run_id, e.dst from d join {NEW_EDGES} e on e.run_id=d.run_id and e.src=d.node)
+        select n.run_id, n.node, d.node is not null as dirty, case when d.node is null then b.result_hash end as result_hash from {NEW} n left join d on d.run_id=n.run_id and d.node=n.node left join {OLD} b on b.run_id=n.run_id and b.node=n.node""",
 )
 def dirty_nodes(c):
-    return G.dirty_nodes(nodes(c), all_edges(c))
+    third = c.workflow_nodes.where("line = 3").select("run_id", "node_name")
+    new = nodes(c).select("run_id", "node").union(third.select("run_id", F.lit("x")))
+    links = all_edges(c).select("run_id", "src", "dst").union(third.select("run_id", "node_name", F.lit("x")))
+    base = nodes(c).withColumn("completed_at", F.lit(NOW_JOBS) - F.col("run_id").cast("long") % 10 * 3_600_000)
+    return G.dirty_nodes(new, links, base, NOW_JOBS, 6 * 3_600_000)
 
 
 @query(
@@ -151,12 +166,19 @@ def saga_waves(c):
     return G.saga_waves(nodes(c), levels(c))
 
 
+ALL_STATES = ", ".join(f"'{s}'" for s in G.STATES)
+LEGAL = ", ".join(f"('{a}', '{b}')" for a, b in G.TRANSITIONS)
+
+
 @query(
     "g17_transitions",
-    "select id, (state='failed' or state='pending') as legal from workflow_runs where state <> 'completed'",
+    f"select id, state, target, (state, target) in ({LEGAL}) as legal from (select id, [{ALL_STATES}][cast(id as bigint)%10+1] as state, unnest([{ALL_STATES}]) as target from workflow_runs)",
 )
 def transitions(c):
-    return G.legal(c.workflow_runs.where("state <> 'completed'").withColumn("target", F.lit("running"))).select("id", "legal")
+    """Runs in each state by turns, against every target."""
+    every = F.array(*map(F.lit, G.STATES))
+    rows = c.workflow_runs.select("id", F.element_at(every, (F.col("id").cast("long") % 10 + 1).cast("int")).alias("state"), F.explode(every).alias("target"))
+    return G.legal(rows).select("id", "state", "target", "legal")
 
 
 @query("g18_chunks", "select run_id, node_name, cast(floor((row_number() over (partition by run_id order by line)-1)/2.0) as bigint) as chunk from workflow_nodes")

@@ -127,9 +127,10 @@ def ring_owner(c):
     return J.ring_owner(c.jobs.select("id"), J.ring_points(c.workers.select("worker_id"), 64), "id")
 
 
-@query("j17_steal_target", "select worker_id, threads from workers where threads*3 - threads >= 2 order by threads*3 desc, worker_id limit 1")
+@query("j17_steal_target", f"select worker_id, cast(threads*3 as int) as buffered from workers where last_heartbeat >= {CUTOFF} and worker_id <> 'w7' and threads*3 > 10 order by threads*3 desc, worker_id limit 1")
 def steal_target(c):
-    return J.steal_target(c.workers.withColumn("load", F.col("threads") * 3), 2).select("worker_id", "threads")
+    peers = c.workers.withColumn("buffered", F.col("threads") * 3)
+    return J.steal_target(peers, "w7", 10, F.col("last_heartbeat") >= CUTOFF).select("worker_id", "buffered")
 
 
 FILTERS = "(select n_name as hook, n_nationkey%4<>0 as enabled, case when n_nationkey%3=0 then null else ['error','click'] end as events, case when n_nationkey%2=0 then null else ['k1','k5'] end as tasks from nation)"
@@ -137,7 +138,7 @@ FILTERS = "(select n_name as hook, n_nationkey%4<>0 as enabled, case when n_nati
 
 @query(
     "f41_webhook_filter",
-    f"""select e.event_id, w.hook from (select event_id, event_type, concat('k', cast(user_id%20 as varchar)) as task from events where event_id < 200) e
+    f"""select e.event_id, w.hook from (select event_id, event_type, concat('k', cast(user_id%20 as varchar)) as task from events) e
         join {FILTERS} w on w.enabled and (w.events is null or list_contains(w.events, e.event_type)) and (w.tasks is null or list_contains(w.tasks, e.task))""",
 )
 def webhook_filter(c):
@@ -147,7 +148,7 @@ def webhook_filter(c):
         F.when(F.col("n_nationkey") % 3 != 0, F.array(F.lit("error"), F.lit("click"))).alias("events"),
         F.when(F.col("n_nationkey") % 2 != 0, F.array(F.lit("k1"), F.lit("k5"))).alias("tasks"),
     )
-    rows = c.events.where("event_id < 200").select("event_id", "event_type", F.concat(F.lit("k"), (F.col("user_id") % 20).cast("string")).alias("task"))
+    rows = c.events.select("event_id", "event_type", F.concat(F.lit("k"), (F.col("user_id") % 20).cast("string")).alias("task"))
     # The hooks are the stated side: each event meets those of its type, or those that take every type.
     typed = hooks.where("enabled").select("hook", "tasks", F.explode(F.coalesce("events", F.array(F.lit("*")))).alias("_type"))
     keyed = rows.select("event_id", "task", F.explode(F.array("event_type", F.lit("*"))).alias("_type"))

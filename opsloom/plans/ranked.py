@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from opsloom.operators import dispatch as D
-from opsloom.plans.aggregates import SERIES, metric_series
+from opsloom.plans.aggregates import SERIES, WIDTH, metric_series
 from opsloom.plans.joined import FREE
 from opsloom.plans.registry import query
 from opsloom.sources.adapters import NOW_JOBS
@@ -51,20 +51,26 @@ def concurrency_cap(c):
 
 @query(
     "w6_smoothing",
-    "select seq, min(sojourn_ms) over (partition by key order by at_ms range between 3600000 preceding and current row) as smoothed from submissions",
+    """select seq, case when d > c then min(case when d > c then d end) over (partition by key order by at_ms range between 1800000 preceding and current row)
+         when d < c then max(case when d < c then d end) over (partition by key order by at_ms range between 7200000 preceding and current row) else c end as smoothed
+       from (select seq, key, at_ms, sojourn_ms % 12 as d, cast(5 as bigint) as c from submissions)""",
 )
 def smoothing(c):
-    return D.smoothed(c.submissions, "key", "at_ms", "sojourn_ms", 3_600_000, True).select("seq", "smoothed")
+    ticks = c.submissions.select("seq", "key", "at_ms", (F.col("sojourn_ms") % 12).alias("desired"), F.lit(5).cast("long").alias("current"))
+    return D.smoothed(ticks, "key", "at_ms", "desired", "current", 1_800_000, 7_200_000).select("seq", "smoothed")
 
 
 @query(
     "w7_trend",
-    f"""select bucket, case when was<>0 then floor((n-was)*100.0/was*10+0.5)/10 end as change_pct,
-        case when was is null then null when was=0 and n=0 then 'flat' when was=0 then 'new' when n>was then 'up' when n<was then 'down' else 'flat' end as trend
-        from (select bucket, n, lag(n) over (order by bucket) as was from ({SERIES}))""",
+    f"""select bucket, case when was is null then null when was=0 and n=0 then 'flat' when was=0 then 'up' when p=0 then 'flat' when p>0 then 'up' else 'down' end as direction,
+        case when was is null then null when was=0 and n=0 then '0%' when was=0 then 'new' when p=0 then '0%' when p>0 then concat('+', cast(p as varchar), '%') else concat(cast(p as varchar), '%') end as label
+        from (select *, case when was<>0 then cast(floor(cast(n-was as double)/was*100+0.5) as bigint) end as p from (select bucket, n, lag(n) over (order by bucket) as was from (
+          select bucket, case when bucket//{WIDTH}%5=0 then 0 else n end as n from ({SERIES}))))""",
 )
 def trend(c):
-    return D.trend(metric_series(c).withColumn("_k", F.lit(1)), "_k", "bucket", "n").select("bucket", "change_pct", "trend")
+    quiet = F.expr(f"bucket div {WIDTH} % 5 = 0")
+    series = metric_series(c).withColumn("n", F.when(quiet, 0).otherwise(F.col("n"))).withColumn("_k", F.lit(1))
+    return D.trend(series, "_k", "bucket", "n").select("bucket", "direction", "label")
 
 
 @query("w8_plan_stages", "select run_id, node_name, cast(floor((row_number() over (partition by run_id order by line)-1)/3.0) as bigint) as stage from workflow_nodes")

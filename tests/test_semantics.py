@@ -11,6 +11,8 @@ from opsloom.operators import joins as J
 from opsloom.operators import lifecycle as K
 from opsloom.operators import listing as L
 from opsloom.operators import stateful as S
+from opsloom.operators import stats as A
+from opsloom.sources.catalog import Catalog
 
 
 def one(spark, column, **values):
@@ -26,13 +28,13 @@ def test_index_percentiles(spark):
     assert X.index_percentiles(same, ["k"], "v", {"p50": 0.5}).first()["p50"] == 7
 
 
-@pytest.mark.parametrize("text,want", [("100/m", (100.0, 100 / 60)), ("50/s", (50.0, 50.0)), ("3600/h", (3600.0, 1.0)), ("x", None), ("5/d", None), (None, None)])
+@pytest.mark.parametrize("text,want", [("100/m", (100.0, 100 / 60)), ("50/s", (50.0, 50.0)), ("3600/h", (3600.0, 1.0)), ("x", None), ("5/d", None), (None, None), ("60/min", (60.0, 1.0)), (" 7 / hour ", (7.0, 7 / 3600)), ("1/2/s", None), ("invalid", None)])
 def test_rates(spark, text, want):
     r = one(spark, X.rate("t"), t=text)
     assert r == want if want is None else (r["max_tokens"], r["refill_rate"]) == pytest.approx(want)
 
 
-@pytest.mark.parametrize("text,want", [("500ms", 500), ("2.5s", 2500), ("5m", 300_000), ("1h", 3_600_000), ("1d", 86_400_000), ("0s", None), ("5", None), ("x", None), (None, None)])
+@pytest.mark.parametrize("text,want", [("500ms", 500), ("2.5s", 2500), ("5m", 300_000), ("1h", 3_600_000), ("1d", 86_400_000), ("2H", 7_200_000), ("10MS", 10), ("0s", None), ("5", None), ("x", None), (None, None)])
 def test_durations(spark, text, want):
     assert one(spark, X.duration_ms("t"), t=text) == want
 
@@ -51,6 +53,104 @@ def test_pages_of_nothing(spark):
     assert L.next_cursor(L.page(df, "t", 9), "t", 9).first()[0] is None
 
 
+@pytest.mark.parametrize("ms,want", [(None, "\u2014"), (-1, "\u2014"), (0, "0ms"), (999, "999ms"), (1005, "1.00s"), (1125, "1.13s"), (9994, "9.99s"), (10_250, "10.3s"), (59_940, "59.9s"), (61_600, "1m 2s"), (3_600_000, "1h 0m"), (5_400_000, "1h 30m")])
+def test_durations_as_text(spark, ms, want):
+    assert one(spark, X.format_duration(F.col("m").cast("long")), m=ms) == want
+
+
+@pytest.mark.parametrize("ms,want", [(None, "Kept forever"), (0, "Purged immediately"), (-5, "Purged immediately"), (86_400_000, "1 day"), (7_200_000, "2 hours"), (60_000, "1 minute"), (1, "1 second"), (1500, "2 seconds"), (90_500, "91 seconds")])
+def test_windows_as_text(spark, ms, want):
+    assert one(spark, X.format_window(F.col("m").cast("long")), m=ms) == want
+
+
+@pytest.mark.parametrize(
+    "error,name,reason",
+    [
+        ("Traceback\n  File\nValueError: permanent failure", "ValueError", "permanent failure"), ("app.errors.PaymentError: declined", "app.errors.PaymentError", "declined"), ("KeyError", "KeyError", "KeyError"),
+        ('{"errtype":"A","message":"m","traceback":[]}', "A", "m"), ('{"message":""}', "Error", "(no error captured)"), (None, "Error", "(no error captured)"), ("  ", "Error", "(no error captured)"), ("oops", "Error", "oops"),
+    ],
+)
+def test_errors(spark, error, name, reason):
+    assert (one(spark, X.exception_class(F.col("e").cast("string")), e=error), one(spark, X.error_reason(F.col("e").cast("string")), e=error)) == (name, reason)
+
+
+def test_structured_errors_come_back(spark):
+    text = X.encode_error("t", "m", F.array(F.lit("l1"), F.lit("l2")))
+    assert one(spark, X.structured_error(text), t="E", m='say "x":') == ("E", 'say "x":', ["l1", "l2"])
+    assert one(spark, X.structured_error("e"), e='{"message": 5}') is None
+
+
+def desired(spark, pending, running, workers, **config):
+    df = spark.createDataFrame([(pending, running, workers)], "pending long, running long, current_workers long")
+    return A.desired_workers(df, **({"target": 10, "target_utilization": 0.8, "least": 1, "most": 10} | config)).first()["desired"]
+
+
+def test_desired_workers(spark):
+    assert desired(spark, 45, 0, 1) == 5 and desired(spark, 1000, 0, 1) == 10 and desired(spark, 0, 0, 5) == 1
+    assert desired(spark, 0, 8, 2, threads=4) == 3  # full threads
+    assert desired(spark, 0, 9, 2, threads=4, target_utilization=10.0) == 3  # more running than threads
+    assert desired(spark, 109, 0, 10, most=20, tolerance=0.2) == 10 and desired(spark, 109, 0, 10, most=20) == 11  # the band is open above
+
+
+def test_compaction_within_a_budget(spark):
+    messages = spark.createDataFrame([("t", f"{i}", 0, 5 if i == 7 else None) for i in range(10)], "topic string, id string, created_at long, expires_at long")
+    floors = spark.createDataFrame([("t", "3")], "topic string, floor string")
+    acked = spark.createDataFrame([("t", "5"), ("t", "0")], "topic string, id string")
+    left = lambda n: sorted(r["id"] for r in J.compacted(messages, floors, acked, 10, n).collect())
+    assert left(100) == ["4", "6", "8", "9"] and left(0) == [str(i) for i in range(10)]
+    assert left(2) == ["1", "2", "3", "4", "5", "6", "8", "9"]  # the expired one, then the first behind the cursors
+
+
+def test_transitions():
+    assert ("completed", "compensating") in G.TRANSITIONS and ("failed", "running") not in G.TRANSITIONS and len(G.TRANSITIONS) == 14
+
+
+def test_flags_and_quoted_marks(spark, monkeypatch):
+    act = lambda c, **v: one(spark, c["action"], **v)
+    monkeypatch.setenv("FF_NEW", "true")
+    assert act(P.parse('feature_flag("new")')) == "run" and act(P.parse('feature_flag("old")')) == "skip" and act(P.parse('!feature_flag("old")')) == "run"
+    with pytest.raises(ValueError):
+        P.parse('feature_flag("x", provider="nobody")')
+    assert act(P.parse('payload_matches("a", equals="x!y")'), payload='{"a":"x!y"}') == "run"
+    assert act(P.parse('!payload_matches("a", equals="!")'), payload='{"a":"!"}') == "skip"
+
+
+def test_overwriting_a_table_by_its_survivors(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    c.overwrite(spark.range(5), "t")
+    c.overwrite(c.t.where("id > 2"), "t")
+    assert sorted(r["id"] for r in c.t.collect()) == [3, 4] and [p.name for p in tmp_path.iterdir()] == ["t.parquet"]
+    with pytest.raises(Exception, match="half way"):
+        c.overwrite(c.t.withColumn("x", F.when(F.col("id") == 4, F.raise_error(F.lit("half way"))).cast("string")), "t")
+    assert sorted(r["id"] for r in c.t.collect()) == [3, 4] and [p.name for p in tmp_path.iterdir()] == ["t.parquet"]
+
+
+def test_older_files_lack_columns(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    c.append(spark.range(2), "t")
+    c.append(spark.range(2, 4).select("id", F.lit("n").alias("note"), F.lit(1).alias("gone")), "t")
+    assert sorted(map(tuple, c.read("t", "id bigint, note string").collect())) == [(0, None), (1, None), (2, "n"), (3, "n")]
+
+
+def test_log_lag_at_the_edges(spark):
+    messages = spark.createDataFrame([("t", f"{i}", 100 + i) for i in range(6)], "topic string, id string, created_at long")
+    subs = [("t", "none", None, "log"), ("t", "mid", "2", "log"), ("t", "between", "25", "log"), ("t", "last", "5", "log"), ("t", "early", "", "log"), ("u", "empty", None, "log"), ("t", "fan", None, "fanout")]
+    got = {r["subscription_name"]: (r["lag"], r["oldest_age_ms"]) for r in A.log_lag(messages, spark.createDataFrame(subs, "topic string, subscription_name string, cursor string, mode string"), 200).collect()}
+    assert got == {"none": (6, 100), "mid": (3, 97), "between": (3, 97), "last": (0, None), "early": (6, 100), "empty": (0, None)}
+
+
+def test_levels_together_and_by_rounds(spark):
+    import random
+
+    rng = random.Random(4)
+    edges = [(f"r{r}", str(rng.randrange(9)), str(rng.randrange(12))) for r in range(40) for _ in range(8)]
+    nodes = spark.createDataFrame([(f"r{r}", str(i)) for r in range(40) for i in range(10)], "run_id string, node string")
+    edges = spark.createDataFrame(edges, "run_id string, src string, dst string")
+    rows = lambda df: sorted(map(tuple, df.select("run_id", "node", "level").collect()))
+    together, mixed = rows(G.levels(nodes, edges)), rows(G.levels(nodes, edges, large=16))
+    assert together == mixed == rows(G.levels_by_rounds(nodes.distinct(), edges.distinct())) and len({x[2] for x in together}) > 1
+
+
 def at(spark, predicate, iso):
     row = spark.sql(f"select unix_millis(timestamp '{iso} UTC') as at_ms").select(predicate.alias("p")).first()["p"]
     return row["action"], row["seconds"]
@@ -87,17 +187,45 @@ def test_token_bucket(spark):
 
 def test_breaker(spark):
     rows = [(0, True, 0), (10, True, 0), (20, True, 0), (30, False, 0), (1100, False, 0), (1110, True, 0)]
-    got = S.breaker(submissions(spark, rows), threshold=3, window_ms=100, cooldown_ms=1000).orderBy("seq").collect()
+    got = S.breaker(submissions(spark, rows), threshold=3, window_ms=100, cooldown_ms=1000, probes=1).orderBy("seq").collect()
     assert [r["mode"] for r in got] == ["closed", "closed", "open", "open", "closed", "closed"]
     assert [r["allowed"] for r in got] == [True, True, True, False, True, True]
     gaps = [(0, True, 0), (200, True, 0), (400, True, 0)]
     assert {r["mode"] for r in S.breaker(submissions(spark, gaps), threshold=2, window_ms=100, cooldown_ms=1000).collect()} == {"closed"}
 
 
+def test_breaker_success_clears_the_failures(spark):
+    rows = [(t, t % 20 == 0, 0) for t in range(0, 100, 10)]  # fail, success, fail, success, ...
+    assert {r["mode"] for r in S.breaker(submissions(spark, rows), threshold=3, window_ms=1000, cooldown_ms=1000).collect()} == {"closed"}
+
+
+def test_breaker_half_open(spark):
+    """Of five probes four have to succeed: one failure is borne, the second opens the breaker at once."""
+    trip = [(0, True, 0), (1, True, 0)]
+    probes = lambda *failed: [r["mode"] for r in S.breaker(submissions(spark, trip + [(1000 + i, f, 0) for i, f in enumerate(failed)]), threshold=2, window_ms=100, cooldown_ms=900).orderBy("seq").collect()][2:]
+    assert probes(False, True, False, False, False) == ["half_open"] * 4 + ["closed"]
+    assert probes(False, True, True) == ["half_open", "half_open", "open"]
+
+
 def test_codel(spark):
-    rows = [(t, False, 500) for t in range(0, 4000, 250)] + [(4100, False, 10), (4200, False, 500)]
-    shed = [r["seq"] for r in S.codel(submissions(spark, rows), 100, 1000).where("shed").orderBy("seq").collect()]
-    assert shed[0] == 4 and len(shed) >= 3 and 17 not in shed
+    shed = lambda rows: [r["shed"] for r in S.codel(submissions(spark, [(t, False, s) for t, s in rows]), 100, 1000).orderBy("seq").collect()]
+    assert not any(shed([(i * 50, 10) for i in range(100)]))
+    assert not any(shed([(1, 500), (500, 500), (800, 10), (900, 500)]))
+    assert shed([(1, 500), (1000, 500), (1001, 500)]) == [False, False, True]
+    assert shed([(1, 500), (1001, 500), (1100, 10), (1200, 500), (2100, 500), (2200, 500)]) == [False, True, False, False, False, True]
+
+
+def test_codel_goes_on_near_its_rate(spark):
+    """The spacing shrinks with the root of the count from the present time, and a quick relapse resumes at two less."""
+    step, state, shed = S.CoDel(100, 1000), None, []
+    for t in [*range(1, 6000, 100), 6100, *range(6200, 9000, 100)]:
+        state, out = step(state, {"seq": t, "key": "k", "at_ms": t, "sojourn_ms": 10 if t == 6100 else 500})
+        if out[0]["shed"]:
+            shed.append((t, state["count"], state["next"]))
+    assert all(at + max(1, int(1000 / n**0.5)) == after for at, n, after in shed)
+    counts = [n for _, n, _ in shed]
+    relapse = next(i for i, (t, _, _) in enumerate(shed) if t > 6100)
+    assert counts[:relapse] == list(range(1, relapse + 1)) and counts[relapse] == relapse - 2
 
 
 def test_debounce_and_batches(spark):
