@@ -173,3 +173,55 @@ class Registry:
                 yield pd.DataFrame(rows, columns=[id_col, "status", "result", "error"])
 
         return df.select(id_col, item_col).mapInPandas(run, f"{id_col} {kind}, status string, result {returns}, error string")
+
+    def starmap(self, df, name: str, columns: list[str], out_col: str = "result"):
+        """One call for each row, with the columns as its arguments; the row's other columns stay."""
+        f, returns = self.tasks[name]
+
+        @F.pandas_udf(returns)
+        def run(*values: pd.Series) -> pd.Series:
+            return pd.Series([f(*row) for row in zip(*values, strict=True)], index=values[0].index)
+
+        return df.withColumn(out_col, run(*columns))
+
+
+class Resource:
+    """Something that a task function needs and that is dear to make, such as a client or a model: made once in each worker
+    process, when it is first asked for, and kept for the process's later tasks."""
+
+    made: dict[str, object] = {}
+
+    def __init__(self, name: str, factory: Callable[[], object]):
+        self.name, self.factory = name, factory
+
+    def get(self):
+        if self.name not in Resource.made:
+            Resource.made[self.name] = self.factory()
+        return Resource.made[self.name]
+
+    def apply(self, f: Callable, returns: str, column: Column) -> Column:
+        """f(resource, value) of each value."""
+
+        @F.pandas_udf(returns)
+        def run(values: pd.Series) -> pd.Series:
+            held = self.get()
+            return values.map(lambda v: f(held, v))
+
+        return run(column)
+
+
+def condition(f: Callable[[dict], bool], context: Column) -> Column:
+    """Whether a callable condition holds for each run's context, a struct such as operators.graph.contexts makes. A condition
+    that fails counts as not met."""
+
+    def holds(ctx) -> bool:
+        try:
+            return bool(f(ctx))
+        except Exception:  # noqa: BLE001  a condition's failure is its answer
+            return False
+
+    @F.pandas_udf("boolean")
+    def run(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([holds(r) for r in rows.to_dict("records")], index=rows.index)
+
+    return run(context)

@@ -214,6 +214,24 @@ def saga_waves(nodes: DataFrame, leveled: DataFrame) -> DataFrame:
     return rows.select("run_id", "node", F.dense_rank().over(Window.partitionBy("run_id").orderBy(F.desc("level"))).cast("long").alias("wave"))
 
 
+def contexts(nodes: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """For each run the context of callable conditions: counts of its completed and failed nodes and how many there are."""
+    counts = nodes.groupBy("run_id").agg(
+        F.count_if(F.col("status") == "completed").alias("success_count"), F.count_if(F.col("status") == "failed").alias("failure_count"), F.count(F.lit(1)).alias("nodes")
+    )
+    return counts.select("run_id", F.struct("run_id", "success_count", "failure_count", "nodes").alias("context"))
+
+
+def compensations(nodes: DataFrame, leveled: DataFrame, compensators: dict[str, str]) -> DataFrame:
+    """The compensation jobs of each run, a row a node that completed and has a compensator: its wave, the task, the key
+    that makes it run once, and what it is told of the forward execution. `nodes` has run_id, node, status, task and result."""
+    task = F.try_element_at(F.create_map(*[F.lit(v) for kv in compensators.items() for v in kv]), F.col("task"))
+    rows = nodes.where("status in ('completed', 'cache_hit')").withColumn("compensator", task).where("compensator is not null").join(leveled, ["run_id", "node"])
+    wave = F.dense_rank().over(Window.partitionBy("run_id").orderBy(F.desc("level"))).cast("long")
+    key = F.concat_ws(":", F.lit("compensation"), "run_id", "node")
+    return rows.select("run_id", "node", wave.alias("wave"), "compensator", key.alias("idempotency_key"), F.col("result").alias("forward_result"))
+
+
 # The states of a workflow, and the legal transitions between them.
 STATES = ["pending", "running", "completed", "completed_with_failures", "failed", "cancelled", "paused", "compensating", "compensated", "compensation_failed"]
 TRANSITIONS = [

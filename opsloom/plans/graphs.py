@@ -194,3 +194,21 @@ def chunks(c):
 )
 def mermaid(c):
     return G.mermaid(nodes(c), all_edges(c))
+
+
+@query("d8_callable_condition", "select run_id, failure_count*2 <= success_count as holds from (select run_id, count(*) filter (where status='completed') as success_count, count(*) filter (where status='failed') as failure_count from workflow_nodes group by 1)")
+def callable_condition(c):
+    from opsloom.functions.udfs import condition
+
+    return G.contexts(nodes(c)).select("run_id", condition(lambda ctx: ctx["failure_count"] * 2 <= ctx["success_count"], F.col("context")).alias("holds"))
+
+
+@query(
+    "d9_compensations",
+    f"""with recursive {LEVELS} select l.run_id, l.node, dense_rank() over (partition by l.run_id order by l.level desc) as wave, case w.line%3 when 0 then 'refund' else 'release' end as compensator,
+        concat('compensation:', l.run_id, ':', l.node) as idempotency_key, w.result_hash as forward_result from {LEVEL} l join workflow_nodes w on w.run_id=l.run_id and w.node_name=l.node where w.status='completed' and w.line%3<>2""",
+)
+def compensations(c):
+    task = F.element_at(F.array(F.lit("charge"), F.lit("reserve"), F.lit("notify")), (F.col("line") % 3 + 1).cast("int"))
+    rows = nodes(c).withColumn("task", task).withColumn("result", F.col("result_hash"))
+    return G.compensations(rows, levels(c), {"charge": "refund", "reserve": "release"})

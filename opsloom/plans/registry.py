@@ -24,4 +24,4 @@ def query(name: str, oracle: str | None = None):
 
 
 def load() -> None:
-    from opsloom.plans import aggregates, filters, graphs, joined, lifecycle, ranked, scalars, stateful  # noqa: F401
+    from opsloom.plans import aggregates, filters, graphs, joined, lifecycle, ranked, scalars, stateful, writes  # noqa: F401

@@ -223,7 +223,7 @@ def url_parts(c):
     return c.pages.select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host"))
 
 
-@query("d1_task_function")
+@query("d1_task_function", "select event_id, concat(upper(event_type), '!') as out from events")
 def task_function(c):
     tasks = U.Registry()
     tasks.task("shout", "string")(lambda text: text.upper() + "!")
@@ -237,6 +237,20 @@ def batched_items(c):
     return tasks.apply_items(c.events, "invert", "event_id", "value")
 
 
+@query("d6_starmap", "select event_id, concat(event_type, ':', cast(user_id%10 as varchar)) as out from events")
+def starmap(c):
+    tasks = U.Registry()
+    tasks.task("label", "string")(lambda kind, n: f"{kind}:{n % 10}")
+    return tasks.starmap(c.events.select("event_id", "event_type", "user_id"), "label", ["event_type", "user_id"], "out").select("event_id", "out")
+
+
+@query("d12_resource", "select event_id, case event_type when 'click' then 3 when 'error' then 1 when 'purchase' then 5 when 'signup' then 4 else 2 end as weight from events")
+def resource(c):
+    """A table of weights that each worker process makes once."""
+    weights = U.Resource("weights", lambda: {"error": 1, "view": 2, "click": 3, "signup": 4, "purchase": 5})
+    return c.events.select("event_id", weights.apply(lambda table, kind: table[kind], "int", F.col("event_type")).alias("weight"))
+
+
 # Predicates: action and seconds of each event.
 AT = "select id, recorded_at as at_ms, succeeded, '{\"args\":[1,{\"k\":\"v\"}],\"kwargs\":{\"n\":3}}' as payload from task_metrics"
 DOW = "(isodow(make_timestamp(at_ms*1000))-1)"
