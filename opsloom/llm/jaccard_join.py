@@ -25,7 +25,7 @@ rows of their own: each is returned, and a component's id is the smallest that i
 Columns other than id and text are ignored, whatever their names.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,14 +67,23 @@ def prefix_length(n, percent: int = NUMERATOR):
     return n + (-percent * n) // 100 + 1
 
 
-def flushes(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch | None, list, dict]]:
+def sets_of_texts(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [shingles(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
+
+
+def sets_of_lists(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The last column's lists, which are sorted sets already."""
+    return [x.values.to_numpy().view(np.uint64) for x in batch.column(batch.num_columns - 1)]
+
+
+def flushes(batches: Iterator[pa.RecordBatch], sets_of: Callable) -> Iterator[tuple[pa.RecordBatch | None, list, dict]]:
     """For each slice of a batch: the slice and its sets, and the sets by node name whenever FLUSH shingles have come
     together, or nothing but these at the end."""
     held, size = {}, 0
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            sets = [shingles(t or "") for t in part.column(column).to_pylist()]
+            sets = sets_of(part)
             full = {}
             for s in sets:
                 if len(s) and (name := name_of(s)) not in held:
@@ -87,7 +96,7 @@ def flushes(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
         yield None, [], held
 
 
-def scanned(docs: DataFrame) -> DataFrame:
+def scanned(docs: DataFrame, sets_of: Callable) -> DataFrame:
     """The members, a row for each document: _id, node, n. And rows with h and its nodes f, for shingles that two or more
     nodes of a flush share."""
     kind = docs.schema["_id"].dataType
@@ -95,7 +104,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_id", "node", "n", "h", "f"]
         id_type = None
-        for part, sets, full in flushes(batches, 1):
+        for part, sets, full in flushes(batches, sets_of):
             if part is not None:
                 id_type = part.column(0).type
                 none = pa.nulls(len(sets), pa.int64())
@@ -107,7 +116,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                 none = pa.nulls(len(h), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(h), id_type), none, none, pa.array(h), pa.array(f)], names=names)
 
-    return docs.select("_id", "_text").mapInArrow(run, f"_id {kind.simpleString()}, node long, n long, h long, f long")
+    return docs.mapInArrow(run, f"_id {kind.simpleString()}, node long, n long, h long, f long")
 
 
 def hot_shingles(scan: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,13 +141,13 @@ def places(h: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return listed[at] == h, at
 
 
-def sent(docs: DataFrame, hot: np.ndarray, ranges: int) -> DataFrame:
+def sent(docs: DataFrame, sets_of: Callable, hot: np.ndarray, ranges: int) -> DataFrame:
     """The packed shingles of all nodes, by range of hashes; hot ones by part of the nodes, in groups numbered from `ranges`
     on."""
     listed = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_LISTED at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, full in flushes(batches, 0):
+        for _, _, full in flushes(batches, sets_of):
             if full:
                 sizes = np.fromiter(map(len, full.values()), np.int64, len(full))
                 h, n = np.concatenate(list(full.values())), np.repeat(sizes.astype(np.uint32), sizes)
@@ -147,7 +156,7 @@ def sent(docs: DataFrame, hot: np.ndarray, ranges: int) -> DataFrame:
                 group = np.where(known, ranges + packs.share_of(node, ranges), packs.share_of(h, ranges))
                 yield packs.packed(group, h=h, node=node, n=n)
 
-    return docs.select("_text").mapInArrow(run, packs.schema(ENTRY))
+    return docs.drop("_id").mapInArrow(run, packs.schema(ENTRY))
 
 
 def returned(sent_: DataFrame, hot: tuple[np.ndarray, np.ndarray], ranges: int) -> DataFrame:
@@ -264,8 +273,8 @@ def remaining_pairs(rows: DataFrame) -> DataFrame:
 
 def connected(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """id and comp: the components of the nodes that link. `rows` has the groups in which linked nodes meet: h, node, n and
-    pos, the node's place for h in its order. `nodes` has node, n and `shared`, the set by which links are verified, and may
-    have `parts`, by whose counts pairs are filtered first."""
+    pos, the node's place for h in its order. `nodes` has node, n, `shared`, the set by which links are verified, and `parts`, by
+    whose counts pairs are filtered first."""
     tables = Tables(rows.sparkSession, "connected")
     labels, links = None, None
     for round_ in range(ROUNDS):
@@ -284,24 +293,21 @@ def connected(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         links = found if links is None else links.union(found)
         labels = components(links)
     open_ = tables.write(apart(rows, labels), "apart")
-    pairs = remaining_pairs(open_)
-    pairs = tables.write(suffix_filtered(pairs, nodes) if "parts" in nodes.columns else pairs, "pairs")
+    pairs = tables.write(suffix_filtered(remaining_pairs(open_), nodes), "pairs")
     found = tables.write(verified(pairs, nodes), "links")
     labels = components(found if links is None else links.union(found))
     tables.drop(*tables.held)
     return labels
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The members, a row for each document with `_id`, `n` and `node`, and the components of nodes: id, comp. Nodes
-    without a link are in no row of the second table; documents without words have no node."""
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    tables = Tables(docs.sparkSession, "jaccard")
-    scan = tables.write(scanned(docs), "members")
+def link_sets(docs: DataFrame, sets_of: Callable, name: str) -> tuple[DataFrame, DataFrame]:
+    """As link(), for `docs` with _id and a column that `sets_of` makes sets from."""
+    tables = Tables(docs.sparkSession, name)
+    scan = tables.write(scanned(docs, sets_of), "members")
     members = scan.where("n is not null").select("_id", "node", "n")
     total = members.agg(F.sum("n")).first()[0] or 0
     ranges, hot = 1 + total // packs.RANGE, hot_shingles(scan, total)
-    nodes = tables.write(described(returned(sent(docs, hot[0], ranges), hot, ranges), ranges), "nodes")
+    nodes = tables.write(described(returned(sent(docs, sets_of, hot[0], ranges), hot, ranges), ranges), "nodes")
     own = F.col("n") - F.size("shared")
     prefixes = nodes.select("node", "n", own.alias("_own"), F.posexplode(F.slice("shared", F.lit(1), F.col("prefix").cast("int"))).alias("_at", "h"))
     prefixes = tables.write(prefixes.select("h", "node", "n", (F.col("_own") + F.col("_at")).alias("pos")), "prefixes")
@@ -310,6 +316,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     return members, labels
 
 
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The members, a row for each document with `_id`, `n` and `node`, and the components of nodes: id, comp. Nodes
+    without a link are in no row of the second table; documents without words have no node."""
+    return link_sets(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), sets_of_texts, "jaccard")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of `docs`: its id, `n_shingles`, and `component_id`, the smallest id in its component."""
     members, labels = link(docs, id_col, text_col)

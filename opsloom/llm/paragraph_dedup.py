@@ -10,9 +10,9 @@ Two kinds of paragraphs are banded by MinHash over word 5-grams and joined on co
 
 Collisions are verified. For parts, the stretches of PASSAGE words around them are compared by their hashes, whole: what two
 documents share is found word by word, however many words, and nothing that is shorter. The smallest id that has a stretch is
-its source. For lines, the Jaccard similarity of the 5-grams is computed; colliding lines are compared with a few lines of
-their band first, then every pair that is still in different components is compared, so that no link is lost. The
-first document of a component of lines is their source.
+its source. For lines that collide, the exact Jaccard similarity of their 5-grams decides, in the n-gram join over these lines
+alone: a line leaves whose 5-grams are too rarely shared for any link, and the rest are compared in groups until every pair
+is in one component or verified apart. The first document of a component of lines is their source.
 
 Documents and the sources of their passages form components; in each, the sources keep the passages and the others'
 stretches are removals. Edits within a stretch of PASSAGE words that doesn't fill a line hide it: it is neither equal nor a
@@ -29,13 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.llm import packs
 from opsloom.llm.common import Tables, scratch, values
 from opsloom.llm.components import components
-from opsloom.llm.jaccard_join import connected
+from opsloom.llm.jaccard_join import link_sets, name_of, sets_of_lists
 from opsloom.llm.words import MIX, grams, raw_of, words_and_lines
 
 PASSAGE, PART = 50, 25
@@ -187,14 +187,14 @@ def windows(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.nonzero(np.cumsum(edge)[:n] > 0)[0]
 
 
-COLLIDING = f"{packs.schema(packs.ENTRY)}, content long, doc_ long, start int, size int, keys array<long>, grams array<long>"
+COLLIDING = f"{packs.schema(packs.ENTRY)}, content long, doc_ long, start int, size int, grams array<long>"
 
 
 def colliding(docs: DataFrame, ranges: int) -> DataFrame:
     """For texts with their colliding `_keys`: packed entries of the stretches of PASSAGE words around parts; rows with
-    content, doc_, start and size of lines; and rows with content, keys and grams of lines, each once a flush."""
-    names = ["group", *packs.ENTRY, "content", "doc_", "start", "size", "keys", "grams"]
-    kinds = [pa.int64(), *[pa.binary()] * len(packs.ENTRY), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    content, doc_, start and size of lines; and rows with content and grams of lines, each once a flush."""
+    names = ["group", *packs.ENTRY, "content", "doc_", "start", "size", "grams"]
+    kinds = [pa.int64(), *[pa.binary()] * len(packs.ENTRY), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
 
     def rows(**columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
@@ -210,7 +210,7 @@ def colliding(docs: DataFrame, ranges: int) -> DataFrame:
             if lines:
                 content, owner, start, length = (list(x) for x in zip(*lines, strict=True))
                 yield rows(content=content, doc_=owner, start=start, size=length)
-                yield rows(content=list(contents), keys=[c[0] for c in contents.values()], grams=[c[1] for c in contents.values()])
+                yield rows(content=list(contents), grams=list(contents.values()))
             key.clear(), doc.clear(), at.clear(), lines.clear(), contents.clear()
 
         for batch in batches:
@@ -225,12 +225,11 @@ def colliding(docs: DataFrame, ranges: int) -> DataFrame:
                 if len(p.lines):
                     g = grams(p.h, SHINGLE)
                     for (a, b), own in zip(p.lines, p.bands, strict=True):
-                        own = own[np.isin(own, wanted)]
-                        if len(own):
-                            line = np.unique(g[a : b - SHINGLE + 1]).view(np.int64)
-                            content = int(np.bitwise_xor.reduce(line * np.int64(len(line) | 1)) ^ line[len(line) // 2])
+                        if np.isin(own, wanted).any():
+                            line = np.unique(g[a : b - SHINGLE + 1])
+                            content = name_of(line)
                             lines.append((content, number, a, b - a))
-                            contents[content] = (own.view(np.int64), line)
+                            contents[content] = line.view(np.int64)
                 size += len(p.h)
                 if size >= FLUSH:
                     yield from flush()
@@ -262,13 +261,10 @@ def equal_passages(found: DataFrame, ranges: int) -> DataFrame:
 def similar_lines(found: DataFrame, tables: Tables) -> DataFrame:
     """doc, source, start, end of lines that are similar to a line of another document with other content."""
     lines = found.where("start is not null").select("content", F.col("doc_").alias("doc"), "start", "size")
-    contents = found.where("grams is not null").groupBy("content").agg(F.first("keys").alias("keys"), F.first("grams").alias("grams"))
+    contents = found.where("grams is not null").groupBy(F.col("content").alias("_id")).agg(F.first("grams").alias("grams"))
     contents = tables.write(contents, "lines")
-    n = F.size("grams").cast("long")
-    rows = contents.select(F.explode("keys").alias("h"), F.col("content").alias("node"), n.alias("n"), F.lit(0).cast("long").alias("pos")).distinct()
-    rows = tables.write(rows, "bands")
-    labels = connected(rows, contents.select(F.col("content").alias("node"), n.alias("n"), F.col("grams").alias("shared")))
-    tables.drop(rows, contents)
+    _, labels = link_sets(contents, sets_of_lists, "lines")
+    tables.drop(contents)
     lines = lines.join(labels.select(F.col("id").alias("content"), "comp"), "content")
     sources = lines.groupBy("comp").agg(F.min("doc").alias("source"))
     return lines.join(sources, "comp").where("doc <> source").select("doc", "source", "start", (F.col("start") + F.col("size")).alias("end"))
@@ -304,14 +300,24 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return passages.join(names.select(F.col("_doc").alias("source"), F.col("_id").alias("_source")), "source").select("_id", F.col("_source").alias("source"), "start", "end")
 
 
+def joined(spans: DataFrame) -> DataFrame:
+    """_id, start, end: a document's spans, joined where they overlap or touch, whatever their sources."""
+    own = Window.partitionBy("_id").orderBy("start", "end")
+    before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    rows = spans.select("_id", "start", "end").withColumn("_new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
+    rows = rows.withColumn("_span", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return rows.groupBy("_id", "_span").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_span")
+
+
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document with a repeated passage, sources included: the id, `cluster_id` (the smallest id of the
-    component), and `removals`, an array of struct<start, end> of the word ranges that repeat another document's."""
+    component), and `removals`, an array of struct<start, end> of the word ranges that repeat another document's, in order
+    and apart from each other."""
     found = repeats(docs, id_col, text_col)
     links = found.select(F.col("_id").alias("a"), F.col("source").alias("b"))
     labels = components(links)
     own = found.select("_id").union(found.select("source")).distinct()
-    spans = found.groupBy("_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removals"))
+    spans = joined(found).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removals"))
     rows = own.join(spans, "_id", "left").join(labels.select(F.col("id").alias("_id"), "comp"), "_id", "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     return rows.select(F.col("_id").alias(id_col), F.coalesce("comp", "_id").alias("cluster_id"), F.coalesce("removals", none).alias("removals"))

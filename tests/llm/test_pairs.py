@@ -203,3 +203,51 @@ def test_classes_without_ids(documents):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (None, None), (8, "other words")]
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.classes(documents(rows)).collect()), key=str)
     assert got == sorted([(None, 2, 7), (None, 2, 7), (7, 2, 7), (None, 0, None), (8, 1, 8)], key=str)
+
+
+def test_similar_paragraphs(documents, rng):
+    """Lines of 60 to 120 words with insertions, deletions and substitutions: those of a similarity of 0.75 or more with
+    another are found, and no others. Every such pair collides with a probability of 0.98 at least."""
+    rows, lines = [], {}
+    for k in range(40):
+        base = prose(rng, rng.randrange(60, 120)).split()
+        for c in range(4):
+            words = list(base)
+            for _ in range(c * rng.randrange(1, 4)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(2)] = rng.choice(([], [f"new{rng.randrange(10**6)}"], [words[at], f"more{rng.randrange(10**6)}"]))
+            i = 10 * k + c
+            lines[i] = " ".join(words)
+            rows.append((i, f"{prose(rng, 30)}\n{lines[i]}\n{prose(rng, 30)}"))
+    sets = {i: sets_of(t) for i, t in lines.items()}
+    linked = {i for i, s in sets.items() if any(j != i and j // 10 == i // 10 and len(s & o) >= 0.75 * len(s | o) for j, o in sets.items())}
+    found = {r["doc_id"]: r for r in P.clusters(documents(rows)).collect()}
+    near = {i for i in found if i in linked}
+    equal = {i for i, t in lines.items() if any(i != j and shares(t, o) for j, o in lines.items() if j // 10 == i // 10)}
+    assert set(found) <= linked | equal and equal <= set(found)
+    assert len(near) >= 0.95 * len(linked) and len(linked - equal) > 5
+
+
+def shares(a, b):
+    """Whether two texts have 50 words in a row in common."""
+    x, y = a.split(), b.split()
+    own = {tuple(x[i : i + 50]) for i in range(len(x) - 49)}
+    return any(tuple(y[i : i + 50]) in own for i in range(len(y) - 49))
+
+
+def test_paragraphs_around_a_common_passage(documents, rng):
+    """A passage in the middle of a line of every document: the passage repeats, the lines around it aren't alike."""
+    passage = prose(rng, 70)
+    rows = [(i, f"{prose(rng, rng.randrange(30, 50))} {passage} {prose(rng, rng.randrange(30, 50))}") for i in range(300)]
+    found = {r["doc_id"]: r for r in P.clusters(documents(rows).repartition(20)).collect()}
+    assert set(found) == set(range(300)) and {r["cluster_id"] for r in found.values()} == {0}
+    for i, t in rows:
+        at = len(t.split(passage)[0].split())
+        # A word or two beside the passage may be another document's too.
+        assert len(found[i]["removals"]) == bool(i)
+        assert all(at - 3 <= s["start"] <= at and at + 70 <= s["end"] <= at + 73 for s in found[i]["removals"])
+
+
+def test_removal_keeps_other_white_space():
+    assert P.without("one  two   three four", [{"start": 3, "end": 4}]) == "one  two   three "
+    assert P.without("a\tb \n c  d", [{"start": 1, "end": 2}]) == "a\t\nc  d" and P.without(None, None) is None and P.without("x", []) == "x"
