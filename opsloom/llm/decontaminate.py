@@ -4,15 +4,19 @@ Benchmark items fall into classes by length; the windows of a class have the cla
 word of every text is a candidate if enough pairs of its neighbouring words occur in items of its class: an edit leaves at
 most two pairs of a window unexplained, so this count loses nothing that is within the edit limit. Each candidate is embedded by
 CGK random walks: at step t the walk emits the word under its pointer and moves on if a random bit of (t, word) says so.
-Words in edit distance d become strings whose Hamming distance is small with good probability. `REPETITIONS` walks with
-`BITS` sampled positions each are hashed; a window and an item that agree on all sampled positions of a walk are a pair.
+Words in edit distance d become strings whose Hamming distance is small with good probability. Walks with `BITS` sampled
+positions each are hashed; a window and an item that agree on all sampled positions of a walk are a pair. A class has as many
+walks as reach `TARGET` recall, up to MOST_WALKS, for a window with as many edits as the limit allows: the chance that one walk
+agrees is measured on edited copies of the class's own items when the tables are built.
 The walks' recall falls as edits grow with the item, so from `EXACT` words on they aren't used: there every window that passes
 the count for an item's own word pairs is verified against that item, which loses nothing within the limit.
 Pairs are verified by the exact semi-global edit distance over words, by a bit-parallel automaton.
 
 Texts are lower-cased, words lose punctuation at their ends. A text within edit distance `LIMIT` times an item's words
 of that item is contaminated by it. Null or empty texts and items match nothing; items that repeat each count; a text
-that holds an item more than once reports its best place. Columns other than id and text are ignored.
+that holds an item more than once reports its best place, of equals the first. Texts of any length are searched whole, in
+pieces of PIECE words that overlap by more than the longest place. Rows that repeat an id are one document, which holds
+what any of them holds. Empty tables give no rows. Columns other than id and text are ignored, whatever their names.
 
 The benchmark is a stated query set: it is taken in blocks of at most `BLOCK_CHARS` characters, each of which is
 broadcast, so the broadcast has a bound whatever the benchmark's size.
@@ -27,17 +31,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from opsloom.llm.common import values
 
 LIMIT = 0.25
-REPETITIONS, BITS = 10, 2
+BITS = 2
+#: The recall that the walks of a class reach at the limit, the copies by which their chance is measured, and bounds.
+TARGET, COPIES = 0.95, 300
+LEAST_WALKS, MOST_WALKS = 10, 60
 #: Windows of this length or more are verified without walks: the recall is 1.
 EXACT = 32
 GROWTH = 1.25
 BLOCK_CHARS = 4_000_000
 CACHE = 1 << 17
 EDGES = "\"'`.,;:!?()[]{}<>#*$%&|-_/\\…“”‘’«»"
-#: Texts that are searched together.
-SLICE = 1024
+#: Words of texts that are searched together, and of a piece of a longer text.
+SLICE, PIECE = 300_000, 200_000
 
 
 def bare_words(text: str) -> list[str]:
@@ -122,8 +132,10 @@ def build(items: list[tuple], seed: int = 1) -> Index:
         rng = np.random.default_rng(seed + g.length)
         flat = np.concatenate([ids[: g.length] for _, ids in g.items])
         starts = np.arange(len(g.items)) * g.length
-        for r in range(REPETITIONS):
-            sampled = np.sort(rng.choice(3 * g.length, size=min(BITS, 3 * g.length), replace=False) * 2 // 3)
+        if g.length >= EXACT:
+            continue
+        walks = [np.sort(rng.choice(3 * g.length, size=min(BITS, 3 * g.length), replace=False) * 2 // 3) for _ in range(MOST_WALKS)]
+        for r, sampled in enumerate(walks[: walks_wanted(g, walks, seed, rng)]):
             keys = walk_keys(flat, starts, g.length, seed + r, sampled)
             order = np.argsort(keys, kind="stable")
             g.samples.append(sampled)
@@ -133,6 +145,33 @@ def build(items: list[tuple], seed: int = 1) -> Index:
     return Index(vocabulary, member, pairs, ordered, seed)
 
 
+def edited(ids: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """A copy with so many insertions, deletions and substitutions at random places; new words are of no item."""
+    words = ids.tolist()
+    for _ in range(edits):
+        at = int(rng.integers(len(words))) if words else 0
+        words[at : at + int(rng.integers(2))] = [0] * int(rng.integers(2))
+    return np.array(words, dtype=np.int64)
+
+
+def walks_wanted(g: Group, walks: list, seed: int, rng: np.random.Generator) -> int:
+    """How many walks reach TARGET for windows of edited copies of the class's items, if each agrees independently with the
+    chance that is measured here."""
+    whole, copies = [], []
+    for k in range(COPIES):
+        ids = g.items[k % len(g.items)][1]
+        copy = edited(ids, int(LIMIT * len(ids)), rng)
+        copies.append(np.concatenate([copy, np.zeros(max(0, g.length - len(copy)), dtype=np.int64)])[: g.length])
+        whole.append(ids[: g.length])
+    starts = np.arange(COPIES) * g.length
+    whole, copies = np.concatenate(whole), np.concatenate(copies)
+    agreed = [walk_keys(whole, starts, g.length, seed + r, s) == walk_keys(copies, starts, g.length, seed + r, s) for r, s in enumerate(walks)]
+    for n in range(LEAST_WALKS, MOST_WALKS):
+        if np.logical_or.reduce(agreed[:n]).mean() >= TARGET:
+            return n
+    return MOST_WALKS
+
+
 class Masks(dict):
     """Word id of an item -> bit mask of its places, for the bit-parallel edit distance."""
 
@@ -188,8 +227,8 @@ def search(index: Index, texts: list[list[int]], masks: dict) -> Iterator[tuple[
         if not len(starts):
             continue
         pairs = set()
-        for r in range(REPETITIONS if g.length < EXACT else 0):
-            keys = walk_keys(flat, starts, g.length, index.seed + r, g.samples[r])
+        for r, sampled in enumerate(g.samples):
+            keys = walk_keys(flat, starts, g.length, index.seed + r, sampled)
             lo, hi = np.searchsorted(g.keys[r], keys, "left"), np.searchsorted(g.keys[r], keys, "right")
             for k in np.nonzero(hi > lo)[0].tolist():
                 pairs.update((int(i), int(starts[k])) for i in g.owners[r][lo[k] : hi[k]])
@@ -225,6 +264,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
     items = items.select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("_text")).where(F.length("_text") > 0)
     schema = f"_id {docs.schema['_id'].dataType.simpleString()}, _item {items.schema['_item'].dataType.simpleString()}, distance int, end_word int, item_words int"
+    item_type = to_arrow_type(items.schema["_item"].dataType)
     blocks = max(1, math.ceil((items.agg(F.sum(F.length("_text"))).first()[0] or 0) / BLOCK_CHARS))
     found = None
     for b in range(blocks):
@@ -232,18 +272,17 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         index = build(sorted(((r["_item"], r["_text"]) for r in block.collect()), key=lambda x: (str(x[0]), x[1])))
         shared = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, schema=None) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, masks = shared.value, {}
             number = WordIds(index.words)
+            longest = max((int(len(ids) * (1 + 2 * LIMIT)) + 2 for g in index.groups for _, ids in g.items), default=0)
             for batch in batches:
-                for a in range(0, batch.num_rows, SLICE):
-                    part = batch.slice(a, SLICE)
-                    ids = part.column(0)
-                    texts = [[i for i in map(number.__getitem__, t.lower().split()) if i >= 0] for t in part.column(1).to_pylist()]
-                    rows = list(search(index, texts, masks)) if index.groups else []
-                    items_ = pa.array([r[1] for r in rows], number.item_type(index))
+                for pieces in slices_of(batch.column(1), number, longest):
+                    rows = list(search(index, [p[2] for p in pieces], masks)) if index.groups else []
+                    owners = pa.array([pieces[r[0]][0] for r in rows], pa.int64())
+                    ends = pa.array([pieces[r[0]][1] + r[3] for r in rows], pa.int32())
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array([r[0] for r in rows], pa.int64())), items_, *[pa.array([r[k] for r in rows], pa.int32()) for k in (2, 3, 4)]],
+                        [batch.column(0).take(owners), pa.array([r[1] for r in rows], item_type), pa.array([r[2] for r in rows], pa.int32()), ends, pa.array([r[4] for r in rows], pa.int32())],
                         names=["_id", "_item", "distance", "end_word", "item_words"],
                     )
 
@@ -269,9 +308,20 @@ class WordIds(dict):
         self[word] = value
         return value
 
-    @staticmethod
-    def item_type(index: Index):
-        return pa.array([g.items[0][0] for g in index.groups[:1]]).type if index.groups else pa.null()
+
+def slices_of(texts: pa.Array, number: WordIds, overlap: int) -> Iterator[list[tuple[int, int, list[int]]]]:
+    """The texts' words in pieces (row, first word, word ids), SLICE words of them at a time."""
+    held, size = [], 0
+    for row, text in enumerate(values(texts, 64)):
+        ids = [i for i in map(number.__getitem__, text.lower().split()) if i >= 0]
+        for at in range(0, max(1, len(ids)), PIECE):
+            held.append((row, at, ids[at : at + PIECE + overlap]))
+            size += len(held[-1][2])
+            if size >= SLICE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **columns) -> DataFrame:

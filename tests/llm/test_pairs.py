@@ -251,3 +251,28 @@ def test_paragraphs_around_a_common_passage(documents, rng):
 def test_removal_keeps_other_white_space():
     assert P.without("one  two   three four", [{"start": 3, "end": 4}]) == "one  two   three "
     assert P.without("a\tb \n c  d", [{"start": 1, "end": 2}]) == "a\t\nc  d" and P.without(None, None) is None and P.without("x", []) == "x"
+
+
+def test_decontaminate_short_items_at_the_limit(spark, documents, rng):
+    """Items of 8 to 31 words with as many edits as the limit allows: nearly all are found."""
+    items = [(i, prose(rng, 8 + i)) for i in range(24)]
+    rows, want = [], set()
+    for k in range(240):
+        words = items[k % 24][1].split()
+        for at in rng.sample(range(len(words)), len(words) // 4):
+            words[at] = (f"new{at}", f"{words[at]} more{at}", "")[rng.randrange(3)]
+        rows.append((k, f"{prose(rng, 30)} {' '.join(words)} {prose(rng, 30)}"))
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.matches(documents(rows), bench).collect()}
+    assert sum((k, k % 24) in got for k in range(240)) >= 0.95 * 240
+
+
+def test_decontaminate_long_texts_in_pieces(documents, spark, rng, monkeypatch):
+    """An item that lies across the cut of two pieces is found, at its place in the whole text."""
+    item = prose(rng, 40)
+    pieces = list(D.slices_of(__import__("pyarrow").array(["a b c " * 100_000]), D.WordIds({"a": 1, "b": 2, "c": 3}), 50))
+    assert [p[1] for held in pieces for p in held] == [0, 200_000] and len(pieces[0][0][2]) == 200_050
+    before = prose(rng, D.PIECE - 20)
+    rows = [(1, f"{before} {item} {prose(rng, 50)}")]
+    got = D.matches(documents(rows), spark.createDataFrame([("x", item)], "item_id string, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["distance"], r["end_word"]) for r in got] == [(1, "x", 0, len(D.bare_words(rows[0][1].split(item)[0])) + 40)]
