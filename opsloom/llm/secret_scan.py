@@ -13,7 +13,9 @@ The p-values against structure of all runs of the corpus go through the Benjamin
 `FALSE_RATE`, on a histogram of their logarithms, whose size is fixed. Runs that pass both become spans of kind `random`.
 
 Everything is DataFrame expressions. Positions are code points, the end exclusive. A null text is scanned as the empty
-text and has no spans. Rows are scanned one by one: ties and repeated rows all count as tests, extra columns are kept.
+text and has no spans. A text of any length is scanned whole, in one task; the time grows with the product of its base spans
+and candidates. Rows are scanned one by one: ties and repeated rows all count as tests, extra columns are kept whatever their
+names, but for one named as the result, which is replaced. An empty table gives an empty table.
 """
 
 import math
