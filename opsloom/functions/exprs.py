@@ -240,14 +240,28 @@ def sojourn(now, scheduled="scheduled_at") -> Column:
     return F.greatest((F.lit(now) if isinstance(now, int) else now) - col(scheduled), F.lit(0).cast("long"))
 
 
-def index_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+#: Values by which a key's distinct values are cut into ranges for exact ranks.
+SPLITS = 64
+
+
+def index_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], splits: int = SPLITS) -> DataFrame:
     """For each key the values at index min(floor(n * q), n - 1) of its sorted values.
 
-    Equal values are counted before anything is ordered, so a group's window holds a row for each distinct value and no
-    group is collected into one."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    own = Window.partitionBy(*keys)
-    upto = F.sum("_c").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counts.withColumn("_cum", upto).withColumn("_n", F.sum("_c").over(own))
-    picks = [F.min(F.when(F.col("_cum") > F.least(F.floor(F.col("_n") * F.lit(q)), F.col("_n") - 1), F.col(value))).alias(name) for name, q in quantiles.items()]
-    return ranked.groupBy(*keys).agg(*picks)
+    Equal values are counted before anything is ordered. A key's distinct values are cut into ranges at approximate
+    quantiles; exact counts of the ranges tell which one holds a rank, and only that range is ordered. So a task orders about
+    one in `splits` of the hottest key's distinct values, and no group is collected into one row."""
+    key = F.struct(*keys).alias("_k")
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    cuts = counts.groupBy("_k").agg(F.percentile_approx("_v", [i / splits for i in range(1, splits)], 1000).alias("_cuts"), F.sum("_c").alias("_n"))
+    placed = counts.join(cuts, "_k").withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))))
+    own = Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("_k", "_range", "_n").agg(F.sum("_c").alias("_in")).withColumn("_before", F.coalesce(F.sum("_in").over(own), F.lit(0)))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("q"), F.least(F.floor(F.col("_n") * F.lit(q)), F.col("_n") - 1).alias("rank")) for name, q in quantiles.items()]))
+    hits = ranges.withColumn("_w", wanted).where((F.col("_w.rank") >= F.col("_before")) & (F.col("_w.rank") < F.col("_before") + F.col("_in")))
+    rows = placed.select("_k", "_range", "_v", "_c").join(hits.select("_k", "_range", "_before", "_w"), ["_k", "_range"])
+    upto = F.sum("_c").over(Window.partitionBy("_k", "_w").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_cum", F.col("_before") + upto).where(F.col("_cum") > F.col("_w.rank"))
+    picks = [F.min(F.when(F.col("_w.q") == name, F.col("_v"))).alias(name) for name in quantiles]
+    return rows.groupBy("_k").agg(*picks).select("_k.*", *quantiles)
+
+

@@ -2,7 +2,6 @@
 
 import gzip
 import hashlib
-import hmac
 import json
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
@@ -137,7 +136,10 @@ def gunzip_bytes(c: Column, most: int = 64 << 20) -> Column:
 
 
 def hmac_hex(c: Column, secret: bytes) -> Column:
-    return mapped(lambda b: hmac.new(secret, bytes(b), hashlib.sha256).hexdigest(), "string", c)
+    """HMAC-SHA256 in hex digits: two rounds of SHA-256 with the padded key before them."""
+    key = (secret if len(secret) <= 64 else hashlib.sha256(secret).digest()).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, c.cast("binary")), 256))), 256)
 
 
 class Registry:

@@ -52,7 +52,8 @@ def within_cap(jobs: DataFrame, running: DataFrame, by: str, cap: int) -> DataFr
     """The first jobs of each task or queue that its cap admits beside those that are running."""
     busy = running.where("status = 1").groupBy(by).agg(F.count(F.lit(1)).alias("_running"))
     place = F.row_number().over(Window.partitionBy(by).orderBy(*order_of("fifo")))
-    rows = jobs.withColumn("_place", place).join(F.broadcast(busy), by, "left")
+    # No key gets more than its cap, so the ranking keeps no more of a key's rows than that.
+    rows = jobs.withColumn("_place", place).where(F.col("_place") <= cap).join(busy, by, "left")
     return rows.where(F.coalesce("_running", F.lit(0)) + F.col("_place") <= cap).drop("_place", "_running")
 
 

@@ -136,7 +136,7 @@ def steal_target(workers: DataFrame, own: str, least_surplus: int, alive: Column
 def purgeable_messages(messages: DataFrame, floors: DataFrame, acked: DataFrame, now: int) -> DataFrame:
     """Messages that are past their time, behind every cursor, or acknowledged by all; each once."""
     expired = messages.where(F.col("expires_at") <= now).select("topic", "id")
-    behind = messages.join(F.broadcast(floors.where("floor is not null")), "topic").where("id <= floor").select("topic", "id")
+    behind = messages.join(floors.where("floor is not null"), "topic").where("id <= floor").select("topic", "id")
     return expired.union(behind).union(acked.select("topic", "id")).distinct()
 
 

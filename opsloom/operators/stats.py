@@ -161,9 +161,9 @@ def executor_utilization(df: DataFrame, slots: str = "slots", free: str = "free"
 def divergent_fingerprints(workers: DataFrame) -> DataFrame:
     """Fingerprints other than the most common one; all of them on a tie, none with fewer than two distinct."""
     counts = workers.where("registry_fingerprint is not null").groupBy("registry_fingerprint").agg(F.count(F.lit(1)).alias("n"))
-    everything = Window.partitionBy(F.lit(1))
-    top = counts.withColumn("_top", F.max("n").over(everything)).withColumn("_kinds", F.count(F.lit(1)).over(everything))
-    top = top.withColumn("_at_top", F.count_if(F.col("n") == F.col("_top")).over(everything))
+    top = counts.agg(F.max("n").alias("_top"), F.count(F.lit(1)).alias("_kinds"))  # one row
+    ties = counts.join(F.broadcast(top), F.col("n") == F.col("_top"), "left_semi").agg(F.count(F.lit(1)).alias("_at_top"))  # one row
+    top = counts.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(ties))
     return top.where((F.col("_kinds") > 1) & ((F.col("n") < F.col("_top")) | (F.col("_at_top") > 1))).select("registry_fingerprint", "n")
 
 

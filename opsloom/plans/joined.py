@@ -152,11 +152,11 @@ def webhook_filter(c):
     # The hooks are the stated side: each event meets those of its type, or those that take every type.
     typed = hooks.where("enabled").select("hook", "tasks", F.explode(F.coalesce("events", F.array(F.lit("*")))).alias("_type"))
     keyed = rows.select("event_id", "task", F.explode(F.array("event_type", F.lit("*"))).alias("_type"))
-    met = keyed.join(F.broadcast(typed), "_type").where(F.col("tasks").isNull() | F.array_contains("tasks", F.col("task")))
+    met = keyed.join(typed, "_type").where(F.col("tasks").isNull() | F.array_contains("tasks", F.col("task")))
     return met.select("event_id", "hook").distinct()
 
 
 @query("f40_queue_paused", "select id, queue in ('q1','q3') as paused from jobs")
 def queue_paused(c):
     state = c.jobs.select("queue", F.col("queue").isin("q1", "q3").alias("paused")).distinct()
-    return c.jobs.join(F.broadcast(state), "queue").select("id", "paused")
+    return c.jobs.join(state, "queue").select("id", "paused")

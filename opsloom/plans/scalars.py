@@ -171,7 +171,11 @@ def hash64(c):
     return c.jobs.select("id", F.xxhash64("id").alias("h"))
 
 
-@query("c1_next_cron")
+@query(
+    "c1_next_cron",
+    """select id, epoch_ms(d + to_days(case isodow(d) when 6 then 2 when 7 then 1 else 0 end)) as next_run from (
+         select id, case when t < o then o else o + interval 1 day end as d from (select id, make_timestamp(created_at*1000) as t, date_trunc('day', make_timestamp(created_at*1000)) + interval 570 minute as o from workflow_runs))""",
+)
 def next_cron(c):
     return c.workflow_runs.select("id", U.next_cron_col(F.lit("0 30 9 * * MON-FRI"), F.col("created_at")).alias("next_run"))
 
@@ -181,7 +185,7 @@ def next_cron_tz(c):
     return c.workflow_runs.select("id", U.next_cron_col(F.lit("0 30 2 * * *"), F.col("created_at"), "Europe/Berlin").alias("next_run"))
 
 
-@query("r31_periodic_enqueue")
+@query("r31_periodic_enqueue", "select concat('p', id) as id, cast(0 as int) as status, cast((903000000000//3600000+1)*3600000 as bigint) as next_run from workflow_runs where created_at <= 903000000000")
 def periodic_enqueue(c):
     due = c.workflow_runs.where("created_at <= 903000000000")
     return due.select(F.concat(F.lit("p"), "id").alias("id"), F.lit(0).alias("status"), U.next_cron_col(F.lit("0 0 * * * *"), F.lit(903000000000)).alias("next_run"))
@@ -213,7 +217,10 @@ def codecs(c):
     return sealed.select("id", F.decode(U.gunzip_bytes(F.aes_decrypt("s", F.lit(b"0123456789abcdef"), F.lit("GCM"))), "UTF-8").alias("back"))
 
 
-@query("c17_hmac")
+PADS = ["".join(f"\\x{b ^ pad:02X}" for b in b"key".ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query("c17_hmac", f"select id, sha256('{PADS[1]}'::blob || unhex(sha256('{PADS[0]}'::blob || encode(metadata)))) as mac from topic_messages")
 def hmac(c):
     return c.topic_messages.select("id", U.hmac_hex(F.encode("metadata", "UTF-8"), b"key").alias("mac"))
 
@@ -230,10 +237,18 @@ def task_function(c):
     return c.events.select("event_id", tasks.apply("shout", F.col("event_type")).alias("out"))
 
 
-@query("d5_batched_items")
+@query(
+    "d5_batched_items",
+    "select event_id, case when value=6.55::double then 'error' else 'ok' end as status, case when value<>6.55::double then 1/(value-6.55::double) end as result, case when value=6.55::double then 'ValueError: nothing to divide by' end as error from events",
+)
 def batched_items(c):
+    def invert(v):
+        if v == 6.55:
+            raise ValueError("nothing to divide by")
+        return 1.0 / (v - 6.55)
+
     tasks = U.Registry()
-    tasks.task("invert", "double")(lambda v: 1.0 / (v - 6.55))
+    tasks.task("invert", "double")(invert)
     return tasks.apply_items(c.events, "invert", "event_id", "value")
 
 
@@ -330,7 +345,7 @@ def predicate_not(c):
     return outcome(c, P.parse("!weekend()"))
 
 
-@query("f31_callable")
+@query("f31_callable", f"select id, case when at_ms%2=1 then 'run' else 'skip' end as action, {NONE} from ({AT})")
 def predicate_callable(c):
     @F.pandas_udf("boolean")
     def odd(at):
