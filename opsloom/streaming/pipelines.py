@@ -1,13 +1,15 @@
 """Structured Streaming forms of the operators: windows with watermarks, deduplication, and the ordered state machines."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.types import StructType
 
-from opsloom.operators.stateful import Step
+from opsloom.operators.stateful import Accumulator, Debounce, Step
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -56,6 +58,69 @@ def stateful(df: DataFrame, key: str, order: list[str], step: Step, fields: list
     return df.groupBy(key).applyInPandasWithState(run, out_schema, state_schema, "append", "NoTimeout")
 
 
+class Timed(StatefulProcessor):
+    """A step function whose state ends at a deadline: rows go through it in order, and a timer at the deadline makes its last
+    outputs, so that a burst ends when the watermark passes its time, whether or not its key has another row."""
+
+    def __init__(self, step, fields: list[str], state_schema: str, deadline: Callable[[dict], int], columns: list[str], order: list[str]):
+        self.step, self.fields, self.state_schema, self.deadline, self.columns, self.order = step, fields, state_schema, deadline, columns, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("held", self.state_schema)
+
+    def keep(self, state: dict | None) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if state is None:
+            self.held.clear()
+        else:
+            self.held.update(tuple(state[f] for f in self.fields))
+            self.handle.registerTimer(self.deadline(state))
+
+    def state(self) -> dict | None:
+        return dict(zip(self.fields, self.held.get(), strict=True)) if self.held.exists() else None
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state, out = self.state(), []
+        for row in pd.concat(list(rows)).sort_values(self.order).to_dict("records"):
+            state, found = self.step(state, row)
+            out += found
+        self.keep(state)
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.state()
+        out = self.step.finish(state) if state else []
+        self.keep(None)
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+#: State with timers is kept in this store.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def timed(df: DataFrame, step, fields: list[str], state_schema: str, deadline: Callable[[dict], int], out_schema: str, late: str) -> DataFrame:
+    """A step function with a deadline over a stream of key, seq and at_ms. Rows later than the watermark are dropped."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    columns = [part.split()[0] for part in out_schema.split(",")]
+    processor = Timed(step, fields, state_schema, deadline, columns, ["at_ms", "seq"])
+    rows = df.withColumn("_at", F.timestamp_millis("at_ms")).withWatermark("_at", late)
+    return rows.groupBy("key").transformWithStateInPandas(processor, StructType.fromDDL(out_schema), "append", "EventTime")
+
+
+def debounce_stream(df: DataFrame, step: Debounce, late: str) -> DataFrame:
+    state = "key string, first bigint, deadline bigint, n bigint, last_seq bigint"
+    return timed(df, step, ["key", "first", "deadline", "n", "last_seq"], state, lambda s: s["deadline"], "key string, first_seen bigint, fires_at bigint, n bigint, last_seq bigint", late)
+
+
+def accumulate_stream(df: DataFrame, step: Accumulator, late: str) -> DataFrame:
+    wait = step.max_wait_ms
+    return timed(df, step, ["key", "first", "n", "first_seq"], "key string, first bigint, n bigint, first_seq bigint", lambda s: s["first"] + wait, "key string, first_seq bigint, n bigint, flushed_at bigint", late)
+
+
 def token_bucket_stream(df: DataFrame, step: Step) -> DataFrame:
     return stateful(df, "key", ["at_ms", "seq"], step, ["tokens", "at"], "seq bigint, key string, allowed boolean", "tokens double, at bigint")
 

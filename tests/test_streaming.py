@@ -1,8 +1,9 @@
 """The streaming forms give what the batch forms give."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from opsloom.operators.stateful import TokenBucket, token_bucket
+from opsloom.operators.stateful import Accumulator, Debounce, TokenBucket, accumulate, debounce, token_bucket
 from opsloom.sources.catalog import Catalog
 from opsloom.streaming import pipelines as S
 
@@ -37,3 +38,19 @@ def test_unique_within(spark, tmp_path):
     stream = S.file_stream(spark, written(spark, tmp_path, rows), rows.schema)
     S.run_available(S.unique_within(stream, "k", "ts", "1 hour"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(7))
+
+
+@pytest.mark.parametrize("kind", ["debounce", "accumulate"])
+def test_bursts_end_by_timers(spark, tmp_path, kind):
+    """What the watermark has passed is what the batch form gives; the rest is still open."""
+    rows = Catalog(spark, SF).submissions.where("seq < 400").select("seq", "key", "at_ms")
+    stream = S.file_stream(spark, written(spark, tmp_path, rows), rows.schema)
+    if kind == "debounce":
+        out, want, ends = S.debounce_stream(stream, Debounce(600_000, 1_800_000), "1 hour"), debounce(rows, 600_000, 1_800_000), "fires_at"
+    else:
+        out, want, ends = S.accumulate_stream(stream, Accumulator(4, 7_200_000), "1 hour"), accumulate(rows, 4, 7_200_000), "flushed_at"
+    S.run_available(out, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    passed = rows.agg(F.max("at_ms")).first()[0] - 3_600_000
+    closed = sorted(tuple(r) for r in want.where(F.col(ends) <= passed).collect())
+    assert closed and set(closed) <= set(got) <= {tuple(r) for r in want.collect()}
