@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions.exprs import in_namespace_dispatch, whole
 from opsloom.operators.joins import dispatchable
+from opsloom.sources.shared import cut
 
 
 def order_of(kind: str) -> list:
@@ -18,6 +19,17 @@ def dispatch_rank(jobs: DataFrame, kind: str = "fifo") -> DataFrame:
     return jobs.withColumn("rank", F.row_number().over(Window.partitionBy("queue").orderBy(*order_of(kind))).cast("long"))
 
 
+def full_rank(jobs: DataFrame, kind: str = "fifo") -> DataFrame:
+    """dispatch_rank of all jobs, where a few queues hold them all: rows are dealt to ranges of queue and order, a task ranks
+    within its range, and the ranges before it say where a queue's range begins."""
+    order = order_of(kind)
+    dealt = cut(jobs.repartitionByRange("queue", *order).withColumn("_part", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.partitionBy("queue").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = dealt.groupBy("queue", "_part").agg(F.count(F.lit(1)).alias("_n")).select("queue", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("queue", "_part").orderBy(*order))
+    return dealt.withColumn("_place", place).join(sizes, ["queue", "_part"]).withColumn("rank", (F.col("_before") + F.col("_place")).cast("long")).drop("_before", "_place", "_part")
+
+
 def score_rank(jobs: DataFrame) -> DataFrame:
     """The rank as one number, as a sorted-set store keeps it; priorities are clamped to 0..999."""
     priority = F.least(F.greatest(F.col("priority"), F.lit(0)), F.lit(999))

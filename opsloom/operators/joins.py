@@ -113,7 +113,7 @@ def ring_owner(keys: DataFrame, points: DataFrame, key: str, worker: str = "work
 
     Points and keys are put in one order within ranges of the ring; each range also knows the first point after it, so
     that a key never has to meet all points."""
-    ranges = 256
+    ranges = min(1 << 16, max(256, keys.count() // 500_000))
     span = F.floor(F.col("at") / F.lit(float(2**64 / ranges))).cast("int")
     marks = points.select(F.col("point").alias("at"), F.col(worker).alias("owner"), F.lit(None).cast(keys.schema[key].dataType).alias(key), F.lit(0).alias("_kind"))
     wanted = keys.select(F.xxhash64(key).alias("at"), F.lit(None).cast("string").alias("owner"), F.col(key), F.lit(1).alias("_kind"))

@@ -19,12 +19,12 @@ def ready(c):
 
 @query("w1_fifo_rank", f"select id, queue, row_number() over (partition by queue order by {FIFO}) as rank from jobs where status=0")
 def fifo_rank(c):
-    return D.dispatch_rank(c.jobs.where("status = 0")).select("id", "queue", "rank")
+    return D.full_rank(c.jobs.where("status = 0")).select("id", "queue", "rank")
 
 
 @query("w2_lifo_rank", f"select id, queue, row_number() over (partition by queue order by {LIFO}) as rank from jobs where status=0")
 def lifo_rank(c):
-    return D.dispatch_rank(c.jobs.where("status = 0"), "lifo").select("id", "queue", "rank")
+    return D.full_rank(c.jobs.where("status = 0"), "lifo").select("id", "queue", "rank")
 
 
 @query("w3_score_rank", "select id, cast(1000-least(greatest(priority,0),999) as double)*10000000000000.0+cast(scheduled_at as double) as score from jobs where status=0")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from opsloom.functions import exprs as X
 from opsloom.functions import predicates as P
 from opsloom.functions import udfs as U
+from opsloom.operators import dispatch as D
 from opsloom.operators import graph as G
 from opsloom.operators import joins as J
 from opsloom.operators import lifecycle as K
@@ -139,6 +140,23 @@ def test_log_lag_at_the_edges(spark):
     assert got == {"none": (6, 100), "mid": (3, 97), "between": (3, 97), "last": (0, None), "early": (6, 100), "empty": (0, None)}
 
 
+def test_one_queue_holds_nine_in_ten(spark):
+    """Ranks, percentiles and levels of skewed keys equal the plain ones."""
+    from pyspark.sql import Window
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("q"), (F.col("id") % 7).cast("string"))).alias("queue"), F.col("id").cast("string").alias("id"), (F.col("id") * 7919 % 5).alias("priority"), (F.col("id") * 31 % 997).alias("scheduled_at"))
+    plain = rows.withColumn("rank", F.row_number().over(Window.partitionBy("queue").orderBy(*D.order_of("fifo"))).cast("long"))
+    assert sorted(map(tuple, D.full_rank(rows).collect())) == sorted(map(tuple, plain.collect()))
+    values = {}
+    for r in rows.collect():
+        values.setdefault(r["queue"], []).append(r["scheduled_at"])
+    got = X.index_percentiles(rows, ["queue"], "scheduled_at", {"a": 0.0, "b": 0.333, "c": 0.99, "d": 1.0}, splits=8).collect()
+    for r in got:
+        own = sorted(values[r["queue"]])
+        assert [r[c] for c in "abcd"] == [own[min(int(len(own) * q), len(own) - 1)] for q in (0.0, 0.333, 0.99, 1.0)]
+    assert len(got) == len(values)
+
+
 def test_levels_together_and_by_rounds(spark):
     import random
 
