@@ -14,6 +14,9 @@ its source. For lines that collide, the exact Jaccard similarity of their 5-gram
 alone: a line leaves whose 5-grams are too rarely shared for any link, and the rest are compared in groups until every pair
 is in one component or verified apart. The first document of a component of lines is their source.
 
+Filler isn't a passage: a word or a phrase said over and over is no sign of copying. PASSAGE words, or a line, count if at
+least half of their 5-grams differ.
+
 Documents and the sources of their passages form components; in each, the sources keep the passages and the others'
 stretches are removals. Edits within a stretch of PASSAGE words that doesn't fill a line hide it: it is neither equal nor a
 line.
@@ -187,6 +190,21 @@ def windows(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.nonzero(np.cumsum(edge)[:n] > 0)[0]
 
 
+def varied(g: np.ndarray) -> np.ndarray:
+    """For each word from which PASSAGE words begin whether at least half of their 5-grams differ. `g` has the 5-grams' hashes."""
+    span, n = PASSAGE - SHINGLE + 1, len(g)
+    order = np.argsort(g, kind="stable")
+    again = np.nonzero(g[order][1:] == g[order][:-1])[0]
+    here, before = order[again + 1], order[again]
+    near = here - before < span
+    here, before = here[near], before[near]
+    # A repeat counts in the windows that hold both places.
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, np.maximum(here - span + 1, 0), 1)
+    np.add.at(edge, before + 1, -1)
+    return 2 * np.cumsum(edge)[: n - span + 1] <= span
+
+
 COLLIDING = f"{packs.schema(packs.ENTRY)}, content long, doc_ long, start int, size int, grams array<long>"
 
 
@@ -217,16 +235,18 @@ def colliding(docs: DataFrame, ranges: int) -> DataFrame:
             for i, text in enumerate(values(batch.column(1), 256)):
                 number, wanted = batch.column(0)[i].as_py(), batch.column(2)[i].values.to_numpy().view(np.uint64)
                 p = Paragraphs(text)
-                starts = windows(p.h, p.starts[np.isin(p.keys, wanted)]) if len(p.keys) else np.zeros(0, dtype=np.int64)
+                hits = p.starts[np.isin(p.keys, wanted)]
+                g = grams(p.h, SHINGLE) if len(hits) or len(p.lines) else None
+                starts = windows(p.h, hits) if len(hits) else np.zeros(0, dtype=np.int64)
+                starts = starts[varied(g)[starts]] if len(starts) else starts
                 if len(starts):
                     key.append(stretches(p.h, PASSAGE)[starts])
                     at.append(starts)
                     doc.append(np.full(len(starts), number, dtype=np.int64))
-                if len(p.lines):
-                    g = grams(p.h, SHINGLE)
-                    for (a, b), own in zip(p.lines, p.bands, strict=True):
-                        if np.isin(own, wanted).any():
-                            line = np.unique(g[a : b - SHINGLE + 1])
+                for (a, b), own in zip(p.lines, p.bands, strict=True):
+                    if np.isin(own, wanted).any():
+                        line = np.unique(g[a : b - SHINGLE + 1])
+                        if 2 * len(line) >= b - a - SHINGLE + 1:
                             content = name_of(line)
                             lines.append((content, number, a, b - a))
                             contents[content] = line.view(np.int64)

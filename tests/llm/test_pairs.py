@@ -276,3 +276,20 @@ def test_decontaminate_long_texts_in_pieces(documents, spark, rng, monkeypatch):
     rows = [(1, f"{before} {item} {prose(rng, 50)}")]
     got = D.matches(documents(rows), spark.createDataFrame([("x", item)], "item_id string, text string")).collect()
     assert [(r["doc_id"], r["item_id"], r["distance"], r["end_word"]) for r in got] == [(1, "x", 0, len(D.bare_words(rows[0][1].split(item)[0])) + 40)]
+
+
+def test_filler_is_no_passage(documents, rng):
+    """Runs of one word and of a phrase that two documents share, beside a passage that they share."""
+    filler, phrase, passage = "ing " * 80, "one two three, " * 30, prose(rng, 60)
+    rows = [(i, f"{prose(rng, 40)} {filler} {phrase}\n{filler}\n{prose(rng, 40)}") for i in range(6)] + [(10 + i, f"{prose(rng, 30)} {filler}{passage} {prose(rng, 30)}") for i in range(2)]
+    found = {r["doc_id"]: [tuple(s) for s in r["removals"]] for r in P.clusters(documents(rows)).collect()}
+    assert set(found) == {10, 11} and found[10] == [] and found[11][0][0] <= 110 and found[11][0][1] >= 170
+
+
+def test_varied_windows(rng):
+    import numpy as np
+
+    words = [rng.randrange(1, 30 if k % 3 else 4) for k in range(400)] + [7] * 120 + list(range(100, 260))
+    g = W.grams(np.array(words, dtype=np.uint64), 5)
+    want = [2 * len(set(g[i : i + 46].tolist())) >= 46 for i in range(len(g) - 45)]
+    assert P.varied(g).tolist() == want and True in want and False in want
