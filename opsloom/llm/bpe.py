@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 from opsloom.llm.common import values
 
 SHORT = 64
-#: Words that a worker remembers, besides those of its present slice of texts.
-CACHE = 1 << 17
+#: Words in a generation of those that a worker remembers, besides those of its present slice of texts.
+CACHE = 3 << 15
 #: Characters of a slice of texts, and cells of a matrix of words.
 SLICE, CELLS = 1 << 19, 1 << 18
 NO_RANK = 1 << 60
+LATIN_END = "\u0250"
 #: White space other than spaces and line ends, a run of two, or one at the text's start or end.
 UNEVEN = regex.compile(r"[^\P{White_Space} \n]|[ \n][ \n]|^[ \n]|[ \n]\Z")
 # Fixed value: the pattern by which byte-level tokenizers of this family cut words.
@@ -161,21 +162,51 @@ def merge_long(parts: list[int], pairs: dict[int, int], merged: tuple[int, ...])
     return [p for p in parts if p >= 0]
 
 
+def cut_spaced(s: str) -> list[str] | None:
+    """What the pattern makes of a space and a plain stretch, Latin letters and perhaps one mark behind them."""
+    if s.isalpha():
+        return [" " + s] if s.isascii() or max(s) < LATIN_END else None
+    if s[-1:] in (".", ",") and s[:-1].isalpha() and (s.isascii() or max(s) < LATIN_END):
+        return [" " + s[:-1], s[-1]]
+    return None
+
+
+class Remembered(dict):
+    """Packed ids by word, in two generations: when the young one is full it becomes the old one, whose entries come back when
+    they are asked for again. So what is frequent stays, and no more than twice CACHE entries do."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+
+    def missing(self, wanted: set[str]) -> set[str]:
+        """What of `wanted` isn't known; what the old generation knows is young again."""
+        fresh = wanted - self.keys()
+        back = fresh & self.old.keys()
+        self.update((w, self.old[w]) for w in back)
+        return fresh - back
+
+
 class Encoder:
     """Encodes texts, a slice of them at a time: what words of a slice aren't remembered are merged together."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.merger = vocabulary, Merger(vocabulary)
         self.cut = regex.compile(WORDS).findall
-        self.words: dict[str, bytes] = {}  # a word -> its packed ids
-        self.spaced: dict[str, bytes] = {}  # a stretch without white space -> the packed ids of a space and it
+        self.words = Remembered()  # a word -> its packed ids
+        self.spaced = Remembered()  # a stretch without white space -> the packed ids of a space and it
         added = sorted(vocabulary.added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
 
     def learn(self, words: set[str]) -> None:
         """Remembers the ids of words. Words of similar length share a matrix; long ones are merged one by one."""
         classes: dict[int, list[str]] = {}
-        for w in words - self.words.keys():
+        for w in self.words.missing(words):
             classes.setdefault(max(8, 1 << (len(w.encode()) - 1).bit_length()), []).append(w)
         for size, found in classes.items():
             if size > SHORT:
@@ -190,15 +221,13 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Where single spaces and line ends are the only white space, the pattern cuts before each space and around each
         line end, so that the stretches between them are remembered as wholes. Other texts are cut by the pattern."""
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.spaced) > CACHE:
-            self.spaced.clear()
+        self.words.age()
+        self.spaced.age()
         lines = [None if not t or UNEVEN.search(t) or self.special(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
         cuts = [[] if own is not None else [p if i % 2 else self.cut(p) for i, p in enumerate(self.parts(t))] for t, own in zip(texts, lines, strict=True)]
         wanted = {w for own in cuts for p in own[::2] for w in p}
-        fresh = {s for own in lines if own for line in own for s in line[1:]} - self.spaced.keys()
-        fresh = {s: self.cut(" " + s) for s in fresh}
+        fresh = self.spaced.missing({s for own in lines if own for line in own for s in line[1:]})
+        fresh = {s: cut_spaced(s) or self.cut(" " + s) for s in fresh}
         heads = {s: self.cut(s) for s in {line[0] for own in lines if own for line in own}}
         self.learn(wanted.union(*fresh.values(), *heads.values(), "\n"))
         word, spaced = self.words.__getitem__, self.spaced

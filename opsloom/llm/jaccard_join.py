@@ -16,7 +16,8 @@ similarity of their sets reaches NUMERATOR / 100. Documents with equal sets are
    suffix filters is verified, once. This makes the components exact whatever the pivots were. Pairs within a component,
    and so within a group of copies, are never formed.
 
-The suffix filter bounds the common shingles of two nodes from above by their counts in `PARTS` ranges of hashes.
+The suffix filter bounds the Hamming distance of two nodes' shared shingles from below: a shingle flips one of 64 * `SIGNS`
+bits, and bits that differ between two nodes need as many shingles that differ. It is part of the join's condition.
 Verification intersects the shared shingles, which is exact: what isn't shared is in no intersection.
 
 Null or empty texts, and texts without words, have the empty set and link with nothing. A text of any length is read whole;
@@ -44,7 +45,7 @@ NUMERATOR = 75
 FLUSH = 1_000_000
 #: A shingle of so many nodes passes the ranges by; in larger corpora the number rises, as packs.HOT_LISTED says.
 HOT = packs.HOT
-PARTS = 256
+SIGNS = 8
 ROUNDS = 4
 PIVOTS = 3
 COMPARED = 2
@@ -187,8 +188,8 @@ def returned(sent_: DataFrame, hot: tuple[np.ndarray, np.ndarray], ranges: int)
 
 def described(counted: DataFrame, ranges: int) -> DataFrame:
     """The nodes that can link: node, n, their shared shingles rare first, how many of these lie in the prefix, and
-    their counts in PARTS ranges."""
-    kind = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shared", pa.list_(pa.int64())), ("prefix", pa.int64()), ("parts", pa.list_(pa.int16()))])
+    the bits that they flip."""
+    kind = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shared", pa.list_(pa.int64())), ("prefix", pa.int64()), ("signs", pa.list_(pa.int64()))])
 
     def run(group: int, table: pa.Table) -> pa.Table:
         h, node, n, c = packs.unpacked(table, **COUNTED)
@@ -200,13 +201,14 @@ def described(counted: DataFrame, ranges: int) -> DataFrame:
         able = 100 * sizes >= NUMERATOR * n
         h, node, n, sizes = h[np.repeat(able, sizes)], node[starts][able], n[able], sizes[able]
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        cell = np.repeat(np.arange(len(sizes)), sizes) * PARTS + (h >> np.uint64(56)).astype(np.int64)
-        parts = np.bincount(cell, minlength=len(sizes) * PARTS).clip(max=32767).astype(np.int16)
-        edges = np.arange(len(sizes) + 1, dtype=np.int32) * PARTS
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64))), pa.ListArray.from_arrays(pa.array(edges), pa.array(parts))
+        signs = np.zeros(len(sizes) * SIGNS, dtype=np.uint64)
+        word = np.repeat(np.arange(len(sizes)), sizes) * SIGNS + (h >> np.uint64(58)).astype(np.int64) % SIGNS
+        np.bitwise_xor.at(signs, word, np.uint64(1) << (h >> np.uint64(7) & np.uint64(63)))
+        edges = np.arange(len(sizes) + 1, dtype=np.int32) * SIGNS
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64))), pa.ListArray.from_arrays(pa.array(edges), pa.array(signs.view(np.int64)))
         return pa.Table.from_arrays([pa.array(node.view(np.int64)), pa.array(n), lists[0], pa.array(prefix_length(n) - n + sizes), lists[1]], schema=kind)
 
-    return packs.by_group(counted, ranges, run, "node long, n long, shared array<long>, prefix long, parts array<short>")
+    return packs.by_group(counted, ranges, run, "node long, n long, shared array<long>, prefix long, signs array<long>")
 
 
 def pivots(rows: DataFrame, round_: int) -> DataFrame:
@@ -231,17 +233,6 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= NUMERATOR * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def suffix_filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose counts in ranges of hashes leave enough room for common shingles."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
-    # A range whose count was cut bounds nothing.
-    least = F.zip_with("pa", "pb", lambda x, y: F.when((x == 32767) & (y == 32767), F.lit(1 << 40)).otherwise(F.least(x, y).cast("long")))
-    room = F.aggregate(least, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    # Jaccard >= t is an intersection of t / (1 + t) of both sizes.
-    return pairs.join(left, "a").join(right, "b").where((100 + NUMERATOR) * room >= NUMERATOR * (F.col("na") + F.col("nb"))).select("a", "b")
-
-
 def with_components(rows: DataFrame, labels: DataFrame | None, node: str, comp: str) -> DataFrame:
     if labels is None:
         return rows.withColumn(comp, F.col(node))
@@ -256,25 +247,30 @@ def apart(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(split, "h", "left_semi")
 
 
-def remaining_pairs(rows: DataFrame) -> DataFrame:
-    """Every pair of nodes in different components that passes the prefix, length and positional filters. A group's
+def remaining_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every pair of nodes in different components that passes the prefix, length, positional and suffix filters. A group's
     largest component meets the others only."""
+    signs = [F.col("signs")[i].alias(f"s{i}") for i in range(SIGNS)]
+    rows = rows.join(nodes.select("node", F.size("shared").cast("long").alias("size"), *signs), "node")
     sizes = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    x = rows.join(main, "h").where("comp <> main").select("h", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("ix"), F.col("comp").alias("cx"))
-    y = rows.select("h", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("iy"), F.col("comp").alias("cy"))
+    columns = ["node", "n", "pos", "comp", "size", *[f"s{i}" for i in range(SIGNS)]]
+    x, y = (r.select("h", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for r, side in ((rows.join(main, "h").where("comp <> main"), "x"), (rows, "y")))
     index = "{0} - ceil(%d * {0} / %d) + 1" % (2 * NUMERATOR, 100 + NUMERATOR)
-    first = F.expr(f"if(nx < ny or (nx = ny and x < y), ix < {index.format('nx')}, iy < {index.format('ny')})")
-    overlap = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
-    enough = (100 + NUMERATOR) * overlap >= NUMERATOR * (F.col("nx") + F.col("ny"))
-    met = x.join(y, (x["h"] == y["h"]) & (F.col("cx") != F.col("cy")) & similar_sizes(F.col("nx"), F.col("ny")) & enough & first)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    n, m = F.col("n_x"), F.col("n_y")
+    first = F.expr(f"if(n_x < n_y or (n_x = n_y and node_x < node_y), pos_x < {index.format('n_x')}, pos_y < {index.format('n_y')})")
+    # Jaccard >= t is an intersection of t / (1 + t) of both sizes.
+    enough = (100 + NUMERATOR) * F.least(n - F.col("pos_x"), m - F.col("pos_y")) >= NUMERATOR * (n + m)
+    differ = sum((F.bit_count(F.col(f"s{i}_x").bitwiseXOR(F.col(f"s{i}_y"))) for i in range(SIGNS)), F.lit(0))
+    near = (100 + NUMERATOR) * (F.col("size_x") + F.col("size_y") - differ) >= 2 * NUMERATOR * (n + m)
+    met = x.join(y, (x["h"] == y["h"]) & (F.col("comp_x") != F.col("comp_y")) & similar_sizes(n, m) & enough & first & near)
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def connected(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """id and comp: the components of the nodes that link. `rows` has the groups in which linked nodes meet: h, node, n and
-    pos, the node's place for h in its order. `nodes` has node, n, `shared`, the set by which links are verified, and `parts`, by
-    whose counts pairs are filtered first."""
+    pos, the node's place for h in its order. `nodes` has node, n, `shared`, the set by which links are verified, and `signs`, by
+    which pairs are filtered first."""
     tables = Tables(rows.sparkSession, "connected")
     labels, links = None, None
     for round_ in range(ROUNDS):
@@ -293,7 +289,7 @@ def connected(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         links = found if links is None else links.union(found)
         labels = components(links)
     open_ = tables.write(apart(rows, labels), "apart")
-    pairs = tables.write(suffix_filtered(remaining_pairs(open_), nodes), "pairs")
+    pairs = tables.write(remaining_pairs(open_, nodes), "pairs")
     found = tables.write(verified(pairs, nodes), "links")
     labels = components(found if links is None else links.union(found))
     tables.drop(*tables.held)
