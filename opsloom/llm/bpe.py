@@ -13,6 +13,7 @@ encoded one by one, so ties and repeated rows change nothing; an empty table giv
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +32,8 @@ CACHE = 3 << 15
 SLICE, CELLS = 1 << 19, 1 << 18
 NO_RANK = 1 << 60
 LATIN_END = "\u0250"
-#: White space other than spaces and line ends, a run of two, or one at the text's start or end.
-UNEVEN = regex.compile(r"[^\P{White_Space} \n]|[ \n][ \n]|^[ \n]|[ \n]\Z")
+# Fixed value: white space other than spaces and line ends.
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 # Fixed value: the pattern by which byte-level tokenizers of this family cut words.
 WORDS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -171,25 +172,31 @@ def cut_spaced(s: str) -> list[str] | None:
     return None
 
 
-class Remembered(dict):
+def even(t: str) -> bool:
+    """Whether single spaces and line ends between other characters are the only white space."""
+    return not ("  " in t or "\n " in t or " \n" in t or "\n\n" in t or t[0] in " \n" or t[-1] in " \n" or OTHER_SPACE.search(t))
+
+
+class Remembered:
     """Packed ids by word, in two generations: when the young one is full it becomes the old one, whose entries come back when
     they are asked for again. So what is frequent stays, and no more than twice CACHE entries do."""
 
     def __init__(self):
-        super().__init__()
+        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def age(self) -> None:
-        if len(self) > CACHE:
-            self.old = dict(self)
-            self.clear()
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
 
     def missing(self, wanted: set[str]) -> set[str]:
         """What of `wanted` isn't known; what the old generation knows is young again."""
-        fresh = wanted - self.keys()
-        back = fresh & self.old.keys()
-        self.update((w, self.old[w]) for w in back)
-        return fresh - back
+        fresh, old = wanted.difference(self.young), self.old
+        if old:
+            back = [w for w in fresh if w in old]
+            self.young.update(zip(back, map(old.__getitem__, back), strict=True))
+            fresh.difference_update(back)
+        return fresh
 
 
 class Encoder:
@@ -205,33 +212,36 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Remembers the ids of words. Words of similar length share a matrix; long ones are merged one by one."""
-        classes: dict[int, list[str]] = {}
+        classes: dict[int, tuple[list[str], list[bytes]]] = {}
         for w in self.words.missing(words):
-            classes.setdefault(max(8, 1 << (len(w.encode()) - 1).bit_length()), []).append(w)
-        for size, found in classes.items():
-            if size > SHORT:
-                for w in found:
-                    parts = [self.v.single[b] for b in w.encode()]
-                    self.words[w] = np.array(merge_long(parts, self.v.pairs, self.v.merged), dtype="<u4").tobytes()
-            else:
-                step = CELLS // size
+            raw = w.encode()
+            found = classes.setdefault((len(raw) + 3) >> 2 if len(raw) <= SHORT else 0, ([], []))
+            found[0].append(w)
+            found[1].append(raw)
+        for size, (found, raws) in classes.items():
+            if size:
+                step = CELLS // (4 * size)
                 for a in range(0, len(found), step):
-                    self.words.update(zip(found[a : a + step], self.merger.merge([w.encode() for w in found[a : a + step]]), strict=True))
+                    self.words.young.update(zip(found[a : a + step], self.merger.merge(raws[a : a + step]), strict=True))
+            else:
+                for w, raw in zip(found, raws, strict=True):
+                    parts = [self.v.single[b] for b in raw]
+                    self.words.young[w] = np.array(merge_long(parts, self.v.pairs, self.v.merged), dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Where single spaces and line ends are the only white space, the pattern cuts before each space and around each
         line end, so that the stretches between them are remembered as wholes. Other texts are cut by the pattern."""
         self.words.age()
         self.spaced.age()
-        lines = [None if not t or UNEVEN.search(t) or self.special(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        lines = [None if not t or not even(t) or self.special(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
         cuts = [[] if own is not None else [p if i % 2 else self.cut(p) for i, p in enumerate(self.parts(t))] for t, own in zip(texts, lines, strict=True)]
         wanted = {w for own in cuts for p in own[::2] for w in p}
         fresh = self.spaced.missing({s for own in lines if own for line in own for s in line[1:]})
         fresh = {s: cut_spaced(s) or self.cut(" " + s) for s in fresh}
         heads = {s: self.cut(s) for s in {line[0] for own in lines if own for line in own}}
         self.learn(wanted.union(*fresh.values(), *heads.values(), "\n"))
-        word, spaced = self.words.__getitem__, self.spaced
-        spaced.update((s, b"".join(map(word, p))) for s, p in fresh.items())
+        word, spaced = self.words.young.__getitem__, self.spaced.young
+        spaced.update(zip(fresh, [word(p[0]) if len(p) == 1 else b"".join(map(word, p)) for p in fresh.values()], strict=True))
         heads = {s: b"".join(map(word, p)) for s, p in heads.items()}
         ids = {t: np.array([i], dtype="<u4").tobytes() for t, i in self.v.added.items()}
         out, end = [], word("\n")
