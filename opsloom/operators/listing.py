@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from opsloom.functions.exprs import TERMINAL, before_cursor, in_namespace_read, is_shed
 
-#: The columns of a listing: everything but payload and result, so that a columnar scan never reads those.
+# The columns of a listing, everything but payload and result, so that a columnar scan never reads those.
 NARROW = [
     "id", "queue", "task_name", "status", "priority", "created_at", "scheduled_at", "started_at", "completed_at", "retry_count",
-    "max_retries", "error", "timeout_ms", "unique_key", "metadata", "expires_at", "result_ttl_ms", "namespace",
+    "max_retries", "error", "timeout_ms", "unique_key", "progress", "metadata", "notes", "cancel_requested", "expires_at", "result_ttl_ms", "namespace",
+    "has_deps", "debounce_key",
 ]
 LISTED = ["id", "queue", "task_name", "status", "created_at"]
 
