@@ -129,19 +129,20 @@ def build(items: list[tuple], seed: int = 1) -> Index:
         for _, ids in g.items:
             member[ids] |= 1 << c
             pairs[pair_slots(ids)] |= 1 << c
+    pairs[0] = 0
+    for c, g in enumerate(ordered):
         rng = np.random.default_rng(seed + g.length)
         flat = np.concatenate([ids[: g.length] for _, ids in g.items])
         starts = np.arange(len(g.items)) * g.length
         if g.length >= EXACT:
             continue
         walks = [np.sort(rng.choice(3 * g.length, size=min(BITS, 3 * g.length), replace=False) * 2 // 3) for _ in range(MOST_WALKS)]
-        for r, sampled in enumerate(walks[: walks_wanted(g, walks, seed, rng)]):
+        for r, sampled in enumerate(walks[: walks_wanted(g, c, member, pairs, walks, seed, rng)]):
             keys = walk_keys(flat, starts, g.length, seed + r, sampled)
             order = np.argsort(keys, kind="stable")
             g.samples.append(sampled)
             g.keys.append(keys[order])
             g.owners.append(order)
-    pairs[0] = 0
     return Index(vocabulary, member, pairs, ordered, seed)
 
 
@@ -154,22 +155,35 @@ def edited(ids: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(words, dtype=np.int64)
 
 
-def walks_wanted(g: Group, walks: list, seed: int, rng: np.random.Generator) -> int:
-    """How many walks reach TARGET for windows of edited copies of the class's items, if each agrees independently with the
-    chance that is measured here."""
-    whole, copies = [], []
+def candidates(g: Group, c: int, flat: np.ndarray, member: np.ndarray, pairs: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The words from which windows begin that hold enough of the pairs of words, or of the words, of a class's items."""
+    least = g.length - 1 - 2 * g.allowed
+    if least > 0:
+        known, span = np.concatenate([[0], np.cumsum((pairs[slots] >> c) & 1)]), g.length - 1
+    else:
+        known, span, least = np.concatenate([[0], np.cumsum((member[flat] >> c) & 1)]), g.length, max(1, g.length - g.allowed)
+    return np.nonzero(known[span:] - known[:-span] >= least)[0]
+
+
+def walks_wanted(g: Group, c: int, member: np.ndarray, pairs: np.ndarray, walks: list, seed: int, rng: np.random.Generator) -> int:
+    """How many walks find TARGET of edited copies of the class's items, each from any window around the copy that is a
+    candidate, as a search would."""
+    width = 4 * g.length + 2 * g.allowed
+    flat, whole = np.zeros(COPIES * width, dtype=np.int64), []
     for k in range(COPIES):
         ids = g.items[k % len(g.items)][1]
         copy = edited(ids, int(LIMIT * len(ids)), rng)
-        copies.append(np.concatenate([copy, np.zeros(max(0, g.length - len(copy)), dtype=np.int64)])[: g.length])
+        flat[k * width + g.length : k * width + g.length + len(copy)] = copy
         whole.append(ids[: g.length])
-    starts = np.arange(COPIES) * g.length
-    whole, copies = np.concatenate(whole), np.concatenate(copies)
-    agreed = [walk_keys(whole, starts, g.length, seed + r, s) == walk_keys(copies, starts, g.length, seed + r, s) for r, s in enumerate(walks)]
-    for n in range(LEAST_WALKS, MOST_WALKS):
-        if np.logical_or.reduce(agreed[:n]).mean() >= TARGET:
-            return n
-    return MOST_WALKS
+    starts = candidates(g, c, flat, member, pairs, pair_slots(flat))
+    owner, whole = starts // width, np.concatenate(whole)
+    found, places = np.zeros(COPIES, dtype=bool), np.arange(COPIES) * g.length
+    for r, sampled in enumerate(walks):
+        same = walk_keys(whole, places, g.length, seed + r, sampled)[owner] == walk_keys(flat, starts, g.length, seed + r, sampled)
+        found[owner[same]] = True
+        if r + 1 >= LEAST_WALKS and found.mean() >= TARGET:
+            return r + 1
+    return len(walks)
 
 
 class Masks(dict):
@@ -216,14 +230,8 @@ def search(index: Index, texts: list[list[int]], masks: dict) -> Iterator[tuple[
         at += len(t) + gap
     offsets = np.array(offsets)
     slots = pair_slots(flat)
-    pairs_of = index.pairs[slots]
     for c, g in enumerate(index.groups):
-        least = g.length - 1 - 2 * g.allowed
-        if least > 0:
-            known, span = np.concatenate([[0], np.cumsum((pairs_of >> c) & 1)]), g.length - 1
-        else:
-            known, span, least = np.concatenate([[0], np.cumsum((index.member[flat] >> c) & 1)]), g.length, max(1, g.length - g.allowed)
-        starts = np.nonzero(known[span:] - known[:-span] >= least)[0]
+        starts = candidates(g, c, flat, index.member, index.pairs, slots)
         if not len(starts):
             continue
         pairs = set()
