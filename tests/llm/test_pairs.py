@@ -293,3 +293,15 @@ def test_varied_windows(rng):
     g = W.grams(np.array(words, dtype=np.uint64), 5)
     want = [2 * len(set(g[i : i + 46].tolist())) >= 46 for i in range(len(g) - 45)]
     assert P.varied(g).tolist() == want and True in want and False in want
+
+
+def test_hot_passages_take_the_same_way_out(documents, rng, monkeypatch):
+    """With few entries to a range, a passage of every document is hot: it passes the ranges by, with the same result."""
+    passage, other = prose(rng, 70), prose(rng, 60)
+    rows = [(i, f"{prose(rng, 40)} {passage} {prose(rng, 40)}") for i in range(120)] + [(200 + i, f"{prose(rng, 30)}\n{other}\n{prose(rng, 30)}") for i in range(3)]
+    result = lambda: {r["doc_id"]: (r["cluster_id"], [tuple(s) for s in r["removals"]]) for r in P.clusters(documents(rows).repartition(8)).collect()}
+    plain = result()
+    monkeypatch.setattr(packs, "RANGE", 500)
+    monkeypatch.setattr(packs, "HOT", 50)
+    monkeypatch.setattr(J, "HOT", 50)
+    assert result() == plain and len(plain) == 123
