@@ -108,7 +108,7 @@ PAIR_TABLE = 1 << 20
 
 def pair_slots(ids: np.ndarray) -> np.ndarray:
     """A slot of the table of pairs for each word and its successor; slot 0 where one of them is of no item."""
-    slots = ((ids[:-1] * 1_000_003) ^ (ids[1:] * 7919)) & (PAIR_TABLE - 1)
+    slots = np.maximum(((ids[:-1] * 1_000_003) ^ (ids[1:] * 7919)) & (PAIR_TABLE - 1), 1)
     slots[(ids[:-1] == 0) | (ids[1:] == 0)] = 0
     return slots
 
@@ -240,13 +240,18 @@ def search(index: Index, texts: list[list[int]], masks: dict) -> Iterator[tuple[
             lo, hi = np.searchsorted(g.keys[r], keys, "left"), np.searchsorted(g.keys[r], keys, "right")
             for k in np.nonzero(hi > lo)[0].tolist():
                 pairs.update((int(i), int(starts[k])) for i in g.owners[r][lo[k] : hi[k]])
-        for i, (_, ids) in enumerate(g.items if g.length >= EXACT else ()):
-            # The same count as above, over the item's own pairs.
-            own = np.zeros(PAIR_TABLE, dtype=bool)
-            own[pair_slots(ids)] = True
-            known = np.concatenate([[0], np.cumsum(own[slots], dtype=np.int32)])
-            near = known[starts + g.length - 1] - known[starts] >= g.length - 1 - 2 * int(LIMIT * len(ids))
-            pairs.update((i, int(s)) for s in starts[near])
+        if g.length >= EXACT:
+            # The same count, over each item's own pairs, where candidate windows lie.
+            cover = np.zeros(len(flat) + 1, dtype=np.int32)
+            np.add.at(cover, starts, 1)
+            np.add.at(cover, starts + g.length - 1, -1)
+            place = np.nonzero(np.cumsum(cover)[:-1])[0]
+            inside, first = slots[place], np.searchsorted(place, starts)
+            for i, (_, ids) in enumerate(g.items):
+                own = np.unique(pair_slots(ids))
+                known = np.concatenate([[0], np.cumsum(np.isin(inside, own[own > 0]))])
+                near = known[first + g.length - 1] - known[first] >= g.length - 1 - 2 * int(LIMIT * len(ids))
+                pairs.update((i, int(s)) for s in starts[near])
         done = defaultdict(lambda: -1)
         for i, start in sorted(pairs):
             if start <= done[i]:
