@@ -41,7 +41,7 @@ def levels(nodes: DataFrame, edges: DataFrame, large: int = LARGE) -> DataFrame:
     Runs of up to `large` nodes and edges are brought to a task each, many runs to a task, and leveled there together; their
     sizes are counted first. Larger runs are leveled by joins, a round a level."""
     n, e = nodes.select("run_id", "node").distinct(), edges.select("run_id", "src", "dst").distinct()
-    rows = n.select("run_id", F.col("node").alias("a"), F.lit(None).cast(n.schema["node"].dataType).alias("b")).union(e)
+    rows = cut(n.select("run_id", F.col("node").alias("a"), F.lit(None).cast(n.schema["node"].dataType).alias("b")).union(e))  # read twice
     huge = cut(rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large).select("run_id"))
     if huge.isEmpty():
         return levels_together(rows, n)
